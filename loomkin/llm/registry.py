@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from loomkin.llm import chat, packing, quality, sharding, urls
+from loomkin.llm import chat, decontaminate, packing, pii, quality, sharding, urls
 
 
 def queries() -> dict:
     return {
         "op1_best_fit_packing": packing.op1_best_fit_packing,
         "op2_url_filters": urls.op2_url_filters,
+        "op3_benchmark_decontamination": decontaminate.op3_benchmark_decontamination,
         "op5_chat_preference": chat.op5_chat_preference,
         "op7_quality_rules": quality.op7_quality_rules,
         "op8_minimax_sharding": sharding.op8_minimax_sharding,
+        "op10_pii_deobfuscation": pii.op10_pii_deobfuscation,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op2_url_filters": urls.OP2_SQL, "op5_chat_preference": chat.OP5_SQL, "op7_quality_rules": quality.OP7_SQL}
+    return {"op2_url_filters": urls.OP2_SQL, "op3_benchmark_decontamination": decontaminate.OP3_SQL, "op5_chat_preference": chat.OP5_SQL, "op7_quality_rules": quality.OP7_SQL}
