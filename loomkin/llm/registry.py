@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomkin.llm import chat, decontaminate, packing, pii, quality, sharding, urls
+from loomkin.llm import chat, decontaminate, ngram_join, packing, pii, quality, sharding, urls
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_chat_preference": chat.op5_chat_preference,
         "op7_quality_rules": quality.op7_quality_rules,
         "op8_minimax_sharding": sharding.op8_minimax_sharding,
+        "op9_ngram_jaccard": ngram_join.op9_ngram_jaccard,
         "op10_pii_deobfuscation": pii.op10_pii_deobfuscation,
     }
 
