@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomkin.llm import chat, decontaminate, ngram_join, packing, pii, quality, sharding, urls
+from loomkin.llm import chat, decontaminate, ngram_join, packing, pii, quality, sharding, suffix, urls
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_best_fit_packing": packing.op1_best_fit_packing,
         "op2_url_filters": urls.op2_url_filters,
         "op3_benchmark_decontamination": decontaminate.op3_benchmark_decontamination,
+        "op4_suffix_dedup": suffix.op4_suffix_dedup,
         "op5_chat_preference": chat.op5_chat_preference,
         "op7_quality_rules": quality.op7_quality_rules,
         "op8_minimax_sharding": sharding.op8_minimax_sharding,
