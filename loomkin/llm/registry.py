@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomkin.llm import chat, decontaminate, ngram_join, packing, pii, quality, sharding, suffix, urls
+from loomkin.llm import chat, decontaminate, lines, ngram_join, packing, pii, quality, sharding, suffix, urls
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_benchmark_decontamination": decontaminate.op3_benchmark_decontamination,
         "op4_suffix_dedup": suffix.op4_suffix_dedup,
         "op5_chat_preference": chat.op5_chat_preference,
+        "op6_line_dedup": lines.op6_line_dedup,
         "op7_quality_rules": quality.op7_quality_rules,
         "op8_minimax_sharding": sharding.op8_minimax_sharding,
         "op9_ngram_jaccard": ngram_join.op9_ngram_jaccard,
