@@ -69,11 +69,11 @@ def accepted(key: Column, level: int, probes: int, bits: int, body: Column) -> C
 
 
 def level_bytes(keys: DataFrame, level: int, probes: int, bits: int) -> bytes:
-    """The level's body: bits of `keys`, or-ed together by Spark; the driver gets at most `bits` / 7 small rows."""
+    """The level's body: bits of `keys`, or-ed together by Spark; the driver collects at most `bits` / 7 small rows, under MOST_BYTES."""
     at = F.explode(F.array(*(bit_at(F.col("key"), level, j, F.lit(bits).cast("long")) for j in range(probes))))
     rows = keys.select(at.alias("at")).groupBy(F.floor(F.col("at") / WIDTH).alias("c")).agg(F.expr(f"bit_or(shiftleft(1, cast(at % {WIDTH} as int)))").alias("v"))
     body = bytearray(-(-bits // WIDTH))
-    for r in rows.toLocalIterator():
+    for r in rows.collect():
         body[r["c"]] = r["v"]
     return bytes(body)
 
