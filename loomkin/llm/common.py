@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomkin.lineage import discard, materialize, shared_dir
+
+__all__ = ["ascii_lower", "checked_broadcast", "discard", "let", "materialize", "shared_dir", "shuffle_parts", "table"]
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows up to which a counted side may be broadcast; above it the join shuffles.
 BROADCAST_ROWS = 200_000
@@ -18,28 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a local one only where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='loomkin-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df once to the shared folder and read it back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loomkin/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished jobs before the next large shuffle."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -58,3 +38,8 @@ def checked_broadcast(small: DataFrame, rows: int | None = None, limit: int = BR
 def ascii_lower(text: Column) -> Column:
     """A-Z only; a text of ASCII alone takes the faster built-in."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished jobs before the next large shuffle."""
+    spark.sparkContext._jvm.System.gc()
