@@ -30,10 +30,11 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomkin.llm.common import materialize, release, shuffle_parts, table
+from loomkin.llm.common import discard, materialize, shuffle_parts, table
 
 MATCH, ANCHOR = 100, 32
 #: Window starts handled at once (positions fit in 16 bits with it), windows sorted at once, runs of a bucket sorted together, and runs a task remembers.
@@ -126,7 +127,7 @@ def _emit_runs(batches):
     seen: dict[bytes, tuple[int, int]] = {}
     for batch in batches:
         bucket, docs, starts, data, copied = [], [], [], [], []
-        for doc, text, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+        for doc, text, runs in zip(batch.column(0).to_pylist(), _unpacked(batch.column(1)), batch.column(2), strict=True):
             anchors, places = (runs.values.field(k).to_numpy(zero_copy_only=False) for k in range(2))
             for anchor, place in zip(anchors.tolist(), places.tolist(), strict=True):
                 start, n = place >> 8, place & 0xFF
@@ -253,18 +254,38 @@ def _match_buckets(batches):
         yield work.batch()
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.col("text").cast("binary").alias("text"))
+
+
+def _pack(batches):
+    press = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        texts = [None if t is None else press.compress(t) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], names=["doc", "text"])
+
+
+def _packed(texts: DataFrame) -> DataFrame:
+    """texts (doc, text) with text compressed, for a shuffle of whole texts: half the bytes of the shuffle's own codec."""
+    return texts.mapInArrow(_pack, "doc long, text binary")
+
+
+def _unpacked(column: pa.Array) -> list[bytes | None]:
+    press = zstandard.ZstdDecompressor()
+    return [None if t is None else press.decompress(t) for t in column.to_pylist()]
+
+
 def earlier_copies(docs: DataFrame) -> DataFrame:
     """(doc, start, until): byte stretches of documents that are covered by earlier copies. doc is doc_id, or LAST for null."""
     parts = shuffle_parts(docs.sparkSession)
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.col("text").cast("binary").alias("text"))
+    texts = _texts(docs)
     anchors = texts.mapInArrow(_emit_anchors, "anchor long, doc long, run long").repartition(parts, "anchor").sortWithinPartitions("anchor")
     repeated = materialize(anchors.mapInArrow(_repeated, "anchor long, doc long, run long"), "anchors")
-    release(docs.sparkSession)
-    of_doc = repeated.distinct().groupBy("doc").agg(F.collect_list(F.struct("anchor", "run")).alias("runs"))
-    runs = texts.join(of_doc.hint("merge"), "doc").select("doc", "text", "runs").mapInArrow(_emit_runs, RUNS)
+    of_doc = repeated.groupBy("doc").agg(F.collect_list(F.struct("anchor", "run")).alias("runs"))
+    runs = _packed(texts).join(of_doc.hint("merge"), "doc").select("doc", "text", "runs").mapInArrow(_emit_runs, RUNS)
     buckets = runs.repartition(parts, "bucket").sortWithinPartitions("bucket", "bytes", "doc", "start")
     matches = materialize(buckets.mapInArrow(_match_buckets, MATCHES), "matches")
-    release(docs.sparkSession)
+    discard(repeated)
     firsts = matches.where("digest is not null")
     least = firsts.groupBy("digest").agg(F.min(F.struct("doc", "start")).alias("least"))
     later = firsts.join(least, "digest").where(F.struct("doc", "start") > F.col("least")).select("doc", "start", "until")
@@ -277,7 +298,7 @@ KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 def _remove(batches):
     for batch in batches:
         rows = []
-        for doc, text, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+        for doc, text, spans in zip(batch.column(0).to_pylist(), _unpacked(batch.column(1)), batch.column(2).to_pylist(), strict=True):
             text = text or b""
             kept, at, n_spans, removed = [], 0, 0, 0
             for s in sorted(spans or (), key=lambda s: (s["start"], s["until"])):
@@ -302,8 +323,7 @@ def _digest(batches):
 
 def _with_spans(docs: DataFrame) -> DataFrame:
     spans = earlier_copies(docs).groupBy("doc").agg(F.collect_set(F.struct("start", "until")).alias("spans"))
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.col("text").cast("binary").alias("text"))
-    return texts.join(spans.hint("merge"), "doc", "left").select("doc", "text", "spans")
+    return _packed(_texts(docs)).join(spans.hint("merge"), "doc", "left").select("doc", "text", "spans")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
