@@ -25,16 +25,16 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomkin.llm.common import checked_broadcast, materialize, release, shuffle_parts, table
+from loomkin.llm.common import checked_broadcast, discard, let, materialize, shuffle_parts, table
 
 EDITS, MIN_BYTES = 2, 20
 #: Signature bits that one edit changes at most.
 FLIPS = 4
 #: Bytes of text whose keys are made at once, and pairs of a list compared at once.
-TEXT_AT_ONCE, PAIRS_AT_ONCE = 8 << 20, 1 << 22
+TEXT_AT_ONCE, PAIRS_AT_ONCE = 2 << 20, 1 << 20
 CACHE_PAIRS = 1 << 18
 _BASE = 0x5851F42D4C957F2D
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -293,8 +293,9 @@ def near_lines(texts: DataFrame) -> DataFrame:
     """(a, b): ids of different lines of texts (doc, text) within EDITS edits."""
     spark = texts.sparkSession
     keys = texts.mapInArrow(_emit_keys, "key long, line long, sig long").repartition(shuffle_parts(spark), "key").sortWithinPartitions("key")
-    pairs = materialize(materialize(keys.mapInArrow(_pairs, "a long, b long"), "candidates").distinct(), "pairs")
-    release(spark)
+    found = materialize(keys.mapInArrow(_pairs, "a long, b long"), "candidates")
+    pairs = materialize(found.distinct(), "pairs")
+    discard(found)
     ids = materialize(pairs.select(F.col("a").alias("line")).unionByName(pairs.select(F.col("b").alias("line"))).distinct(), "wanted")
     if ids.count() <= SENT_IDS:
         shared = spark.sparkContext.broadcast({r["line"] & 0xFFFFFFFFFFFFFFFF for r in ids.toLocalIterator()})
@@ -357,8 +358,12 @@ def clean_lines(docs: DataFrame) -> DataFrame:
     columns = docs.columns
     gone = repeated_lines(_texts(docs)).groupBy(F.col("doc").alias("_l_doc")).agg(F.sort_array(F.collect_set("number")).alias("_l_gone"))
     met = docs.withColumn("_l_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).join(gone.hint("merge"), F.col("_l_key") == F.col("_l_doc"), "left")
-    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("_l_gone"), i.cast("long")))
-    met = met.withColumn("text", F.when(F.col("_l_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
+
+    def rest(x: Column) -> Column:
+        numbers = F.array_except(F.sequence(F.lit(0).cast("long"), F.size(x).cast("long") - 1), F.col("_l_gone"))
+        return F.array_join(F.transform(numbers, lambda i: F.get(x, i.cast("int"))), "\n")
+
+    met = met.withColumn("text", F.when(F.col("_l_gone").isNull(), F.col("text")).otherwise(let(F.split("text", "\n"), rest)))
     return met.where(F.col("_l_gone").isNull() | F.col("text").rlike(r"\S")).select(*columns)
 
 
