@@ -109,9 +109,9 @@ def covered(hits: Column) -> Column:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs without the documents in which a window of some item occurs."""
+    """docs without the documents in which a window of some item occurs; rows without a doc_id are one document."""
     bad = materialize(containments(docs, items).where(F.size("hits") > 0).select(F.col("doc_id").alias("_d_id")).distinct(), "contaminated")
-    return docs.join(checked_broadcast(bad), docs["doc_id"] == bad["_d_id"], "left_anti")
+    return docs.join(checked_broadcast(bad), docs["doc_id"].eqNullSafe(bad["_d_id"]), "left_anti")
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

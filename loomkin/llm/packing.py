@@ -31,6 +31,8 @@ from loomkin.llm.common import table
 CAPACITY, BLOCK_ITEMS = 65_536, 2_048
 #: Bins of a block have ids below this.
 BIN_SPAN = 1 << 20
+#: Stands for a null doc_id.
+LAST = (1 << 63) - 1
 SCHEMA = "doc_id long, piece long, start long, length long, bin_id long, bin_offset long"
 
 
@@ -90,17 +92,18 @@ def best_fit(items: DataFrame, capacity: int = CAPACITY, block_items: int = BLOC
     """
     blocks = max(1, -(-items.count() // block_items))
     pieces = items.select(
-        F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("cluster").cast("long"), F.col("length").cast("long").alias("whole"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.col("source").cast("string"), F.col("cluster").cast("string"), F.col("length").cast("long").alias("whole"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.greatest(F.col("length"), F.lit(1)) - 1) / capacity))).alias("piece"),
     )
     pieces = pieces.withColumn("start", F.col("piece") * capacity).withColumn("length", F.least(F.lit(capacity).cast("long"), F.col("whole") - F.col("start"))).drop("whole")
     keyed = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(blocks)))
-    return keyed.groupBy("block").applyInPandas(_block(capacity), SCHEMA)
+    out = keyed.groupBy("block").applyInPandas(_block(capacity), SCHEMA)
+    return out.withColumn("doc_id", F.when(F.col("doc_id") != LAST, F.col("doc_id")))
 
 
 def document_items(docs: DataFrame) -> DataFrame:
-    """Items from documents: bytes plus one separator; equal texts are one duplicate cluster."""
-    return docs.select("doc_id", "source", F.xxhash64("text").alias("cluster"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("length"))
+    """Items from documents: bytes plus one separator; equal texts (but for empty ones) are one duplicate cluster."""
+    return docs.select("doc_id", "source", F.when(F.length("text") > 0, F.xxhash64("text")).alias("cluster"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("length"))
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

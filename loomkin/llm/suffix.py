@@ -19,7 +19,8 @@ by digest, in an ordinary aggregate. No step collects a bucket, and all steps co
 the input.
 
 Defined results: a null or empty text has 0 bytes and keeps 0. A null doc_id counts as the largest. Rows
-that repeat a doc_id are one document: a string at the same place of both is no earlier copy of itself.
+that repeat a doc_id are one document and should have one text: a string at the same place of both is no
+earlier copy of itself, and a stretch found in one is taken from all that are long enough.
 An empty table gives no rows. Only doc_id and text are read.
 """
 
@@ -131,6 +132,8 @@ def _emit_runs(batches):
             anchors, places = (runs.values.field(k).to_numpy(zero_copy_only=False) for k in range(2))
             for anchor, place in zip(anchors.tolist(), places.tolist(), strict=True):
                 start, n = place >> 8, place & 0xFF
+                if text is None or start + n + MATCH - 1 > len(text):
+                    continue  # of another row with this doc_id
                 own = text[start : start + n + MATCH - 1]
                 docs.append(doc)
                 starts.append(start)
@@ -301,7 +304,7 @@ def _remove(batches):
         for doc, text, spans in zip(batch.column(0).to_pylist(), _unpacked(batch.column(1)), batch.column(2).to_pylist(), strict=True):
             text = text or b""
             kept, at, n_spans, removed = [], 0, 0, 0
-            for s in sorted(spans or (), key=lambda s: (s["start"], s["until"])):
+            for s in sorted((s for s in spans or () if s["until"] <= len(text)), key=lambda s: (s["start"], s["until"])):
                 if s["start"] > at or not n_spans:
                     kept.append(text[at : s["start"]])
                     n_spans += 1
