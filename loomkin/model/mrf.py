@@ -89,15 +89,13 @@ def accelerated(potential: Potential, measured: Potential, messages, total: floa
         ahead = potential + (potential - last) * (momentum / (momentum + 3))
         mu = marginals_of(propagate(ahead, messages, total)[0], wanted)
         loss, gradient = l2_loss(mu, measured)
-        if loss > best:
-            momentum, step, last = 0, step / 2, potential
-            if step < 1e-12 / total**2:
-                break
-            best = math.inf
+        if loss > best and momentum:
+            momentum, step, last, best = 0, step / 2, potential, math.inf
             continue
         if it % settings.check_every == 0 and loss <= max(settings.stop_ratio * noise_loss, 1e-9 * total):
             break
         last, potential, best, momentum = potential, ahead - expanded(gradient, potential) * step, loss, momentum + 1
+        step *= 1.2
     return potential, best
 
 
