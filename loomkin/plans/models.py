@@ -95,3 +95,32 @@ def match_by_model(spark, sf):
     got = J.match_by_model(model, some, types.select(F.col("fk").alias("pk"), "y"), "id", "pk", "y", seed=2)
     out = got.agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids")).first()
     return spark.createDataFrame([(out["n"], out["ids"], R.orphans(got, types, "pk", "fk").count())], "n_rows long, n_distinct long, orphans long")
+
+
+@query()
+def two_table_synthesis(spark, sf):
+    """Lineitem and orders made anew without noise: rows of both, orphans, and whether counts and marginals are near the truth."""
+    from loomkin.plans.synthesis import Plan, two_tables
+
+    c_dom, p_dom = CHILD_DOMAIN.project(["rf", "ls", "qty"]), PARENT_DOMAIN.project(["st", "pri"])
+    c, p = child(spark, sf), parent(spark, sf)
+    made = two_tables(c, p, Plan(tuple(c_dom), tuple(p_dom), c_dom, p_dom, cap=8, types=3, steps=2))
+    check = R.integrity(made.child, made.parent, "fk", "pk").first()
+    near_parents = abs(check["parents"] - p.count()) <= 3
+    tvd = V.k_way_tvd(c, made.child, [("rf", "ls")]).first()["tvd"]
+    bad = int(sum(c_dom.violations(made.child).first())) + int(sum(p_dom.violations(made.parent).first()))
+    return spark.createDataFrame([(check["orphans"], bad, near_parents, bool(tvd < 0.15))], "orphans long, violations long, parents_near boolean, flags_near boolean")
+
+
+@query()
+def chain_synthesis(spark, sf):
+    """Orders and lines made for public customers: orders, lines, and orphans at both levels."""
+    from loomkin.model.domain import Domain
+    from loomkin.plans.synthesis import chain
+    from loomkin.sources.io import read_parquet
+
+    line_dom, order_dom, customer_dom = SMALL.project(["rf", "ls"]), PARENT_DOMAIN.project(["st", "yr", "pri"]), Domain({"nat": 25})
+    customers = read_parquet(spark, sf, "customer").select(F.col("c_custkey").alias("ck"), F.col("c_nationkey").alias("nat"))
+    orders, lines = chain(child(spark, sf).select("fk", *line_dom), parent(spark, sf).select("pk", "cust", *order_dom), customers, line_dom, order_dom, customer_dom, ["st", "yr"], steps=1)
+    up, low = R.integrity(orders, customers, "cust", "ck").first(), R.integrity(lines, orders, "fk", "pk").first()
+    return spark.createDataFrame([(up["child_rows"], low["child_rows"], up["orphans"], low["orphans"])], "n_orders long, n_lines long, order_orphans long, line_orphans long")

@@ -53,5 +53,15 @@ def test_match_by_model_gives_every_row_a_parent(spark, sf):
     assert row.n_rows == row.n_distinct > 0 and row.orphans == 0
 
 
+def test_two_tables_are_synthesised(spark, sf):
+    row = catalog.queries()["two_table_synthesis"](spark, sf).first()
+    assert (row.orphans, row.violations) == (0, 0) and row.parents_near and row.flags_near
+
+
+def test_chain_is_synthesised(spark, sf):
+    row = catalog.queries()["chain_synthesis"](spark, sf).first()
+    assert row.n_orders > 0 and row.n_lines > row.n_orders and (row.order_orphans, row.line_orphans) == (0, 0)
+
+
 def test_every_query_is_checked():
-    assert INVARIANT == ["e_step", "greedy_match_three_columns", "group_synthesis", "match_by_model", "mrf_synthesis", "noisy_marginal", "privacy_budget", "train_test_folds"]
+    assert INVARIANT == ["chain_synthesis", "e_step", "greedy_match_three_columns", "group_synthesis", "match_by_model", "mrf_synthesis", "noisy_marginal", "privacy_budget", "train_test_folds", "two_table_synthesis"]
