@@ -6,17 +6,19 @@
    the prefix that any partner must share a token of. Documents of equal sets are collapsed: within a
    task at once, over tasks through the digest.
 3. Postings of a token lie together, ordered by set size. Those with two or more documents stay. First
-   each document is paired with its neighbour in the list only; the pairs are verified on the whole sets
+   each document is paired with the hubs and neighbours it meets in most lists; the pairs are verified on the whole sets
    and the links make components. Documents with equal prefix and size are neighbours in every list they
    share, so such groups come together here without pairs among all their members.
 4. Then each list gives the pairs of documents of different components that pass the size, prefix and
-   position bounds; they are verified too. Pairs inside a component can't change it and are not made.
+   position bounds, and of which both have as many repeated prefix tokens as a link needs in common;
+   they are verified too. Pairs inside a component can't change it and are not made.
 
 Prefix bounds: a set of n has 0.25 n + 1 probing tokens; as the smaller partner it needs only its first
 n / 7 + 1.
 
 Defined results: null, empty or blank texts have the empty set and are linked with nothing. Fewer than
 five words make one shingle of the whole sequence. Rows that repeat a doc_id are returned once each.
+A null doc_id counts as the largest; rows without one are one document.
 An empty table gives no rows. Only doc_id and text are read.
 """
 
@@ -28,16 +30,21 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomkin.llm.common import checked_broadcast, materialize, release, shuffle_parts, table
+from loomkin.llm.common import checked_broadcast, discard, materialize, shuffle_parts, table
 from loomkin.llm.components import components
 
 SHINGLE = 5
 #: Buckets of the count table (4 bytes each) and buckets in a row of it.
 SKETCH_BITS, BLOCK_BITS = 20, 12
+#: Neighbours that the first linking verifies for a document; all other pairs are left to the second.
+NEIGHBOURS = 2
 #: Words a worker's hash cache holds, and pairs a task remembers as emitted.
 CACHE_WORDS, CACHE_PAIRS = 1 << 20, 1 << 18
+#: Stands for a null doc_id.
+LAST = (1 << 63) - 1
 #: Bytes kept of a shingle's hash when sets are compared.
 KEPT = 6
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
@@ -122,7 +129,7 @@ def _sum_counts(pdf):
 def count_table(scanned: DataFrame) -> np.ndarray:
     """The summed counts: 4 << SKETCH_BITS bytes, however many documents there are."""
     sketch = np.zeros((1 << (SKETCH_BITS - BLOCK_BITS), 1 << BLOCK_BITS), np.uint32)
-    for r in scanned.where("block is not null").select("block", "counts").groupBy("block").applyInPandas(_sum_counts, "block int, counts binary").toLocalIterator():
+    for r in scanned.where("block is not null").select("block", "counts").groupBy("block").applyInPandas(_sum_counts, "block int, counts binary").collect():
         sketch[r["block"]] = np.frombuffer(r["counts"], np.uint32)
     return sketch.reshape(-1)
 
@@ -160,6 +167,16 @@ def may_link(n_x, i, n_y, j):
     return (4 * n_x >= 3 * n_y) & (7 * left >= 3 * (n_x + n_y))
 
 
+def common_needed(n_x, n_y):
+    """Tokens that the prefixes of two linked sets have in common at least.
+
+    Of the ceil(3 (n_x + n_y) / 7) common tokens, each prefix holds all but those that its set has after it;
+    the first ones in the order are the same on both sides.
+    """
+    both = -(-3 * (n_x + n_y) // 7)
+    return np.minimum(both - -(-3 * n_x // 4), both - -(-3 * n_y // 4)) + 1
+
+
 def _arrays(batches, *names):
     for batch in batches:
         yield [batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in names]
@@ -185,37 +202,66 @@ def _runs(batches, *names):
 
 
 def _postings(batches):
-    """Keeps the tokens of two or more documents; `prev` is the neighbour before in the list, if they may link, else -1."""
-    for token, doc, place in _runs(batches, "token", "doc_id", "place"):
-        same = token[1:] == token[:-1]
-        more = np.zeros(len(token), bool)
-        more[1:] |= same
-        more[:-1] |= same
+    """Keeps the tokens of two or more documents. Two rows are held at a time: one for context and one that is not yet judged."""
+    held, skip = None, 0
+
+    def judged(cols, upto):
+        same = cols[0][1:] == cols[0][:-1]
+        k = np.flatnonzero((np.r_[False, same] | np.r_[same, False])[skip:upto]) + skip
+        for a in range(0, len(k), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(x[k[a : a + (1 << 16)]]) for x in cols], names=["token", "doc_id", "place"])
+
+    for cols in _arrays(batches, "token", "doc_id", "place"):
+        if not len(cols[0]):
+            continue
+        if held:
+            cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
+        yield from judged(cols, len(cols[0]) - 1)
+        held = [c[-2:] for c in cols]
+        skip = len(held[0]) - 1
+    if held:
+        yield from judged(held, len(held[0]))
+
+
+def _hub_pairs(batches):
+    """(doc_id, hub, lists): each document with the one of its list that has the most repeated tokens, and with the neighbour before.
+
+    An original has more of its tokens repeated than its edited copies have, so most copies meet it here.
+    Rows of a run of lists are added up before they go out.
+    """
+    for token, doc, place, repeats in _runs(batches, "token", "doc_id", "place", "repeats"):
+        first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+        size = np.diff(np.r_[first, len(token)])
+        rank = repeats << 32 | (len(token) - np.arange(len(token)))
+        best = len(token) - (np.maximum.reduceat(rank, first) & 0xFFFFFFFF)
         n, i = place >> 32, place & 0xFFFFFFFF
-        prev = np.full(len(token), -1, np.int64)
-        link = same & may_link(n[:-1], i[:-1], n[1:], i[1:]) & (doc[1:] != doc[:-1])
-        prev[1:][link] = doc[:-1][link]
-        for a in range(0, len(token), 1 << 16):
-            k = np.flatnonzero(more[a : a + (1 << 16)]) + a
-            if len(k):
-                yield pa.RecordBatch.from_arrays([pa.array(x[k]) for x in (token, doc, place, prev)], names=["token", "doc_id", "place", "prev"])
+        others = [np.repeat(best, size), np.maximum(np.arange(len(token)) - 1, np.repeat(first, size))]
+        pairs = []
+        for o in others:
+            x, y = np.minimum(o, np.arange(len(token))), np.maximum(o, np.arange(len(token)))
+            ok = (doc[x] != doc[y]) & may_link(n[x], i[x], n[y], i[y]) & (np.minimum(repeats[x], repeats[y]) >= common_needed(n[x], n[y]))
+            pairs.append(np.stack([doc[ok], doc[o[ok]]], axis=1))
+        pairs = np.concatenate(pairs)
+        if len(pairs):
+            pairs, count = np.unique(pairs, axis=0, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(count.astype(np.int64))], names=["doc_id", "hub", "lists"])
 
 
 def _cross_pairs(batches):
     """Pairs of documents of different components in one list that pass the bounds; each at most once while remembered."""
     sent: set[tuple[int, int]] = set()
-    for token, doc, place, comp in _runs(batches, "token", "doc_id", "place", "comp"):
+    for token, doc, place, comp, repeats in _runs(batches, "token", "doc_id", "place", "comp", "repeats"):
         cuts = np.flatnonzero(np.r_[True, token[1:] != token[:-1], True])
         out_a, out_b = [], []
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             c = comp[a:b]
             if (c == c[0]).all():
                 continue
-            d, n, i = doc[a:b], place[a:b] >> 32, place[a:b] & 0xFFFFFFFF
+            d, n, i, r = doc[a:b], place[a:b] >> 32, place[a:b] & 0xFFFFFFFF, repeats[a:b]
             low = np.searchsorted(4 * n, 3 * n)  # smaller partners must have 0.75 of the size
             for y in range(1, b - a):
                 x = slice(low[y], y)
-                for k in np.flatnonzero((c[x] != c[y]) & may_link(n[x], i[x], n[y], i[y])):
+                for k in np.flatnonzero((c[x] != c[y]) & may_link(n[x], i[x], n[y], i[y]) & (np.minimum(r[x], r[y]) >= common_needed(n[x], n[y]))):
                     pair = (int(d[low[y] + k]), int(d[y]))
                     if pair not in sent:
                         if len(sent) > CACHE_PAIRS:
@@ -275,49 +321,53 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 def similarity_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text)."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), "text")
     binary = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     scanned = materialize(binary.mapInArrow(_scan_sets, SETS), "sets")
     shared = spark.sparkContext.broadcast(count_table(scanned))
     rows = scanned.where("block is null").select("doc_id", "n", "digest")
     classes = rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     reps = materialize(rows.join(classes, "digest", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "reps")
+    discard(scanned)
 
     parts = shuffle_parts(spark)
-    prefixes = binary.mapInArrow(_emit_prefixes(shared), "token long, doc_id long, place long")
+    same = reps.where("rep <> doc_id").select("doc_id", "rep").distinct()
+    copies = checked_broadcast(materialize(same.select(F.col("doc_id").alias("copy")), "copies"))
+    single = binary.join(copies, F.col("doc_id") == F.col("copy"), "left_anti")
+    prefixes = single.mapInArrow(_emit_prefixes(shared), "token long, doc_id long, place long")
     lists = prefixes.repartition(parts, "token").sortWithinPartitions("token", "place", "doc_id")
-    postings = materialize(lists.mapInArrow(_postings, "token long, doc_id long, place long, prev long"), "postings")
-    release(spark)
-    same = reps.where("rep <> doc_id").select("doc_id", "rep")
-    same = checked_broadcast(materialize(same.distinct(), "copies"))
-
-    def to_reps(pairs: DataFrame) -> DataFrame:
-        for c in ("a", "b"):
-            pairs = pairs.join(same.select(F.col("doc_id").alias(c), F.col("rep").alias(f"rep_{c}")), c, "left").withColumn(c, F.coalesce(f"rep_{c}", c)).drop(f"rep_{c}")
-        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-
-    near = materialize(to_reps(postings.where("prev >= 0").select(F.col("prev").alias("a"), F.col("doc_id").alias("b")).distinct()), "near")
+    postings = materialize(lists.mapInArrow(_postings, "token long, doc_id long, place long"), "postings")
+
+    # a first linking: each document with the hubs and neighbours it shares the most lists with
+    repeats = postings.groupBy("doc_id").agg(F.count("*").alias("repeats"))
+    counted = materialize(postings.join(repeats, "doc_id"), "counted")
+    discard(postings)
+    lists = counted.repartition(parts, "token").sortWithinPartitions("token", "place", "doc_id")
+    shares = lists.mapInArrow(_hub_pairs, "doc_id long, hub long, lists long").groupBy("doc_id", "hub").agg(F.sum("lists").alias("lists"))
+    rank = F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("lists"), "hub"))
+    near = shares.withColumn("rank", rank).where(F.col("rank") <= NEIGHBOURS).select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b"))
+    near = materialize(near.distinct(), "near")
     links = verified(docs, near)
-    release(spark)
     comps = materialize(components(links), "comps")
 
-    label = same.select("doc_id", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("label"))
-    labels = materialize(label.unionByName(comps.select(F.col("node").alias("doc_id"), F.col("component").alias("label"))), "labels")
-    labelled = postings.join(checked_broadcast(labels), "doc_id", "left").select("token", "doc_id", "place", F.coalesce("label", "doc_id").alias("comp"))
+    # then all pairs of different components that the bounds leave
+    labels = comps.select(F.col("node").alias("doc_id"), "component")
+    labelled = counted.join(checked_broadcast(labels), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
     lists = labelled.repartition(parts, "token").sortWithinPartitions("token", "place", "doc_id")
-    cross = to_reps(lists.mapInArrow(_cross_pairs, "a long, b long"))
+    cross = lists.mapInArrow(_cross_pairs, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     cross = materialize(cross.join(near, ["a", "b"], "left_anti"), "cross")
+    discard(counted)
     links = links.unionByName(verified(docs, cross))
-    release(spark)
     comps = components(links)
     out = reps.join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+    known = lambda c: F.when(c != LAST, c)
+    return out.select(known(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), known(F.coalesce("component", "rep")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with only the smallest doc_id of each component."""
-    gone = materialize(similarity_components(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("_j_id")).distinct(), "gone")
-    return docs.join(checked_broadcast(gone), docs["doc_id"] == gone["_j_id"], "left_anti")
+    gone = materialize(similarity_components(docs).where("not component_id <=> doc_id").select(F.col("doc_id").alias("_j_id")).distinct(), "gone")
+    return docs.join(checked_broadcast(gone), docs["doc_id"].cast("long").eqNullSafe(gone["_j_id"]), "left_anti")
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
