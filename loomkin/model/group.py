@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomkin.lineage import discard, materialize
 from loomkin.model import graph as G
 from loomkin.model.domain import Domain
 from loomkin.model.factor import Factor, Potential, marginals_of, propagate
@@ -36,6 +37,14 @@ class GroupSettings:
     sharpness: float = 10.0
     singles_are_type0: bool = False
     seed: int = 0
+    #: Rounds that add the observed marginals the model misses most, and how many each.
+    marginal_rounds: int = 1
+    marginals_a_round: int = 2
+    candidates_queried: int = 400
+    most_attrs: int = 3
+    #: Rounds that add latent marginals of several attributes, and how many each.
+    latent_rounds: int = 0
+    latent_a_round: int = 1
     most_clique: float = 1e6
     most_cells: float = 1e7
     fit: Settings = Settings(iterations=60)
@@ -215,7 +224,12 @@ def round_by_types(type_size: np.ndarray, types: np.ndarray, rng: np.random.Gene
 
 
 def fit_groups(child: DataFrame, fk: str, domain: Domain, settings: GroupSettings = GroupSettings()) -> GroupModel:
-    """Expectation-maximisation of the latent type with noisy tables."""
+    """Expectation-maximisation of the latent type with noisy tables.
+
+    First the observed marginals, some of them chosen in rounds; then steps of noisy latent tables, prior,
+    fit and E-step; with latent_rounds, more steps after each choice of further latent marginals. Each
+    step's q is written once, so a lost executor costs one step.
+    """
     rng = np.random.default_rng(settings.seed)
     infinite = math.isinf(settings.budget)
     ledger, shares = Ledger(settings.budget), group_model_shares()
@@ -238,15 +252,36 @@ def fit_groups(child: DataFrame, fk: str, domain: Domain, settings: GroupSetting
     cliques = G.maximal_cliques(graph)
     tree = G.junction_tree(cliques)
     messages = G.message_order(cliques, tree)
-    observed = [m for m in G.marginals_by_feature(graph, full, {e: s / rows for e, s in scores.items()}, 3, 1e5) if m]
-    fixed_noise = noise("marginals", max(1, len(observed)))
-    measured = Potential({s: Factor(domain.project(s), noisy(t, fixed_noise, rng) if fixed_noise else t) for s, t in M.collect_marginals(own, observed, domain).items()})
-    latent = [(a, TYPE) if a < TYPE else (TYPE, a) for a in domain]
-    latent_noise = noise("latent_marginals", steps * max(1, len(latent)))
-    type_noise, size_noise, prior_noise = noise("types", steps), noise("sizes_in_training", steps), noise("prior", steps)
+    observed = [m for m in G.marginals_by_feature(graph, full, {e: s / rows for e, s in scores.items()}, settings.most_attrs, 1e5) if m]
+    rounds = settings.marginal_rounds
+    fixed_noise = noise("marginals", max(1, len(observed) + rounds * settings.marginals_a_round))
+
+    def release(sets) -> Potential:
+        return Potential({s: Factor(domain.project(s), noisy(t, fixed_noise, rng) if fixed_noise else t) for s, t in M.collect_marginals(own, sets, domain).items()})
+
+    # observed marginals: the first ones, then in rounds those that the model misses most
+    measured = release(observed)
     potential = Potential.zeros(full, cliques)
+    options = [m for m, _ in G.candidates([tuple(a for a in c if a != TYPE) for c in cliques], domain, settings.most_attrs, 1e5, measured)]
+    gap_noise = noise("selection", rounds * min(len(options), settings.candidates_queried)) if rounds and options else 0.0
+    for _ in range(rounds if options else 0):
+        potential, _ = mirror_descent(potential, measured, messages, rows, settings.fit, 0.0)
+        pick = rng.choice(len(options), min(settings.candidates_queried, len(options)), replace=False)
+        asked = sorted(options[i] for i in pick)
+        truth, now = M.collect_marginals(own, asked, domain), marginals_of(propagate(potential, messages, rows)[0], asked)
+        gaps = {s: float(np.abs(truth[s] - now[s].values).sum() / 2 + (rng.normal(scale=gap_noise) if gap_noise else 0.0)) for s in asked}
+        best = sorted(asked, key=lambda s: (-gaps[s], s))[: settings.marginals_a_round]
+        measured |= release(best)
+        options = [m for m in options if m not in measured]
+        if not options:
+            break
+    latent = [tuple(sorted((a, TYPE))) for a in domain]
+    latent_noise = noise("latent_marginals", (settings.steps * (1 + settings.latent_rounds)) * max(1, len(latent) + settings.latent_rounds * settings.latent_a_round))
+    every = settings.steps * (1 + settings.latent_rounds)
+    type_noise, size_noise, prior_noise = noise("types", every), noise("sizes_in_training", every), noise("prior", every)
     q = initial_types(own, fk, settings.types, settings.seed)
-    alpha, size_table, history = np.full(settings.types, 1 / settings.types), None, []
+    alpha, size_table, history, written = np.full(settings.types, 1 / settings.types), None, [], None
+    score_noise = 0.0
 
     def sized(q: DataFrame, sigma_: float) -> np.ndarray:
         table = np.zeros((settings.types, settings.cap))
@@ -254,17 +289,28 @@ def fit_groups(child: DataFrame, fk: str, domain: Domain, settings: GroupSetting
             table[r[TYPE], r["size"] - 1] = r["n"]
         return noisy(table, sigma_, rng) if sigma_ else table
 
-    for _ in range(steps):
-        q = q.persist()
+    for step in range(every):
+        if step and step % steps == 0:  # another round of latent structure: sets of attributes that the types should explain
+            so_far = GroupModel(full, fk, settings.types, potential, tree, messages, size_table, alpha, ledger, q, history)
+            sets = [m for m in {tuple(sorted(x for x in c if x != TYPE)) for c in cliques} if len(m) > 1]
+            pairs_of = sorted({p for m in sets for p in G.n_way(m, 2) if tuple(sorted((*p, TYPE))) not in latent})
+            if pairs_of:
+                if not score_noise:
+                    score_noise = noise("latent_selection", settings.latent_rounds * len(pairs_of))
+                latent += [tuple(sorted((*p, TYPE))) for p in select_latent(so_far, own, pairs_of, size_table.sum(axis=0), settings.latent_a_round, score_noise, settings.seed + step)]
+        q = materialize(q, "types")
+        if written is not None:
+            discard(written)
+        written = q
         wide = long_types(q, fk)
         tables = Potential(measured)
         for s in latent:
-            a = next(x for x in s if x != TYPE)
-            t = np.zeros((domain[a].size, settings.types))
-            for r in M.latent_marginal(own, fk, wide, [a, TYPE], [TYPE]).collect():
-                t[r[a], r[TYPE]] = r["n"]
+            seen = [x for x in s if x != TYPE]
+            t = np.zeros((*(domain[x].size for x in seen), settings.types))
+            for r in M.latent_marginal(own, fk, wide, [*seen, TYPE], [TYPE]).collect():
+                t[(*(r[x] for x in seen), r[TYPE])] = r["n"]
             t = noisy(t, latent_noise, rng) if latent_noise else t
-            tables[s] = Factor(full.project([a, TYPE]), t).to(s)
+            tables[s] = Factor(full.project([*seen, TYPE]), t).to(s)
         masses = np.array([float(x) for x in wide.groupBy(TYPE).agg(F.sum("p").alias("p")).orderBy(TYPE).toPandas()["p"]])
         alpha = prior(masses, prior_noise, rng, settings.singles_are_type0)
         y_mass = sum(tables[s].project([TYPE]).values for s in latent) / len(latent)
@@ -273,8 +319,10 @@ def fit_groups(child: DataFrame, fk: str, domain: Domain, settings: GroupSetting
         size_table = np.maximum(sized(q, size_noise), 0.0)
         new = expectation(own, fk, potential, messages, full, settings.types, size_table + 1e-6, settings.cap, settings.sharpness, settings.singles_are_type0)
         history.append(loss)
-        q.unpersist()
         q = new
+    q = materialize(q, "types")
+    if written is not None:
+        discard(written)
     final = sized(q, noise("type_sizes", 1))
     group_noise = noise("group_sizes", 1)
     counts = np.zeros(settings.cap)
@@ -284,30 +332,37 @@ def fit_groups(child: DataFrame, fk: str, domain: Domain, settings: GroupSetting
     return GroupModel(full, fk, settings.types, potential, tree, messages, normalize_by_group_size(final, counts), alpha, ledger, q, history)
 
 
-def multiset_likelihood(model: GroupModel, attr: str, observed: DataFrame, sizes: np.ndarray) -> float:
-    """How many groups the model lacks: sum over observed multisets of one attribute of max(seen - expected, 0).
+def multiset_likelihood(model: GroupModel, attrs: Sequence[str], observed: DataFrame, sizes: np.ndarray) -> float:
+    """How many groups the model lacks: sum over observed multisets of the attributes of max(seen - expected, 0).
 
-    observed: (members, n) of group_multisets for the attribute.
+    observed: (members, n) of group_multisets. sizes: groups by size - 1. Multisets are scored in Arrow
+    batches on the executors; larger groups than `sizes` has are left out.
     """
-    joint = marginals_of(propagate(model.potential, model.messages, 1.0)[0], [tuple(sorted((attr, TYPE)))])
-    table = next(iter(joint.values())).to((attr, TYPE)).values
-    given = table / np.maximum(table.sum(axis=0, keepdims=True), 1e-300)
-    total = 0.0
-    for r in observed.toLocalIterator():
-        times = [(m[attr], m["times"]) for m in r["members"]]
-        n = sum(t for _, t in times)
-        if n <= len(sizes):
-            ways = math.exp(math.lgamma(n + 1) - sum(math.lgamma(t + 1) for _, t in times))
-            chance = sum(model.alpha[y] * math.prod(given[v, y] ** t for v, t in times) for y in range(model.types))
-            total += max(r["n"] - sizes[n - 1] * ways * chance, 0.0)
-    return total
-
-
-def select_latent(model: GroupModel, child: DataFrame, attrs: Sequence[str], sizes: np.ndarray, count: int, noise: float = 0.0, seed: int = 0) -> list[str]:
-    """The attributes whose groups the model explains worst."""
+    clique = tuple(sorted((*attrs, TYPE)))
+    table = marginals_of(propagate(model.potential, model.messages, 1.0)[0], [clique])[clique].to((*attrs, TYPE)).values
+    given = np.log(np.maximum(table / np.maximum(table.sum(axis=tuple(range(len(attrs))), keepdims=True), 1e-300), 1e-300))
+    log_alpha, names = np.log(np.maximum(model.alpha, 1e-300)), list(attrs)
+
+    def lacking(batches):
+        for pdf in batches:
+            total = 0.0
+            for members, n in zip(pdf["members"], pdf["n"], strict=True):
+                times = [m["times"] for m in members]
+                size = sum(times)
+                if size <= len(sizes):
+                    ways = math.lgamma(size + 1) - sum(math.lgamma(t + 1) for t in times)
+                    logs = log_alpha + sum(t * given[tuple(m[a] for a in names)] for m, t in zip(members, times, strict=True))
+                    total += max(n - sizes[size - 1] * float(np.exp(logs + ways).sum()), 0.0)
+            yield pd.DataFrame({"lacking": [total]})
+
+    return float(observed.mapInPandas(lacking, "lacking double").agg(F.sum("lacking")).first()[0] or 0.0)
+
+
+def select_latent(model: GroupModel, child: DataFrame, sets: Sequence[Sequence[str]], sizes: np.ndarray, count: int, noise: float = 0.0, seed: int = 0) -> list[tuple[str, ...]]:
+    """The attribute sets whose groups the model explains worst."""
     rng = np.random.default_rng(seed)
-    scores = {a: multiset_likelihood(model, a, M.group_multisets(child, model.fk, [a]), sizes) + (rng.normal(scale=noise) if noise else 0.0) for a in attrs}
-    return sorted(attrs, key=lambda a: (-scores[a], a))[:count]
+    scores = {tuple(a): multiset_likelihood(model, a, M.group_multisets(child, model.fk, a), sizes) + (rng.normal(scale=noise) if noise else 0.0) for a in sets}
+    return sorted(scores, key=lambda a: (-scores[a], a))[:count]
 
 
 def all_types(shape: Sequence[int]) -> list[tuple[int, ...]]:

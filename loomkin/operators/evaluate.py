@@ -130,3 +130,29 @@ def model_distance(model, df: DataFrame, sets: Sequence[Sequence[str]], domain:
     """Distance of the data's marginals from a model's, by set."""
     truth, own = M.collect_marginals(df, sets, domain), model.marginals([tuple(s) for s in sets])
     return {s: float(np.abs(t / t.sum() - own[s].to(s).values / own[s].sum()).sum() / 2) for s, t in truth.items()}
+
+
+def merge_results(*results: dict) -> dict:
+    """Sum of nested result dictionaries over equal keys."""
+    out: dict = {}
+    for r in results:
+        for k, v in r.items():
+            out[k] = merge_results(out.get(k, {}), v) if isinstance(v, dict) else out.get(k, 0) + v
+    return out
+
+
+def divide_result(result: dict, by: float) -> dict:
+    return {k: divide_result(v, by) if isinstance(v, dict) else v / by for k, v in result.items()}
+
+
+def marginal_experiment(df: DataFrame, domain: Domain, synthesize, budgets: Sequence[float], ways: Sequence[int] = (3, 4, 5), count: int = 300, repeats: int = 1, seed: int = 0) -> dict:
+    """Mean distance of k-way marginals for each budget, over repeats; `synthesize(df, budget, seed)` gives the rows to judge."""
+    results = []
+    for r in range(repeats):
+        one: dict = {}
+        for budget in budgets:
+            made = synthesize(df, budget, seed + r)
+            for k in (k for k in ways if k <= len(domain)):
+                one.setdefault(budget, {})[k] = k_way_tvd(df, made, random_sets(list(domain), k, count, seed + r)).agg(F.avg("tvd")).first()[0]
+        results.append(one)
+    return divide_result(merge_results(*results), repeats)

@@ -202,6 +202,20 @@ def test_group_model_keeps_its_budget(spark):
     assert 0 < model.ledger.spent <= 1.0 + 1e-9
 
 
+def test_latent_rounds_add_marginals(spark):
+    rng = np.random.default_rng(1)
+    rows = [(g, int(a), int(a) if g % 2 else int(b)) for g in range(80) for a, b in rng.integers(0, 2, (3, 2))]
+    child = spark.createDataFrame(rows, "fk long, a int, b int")
+    model = fit_groups(child, "fk", Domain({"a": 2, "b": 2}), GroupSettings(types=2, steps=1, latent_rounds=1, marginal_rounds=1))
+    assert len(model.history) == 2 and abs(model.type_size.sum() - 80) < 1e-6
+
+
+def test_experiment_averages_over_repeats(spark):
+    t = spark.createDataFrame([(i % 2, i % 3, i % 2) for i in range(60)], "a int, b int, c int")
+    got = V.marginal_experiment(t, Domain({"a": 2, "b": 3, "c": 2}), lambda df, budget, seed: df, [0.1, 1.0], ways=(2, 3), repeats=2)
+    assert got == {0.1: {2: 0.0, 3: 0.0}, 1.0: {2: 0.0, 3: 0.0}}
+
+
 def test_initial_types_are_distributions(spark):
     child = spark.range(50).withColumnRenamed("id", "fk")
     for hot in (True, False):
