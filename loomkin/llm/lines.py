@@ -194,12 +194,14 @@ def _pairs(batches):
     out: list[tuple[int, int]] = []
     for key, line, sig in _runs_of_keys(batches):
         cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
-        long = np.flatnonzero(np.diff(cuts) > 1)
-        for r in long.tolist():
+        bare = line & ~np.int64(1)
+        # most lists hold one line only, which meets its own segments there
+        mixed = np.minimum.reduceat(bare, cuts[:-1]) != np.maximum.reduceat(bare, cuts[:-1])
+        for r in np.flatnonzero(mixed).tolist():
             a, b = cuts[r], cuts[r + 1]
-            role, ids, s = line[a:b] & 1, line[a:b] & ~np.int64(1), sig[a:b]
+            role, ids, s = line[a:b] & 1, bare[a:b], sig[a:b]
             own, probe = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
-            if not len(own) or not len(probe) or (ids == ids[0]).all():
+            if not len(own) or not len(probe):
                 continue
             own = own[np.unique(ids[own], return_index=True)[1]]
             probe = probe[np.unique(ids[probe], return_index=True)[1]]
