@@ -7,7 +7,8 @@ meet:
 
 1. Each 100-byte window picks its anchor, the 32-byte substring in it with the smallest hash (the leftmost
    of equals): equal windows pick equal anchors. Consecutive windows of one anchor form a run.
-2. Anchors are sorted; only those that occur twice or more go on (one row each in and out).
+2. Anchors that occur twice or more go on. A task knows those that repeat among its own documents and
+   sends one row of each; the others are found by sorting.
 3. Documents meet their repeated anchors; each run's bytes go to the anchor's bucket. Equal runs seen
    before in the same task are known to be copies and are not sent again.
 4. In a bucket, equal runs are copies of the earliest. The windows of the runs that differ are put in
@@ -81,34 +82,60 @@ def anchor_runs(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate(starts), np.concatenate(counts)
 
 
+#: Anchors of a task looked at together before they are dealt out, and what is known of an anchor's row.
+ANCHORS_AT_ONCE = 1 << 20
+ALONE, KNOWN, SPOKESMAN = 0, 1, 2
+ANCHORS = "bucket long, anchor long, doc long, run long, state int"
+
+
 def _emit_anchors(batches):
+    """Rows for the search of repeated anchors.
+
+    An anchor that repeats within the task is known to: one row of it speaks for it in the anchor's bucket
+    and the others are dealt out evenly, so a very frequent anchor sends a row a task to its bucket.
+    """
+    held: list[list[np.ndarray]] = [[], [], []]
+    n = 0
+
+    def dealt():
+        anchor, doc, run = (np.concatenate(c) for c in held)
+        order = np.argsort(anchor, kind="stable")
+        anchor, doc, run = anchor[order], doc[order], run[order]
+        same = anchor[1:] == anchor[:-1]
+        state = np.where(np.r_[False, same], KNOWN, np.where(np.r_[same, False], SPOKESMAN, ALONE)).astype(np.int32)
+        bucket = np.where(state == KNOWN, doc * 1_000_003 + run, anchor)
+        for a in range(0, len(anchor), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(c[a : a + (1 << 16)]) for c in (bucket, anchor, doc, run, state)], names=["bucket", "anchor", "doc", "run", "state"])
+
     for batch in batches:
-        cols: list[list[np.ndarray]] = [[], [], []]
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if text is not None and len(text) >= MATCH:
                 h, s, c = anchor_runs(text)
-                cols[0].append(h.view(np.int64))
-                cols[1].append(np.full(len(h), doc, np.int64))
-                cols[2].append(s << 8 | c)
-        if cols[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["anchor", "doc", "run"])
+                for k, x in enumerate((h.view(np.int64), np.full(len(h), doc, np.int64), s << 8 | c)):
+                    held[k].append(x)
+                n += len(h)
+                if n >= ANCHORS_AT_ONCE:
+                    yield from dealt()
+                    held, n = [[], [], []], 0
+    if n:
+        yield from dealt()
 
 
 def _repeated(batches):
-    """Rows of sorted batches whose first column occurs in a neighbouring row; holds two rows at a time."""
+    """Rows known to repeat, and rows sorted by bucket whose anchor is in a neighbouring row; holds two rows at a time."""
     held: list[np.ndarray] | None = None  # the last rows: context, and one not yet judged
-    names, skip = ["anchor", "doc", "run"], 0
+    skip = 0
 
     def judged(cols, upto):
-        key = cols[0]
-        same = key[1:] == key[:-1]
-        more = np.r_[False, same] | np.r_[same, False]
+        bucket, anchor, _, _, state = cols
+        same = (bucket[1:] == bucket[:-1]) & (anchor[1:] == anchor[:-1])
+        more = np.r_[False, same] | np.r_[same, False] | (state != ALONE)
         k = np.flatnonzero(more[skip:upto]) + skip
         for a in range(0, len(k), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(c[k[a : a + (1 << 16)]]) for c in cols], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c[k[a : a + (1 << 16)]]) for c in cols[1:4]], names=["anchor", "doc", "run"])
 
     for batch in batches:
-        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
+        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
         if not len(cols[0]):
             continue
         if held:
@@ -282,7 +309,7 @@ def earlier_copies(docs: DataFrame) -> DataFrame:
     """(doc, start, until): byte stretches of documents that are covered by earlier copies. doc is doc_id, or LAST for null."""
     parts = shuffle_parts(docs.sparkSession)
     texts = _texts(docs)
-    anchors = texts.mapInArrow(_emit_anchors, "anchor long, doc long, run long").repartition(parts, "anchor").sortWithinPartitions("anchor")
+    anchors = texts.mapInArrow(_emit_anchors, ANCHORS).repartition(parts, "bucket").sortWithinPartitions("bucket", "anchor", "state")
     repeated = materialize(anchors.mapInArrow(_repeated, "anchor long, doc long, run long"), "anchors")
     of_doc = repeated.groupBy("doc").agg(F.collect_list(F.struct("anchor", "run")).alias("runs"))
     runs = _packed(texts).join(of_doc.hint("merge"), "doc").select("doc", "text", "runs").mapInArrow(_emit_runs, RUNS)
