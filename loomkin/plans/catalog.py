@@ -73,6 +73,17 @@ def marginals_grouping_sets(spark, sf):
     return M.marginals(child(spark, sf), [("rf", "ls"), ("rf", "disc"), ("ls", "disc"), ("rf",)])
 
 
+_ALL = CHILD_DOMAIN.pairs()
+_MASK = [sum(1 << (len(CHILD_DOMAIN) - 1 - i) for i, a in enumerate(CHILD_DOMAIN) if a not in p) for p in _ALL]
+
+
+@query(f"""WITH {CHILD} SELECT CASE grouping({", ".join(CHILD_DOMAIN)}) {" ".join(f"WHEN {m} THEN {i}" for i, m in enumerate(_MASK))} END AS set_id, {", ".join(CHILD_DOMAIN)}, count(*) AS n
+FROM c GROUP BY GROUPING SETS ({", ".join(f"({a}, {b})" for a, b in _ALL)})""")
+def marginals_all_pairs(spark, sf):
+    """All pairs of six attributes in one scan."""
+    return M.marginals(child(spark, sf), _ALL)
+
+
 @query(f"WITH {CHILD} SELECT rf, disc, CAST(sum(qty + 1) AS BIGINT) AS n FROM c GROUP BY rf, disc")
 def weighted_marginal(spark, sf):
     return M.marginal(child(spark, sf), ["rf", "disc"], weight=(F.col("qty") + 1).cast("long"))

@@ -70,6 +70,22 @@ def e_step(spark, sf):
     return sums.agg(F.count("*").alias("n_groups"), (F.max(F.abs(F.col("s") - 1)) < 1e-9).alias("normal"))
 
 
+@query("SELECT count(DISTINCT l_orderkey) AS n_groups, TRUE AS normal FROM lineitem")
+def e_step_16_types(spark, sf):
+    """One E-step over all groups with 16 types, from seeded potentials."""
+    from loomkin.model import graph as G
+    from loomkin.model.factor import Factor, Potential
+    from loomkin.model.group import TYPE, expectation
+
+    full, rng = SMALL.with_attribute(TYPE, 16, latent=True), np.random.default_rng(0)
+    cliques = [tuple(sorted((a, TYPE))) for a in SMALL]
+    potential = Potential({c: Factor(full.project(c), rng.normal(size=full.project(c).shape)) for c in cliques})
+    tree = G.junction_tree(cliques)
+    q = expectation(child(spark, sf), "fk", potential, G.message_order(cliques, tree), full, 16, np.ones((16, 8)), 8)
+    total = q.select("fk", F.aggregate("q", F.lit(0.0), lambda a, x: a + x).alias("s"))
+    return total.agg(F.count("*").alias("n_groups"), (F.max(F.abs(F.col("s") - 1)) < 1e-9).alias("normal"))
+
+
 @query()
 def group_synthesis(spark, sf):
     """The parent/child model end to end: groups asked for, made, with members and foreign keys; orphans among them."""
