@@ -6,8 +6,8 @@ that level 2 wrongly accepts, and so on until no key is wrong. A key of the univ
 exactly by the first level that rejects it, without a join. Levels are strings of 7-bit characters,
 so that one character is read and one bit tested for each hash, inside a plain expression.
 
-Keys are dealt by hash to as many cascades as the bound on one cascade's bytes asks for. One cascade
-is a constant of the plan; several are rows that keys meet by their shard number.
+Keys are dealt by hash to as many cascades as the bound on one cascade's bytes asks for, built together
+level by level. One cascade is a constant of the plan; several are rows that keys meet by their shard.
 
 Defined results: a null URL, or one without `://`, has an empty host and path and is an ordinary,
 unlisted key. Repeated rows are judged once each. An empty table or list gives an empty cascade that
@@ -28,7 +28,7 @@ RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 #: Domains whose keys are listed for blocking, subdomains included (a parameter of the query).
 LISTED_DOMAINS = ("ads-track.example.com", "casino-win.example.net", "spam-farm.example.org", "adult-x.example.com", "cheap-pills.example.net", "free-bets.example.net")
 #: Bits in a character, false positives of levels after the first, and the most bytes in one cascade held as a constant.
-WIDTH, LATER_RATE, MOST_BYTES = 7, 0.5, 4 << 20
+WIDTH, LATER_RATE, MOST_BYTES = 7, 0.5, 1 << 20
 LEVELS = 64
 
 
@@ -54,77 +54,103 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
-def bit_at(key: Column, level: int, probe: int, bits: Column) -> Column:
-    return F.pmod(F.xxhash64(key, F.lit(level), F.lit(probe)), bits)
+def bit_at(key: Column, level: int, probe: Column, bits: Column) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(level), probe), bits)
+
+
+def bit_set(at: Column, body: Column) -> Column:
+    char = F.ascii(F.substring(body, (F.floor(at / WIDTH) + 1).cast("int"), F.lit(1)).cast("string")).cast("long")
+    return F.getbit(char, F.pmod(at, F.lit(WIDTH)).cast("int")) == 1
 
 
 def accepted(key: Column, level: int, probes: int, bits: int, body: Column) -> Column:
-    """Whether a level accepts key: all its probes' bits are set."""
+    """Whether a level accepts key, all its probes' bits being set; unrolled for a known number of probes."""
     out = F.lit(True)
     for j in range(probes):
-        at = bit_at(key, level, j, F.lit(bits).cast("long"))
-        char = F.ascii(F.substring(body, (F.floor(at / WIDTH) + 1).cast("int"), F.lit(1)).cast("string")).cast("long")
-        out = out & (F.getbit(char, F.pmod(at, F.lit(WIDTH)).cast("int")) == 1)
+        out = out & bit_set(bit_at(key, level, F.lit(j), F.lit(bits).cast("long")), body)
     return out
 
 
-def level_bytes(keys: DataFrame, level: int, probes: int, bits: int) -> bytes:
-    """The level's body: bits of `keys`, or-ed together by Spark; the driver collects at most `bits` / 7 small rows, under MOST_BYTES."""
-    at = F.explode(F.array(*(bit_at(F.col("key"), level, j, F.lit(bits).cast("long")) for j in range(probes))))
-    rows = keys.select(at.alias("at")).groupBy(F.floor(F.col("at") / WIDTH).alias("c")).agg(F.expr(f"bit_or(shiftleft(1, cast(at % {WIDTH} as int)))").alias("v"))
-    body = bytearray(-(-bits // WIDTH))
-    for r in rows.collect():
-        body[r["c"]] = r["v"]
-    return bytes(body)
+def accepted_by(key: Column, level: int, cascade: Column) -> Column:
+    """The same for a level (probes, bits, body) that is a column."""
+    probes = F.sequence(F.lit(0), cascade["probes"] - 1)
+    return F.forall(probes, lambda j: bit_set(bit_at(key, level, j, cascade["bits"]), cascade["body"]))
 
 
-def build_cascade(keys: DataFrame) -> list[tuple[int, int, bytes]]:
-    """Levels (probes, bits, body) for keys (key, listed): distinct keys of one shard, complete."""
-    sizes = {r["listed"]: r["n"] for r in keys.groupBy("listed").agg(F.count("*").alias("n")).collect()}
-    levels, inside, outside = [], keys.where("listed").select("key"), keys.where("not listed").select("key")
-    n_in, n_out = sizes.get(True, 0), sizes.get(False, 0)
-    while n_in:
-        if len(levels) >= LEVELS:
-            raise RuntimeError("the cascade does not end; are the keys distinct?")
-        rate = LATER_RATE if levels else min(0.5, max(2.0**-16, math.sqrt(0.5) * n_in / max(n_out, 1)))
-        probes = max(1, round(-math.log2(rate)))
-        bits = max(WIDTH, math.ceil(n_in * probes / math.log(2)))
+def parameters(n_in: int, n_out: int, level: int) -> tuple[int, int]:
+    """(probes, bits) of a level for n_in keys against n_out others; a level without keys rejects all."""
+    rate = LATER_RATE if level else min(0.5, max(2.0**-16, math.sqrt(0.5) * n_in / max(n_out, 1)))
+    probes = max(1, round(-math.log2(rate)))
+    return probes, max(WIDTH, math.ceil(n_in * probes / math.log(2)))
+
+
+def level_table(keys: DataFrame, level: int, sizes: dict[int, tuple[int, int]]) -> DataFrame:
+    """(shard, probes, bits, body) of one level for all shards at once, from keys (key, shard); sizes: (probes, bits) by shard."""
+    spark = keys.sparkSession
+    values = ", ".join(f"({s}, {p}, {b}L)" for s, (p, b) in sorted(sizes.items()))
+    plan = F.broadcast(spark.sql(f"SELECT * FROM VALUES {values} AS t(shard, probes, bits)"))
+    probed = keys.join(plan, "shard").select("key", "shard", "bits", F.explode(F.sequence(F.lit(0), F.col("probes") - 1)).alias("j"))
+    at = probed.select("shard", bit_at(F.col("key"), level, F.col("j"), F.col("bits")).alias("at"))
+    chars = at.groupBy("shard", F.floor(F.col("at") / WIDTH).alias("c")).agg(F.expr(f"bit_or(shiftleft(1, cast(at % {WIDTH} as int)))").alias("v"))
+    grid = plan.select("shard", "probes", "bits", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("bits") / WIDTH) - 1)).alias("c"))
+    full = grid.join(chars, ["shard", "c"], "left").groupBy("shard", "probes", "bits")
+    ordered = F.sort_array(F.collect_list(F.struct("c", F.coalesce("v", F.lit(0)).alias("v"))))
+    body = F.array_join(F.transform(ordered, lambda x: F.char(x["v"])), "").cast("binary")
+    return materialize(full.agg(body.alias("body")), f"level{level}")
+
+
+def build_cascades(keys: DataFrame, shards: int) -> list[DataFrame]:
+    """Levels for keys (key, listed, shard), distinct and complete; every level is made for all shards in one pass.
+
+    Only two counts a shard and level reach the driver.
+    """
+    counts = {(r["shard"], r["listed"]): r["n"] for r in keys.groupBy("shard", "listed").agg(F.count("*").alias("n")).collect()}
+    n_in, n_out = ({s: counts.get((s, flag), 0) for s in range(shards)} for flag in (True, False))
+    inside, outside = keys.where("listed").select("key", "shard"), keys.where("not listed").select("key", "shard")
+    levels: list[DataFrame] = []
+    while any(n_in.values()):
         k = len(levels)
-        levels.append((probes, bits, level_bytes(inside, k, probes, bits)))
-        wrong = outside.where(accepted(F.col("key"), k, probes, bits, F.lit(levels[-1][2])))
-        wrong = materialize(wrong, f"level{k}")
-        inside, outside, n_in, n_out = wrong, inside, wrong.count(), n_in
+        if k >= LEVELS:
+            raise RuntimeError("the cascade does not end; are the keys distinct?")
+        levels.append(level_table(inside, k, {s: parameters(n_in[s], n_out[s], k) for s in range(shards)}))
+        own = levels[k].select("shard", F.struct("probes", "bits", "body").alias("l")).hint("broadcast" if shards == 1 else "shuffle_hash")
+        wrong = outside.join(own, "shard").where(accepted_by(F.col("key"), k, F.col("l"))).select("key", "shard")
+        wrong = materialize(wrong, f"wrong{k}")
+        inside, outside, n_out = wrong, inside, n_in
+        found = {r["shard"]: r["n"] for r in wrong.groupBy("shard").agg(F.count("*").alias("n")).collect()}
+        n_in = {s: found.get(s, 0) for s in range(shards)}
     return levels
 
 
-def member(key: Column, levels: list[tuple[int, int, bytes]], body=lambda k, levels: F.lit(levels[k][2])) -> Column:
+def member(key: Column, accepts: list[Column]) -> Column:
     """Exact membership for keys of the universe: the parity of the first level that rejects."""
-    out = F.lit(len(levels) % 2 == 1)
-    for k in reversed(range(len(levels))):
-        probes, bits, _ = levels[k]
-        out = F.when(accepted(key, k, probes, bits, body(k, levels)), out).otherwise(F.lit(k % 2 == 1))
+    out = F.lit(len(accepts) % 2 == 1)
+    for k in reversed(range(len(accepts))):
+        out = F.when(accepts[k], out).otherwise(F.lit(k % 2 == 1))
     return out
 
 
 def listed_flags(rows: DataFrame, keys: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
     """rows (key, ...) with `listed`, for keys (key, listed) that hold every key of rows once.
 
-    With S cascades, rows of a shard are judged by that shard's constant; each shard is built from its
-    own keys. The number of shards follows from the number of listed keys, which is counted first.
+    A list that fits one cascade of most_bytes is judged by constants, without a join. A larger one is
+    dealt into shards by a hash of the key, and rows meet their shard's cascade by that number.
     """
     listed = keys.where("listed").count()
     shards = max(1, -(-listed * 3 // most_bytes))  # a listed key takes under 3 bytes over all levels
-    if shards == 1:
-        return rows.withColumn("listed", member(F.col("key"), build_cascade(keys)))
     shard = F.pmod(F.xxhash64("key", F.lit(-1)), F.lit(shards)).cast("int")
-    bodies, judged = [], F.lit(False)
-    for s in range(shards):
-        levels = build_cascade(keys.where(shard == s))
-        bodies.append((s, [b for _, _, b in levels]))
-        judged = F.when(F.col("shard") == s, member(F.col("key"), levels, lambda k, _: F.col("bodies")[k])).otherwise(judged)
-    held = rows.sparkSession.createDataFrame(bodies, "shard int, bodies array<binary>")
-    met = rows.withColumn("shard", shard).join(held.hint("shuffle_hash"), "shard")
-    return met.withColumn("listed", judged).drop("shard", "bodies")
+    levels = build_cascades(keys.select("key", "listed", shard.alias("shard")), shards)
+    key = F.col("key")
+    if shards == 1:
+        held = [x.first() for x in levels]
+        return rows.withColumn("listed", member(key, [accepted(key, k, x["probes"], x["bits"], F.lit(bytes(x["body"]))) for k, x in enumerate(held)]))
+    met = rows.withColumn("_u_shard", shard)
+    cascades = levels[0].select(F.col("shard").alias("_u_shard"), F.struct("probes", "bits", "body").alias("_u_0"))
+    for k, x in enumerate(levels[1:], 1):
+        cascades = cascades.join(x.select(F.col("shard").alias("_u_shard"), F.struct("probes", "bits", "body").alias(f"_u_{k}")), "_u_shard")
+    met = met.join(cascades.hint("shuffle_hash"), "_u_shard")
+    out = met.withColumn("listed", member(key, [accepted_by(key, k, F.col(f"_u_{k}")) for k in range(len(levels))]))
+    return out.select(*rows.columns, "listed")
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
