@@ -11,6 +11,8 @@ without the white space at their ends; lines under MIN_BYTES are left alone.
    (length, segment number, bytes), computed for all lines of a batch from prefix hashes.
 3. Equal hashes meet by sorting. A pair is made only if the lines' signatures - parities of their byte
    pairs in 64 classes, of which an edit changes four at most - allow it.
+   The members of a list of more than LARGE comparisons are dealt out again by segments of what the list
+   does not hold, under the edits that are left for it.
 4. The lines of the pairs are read once more and verified by banded bit-parallel edit distance.
 5. A distinct line with an earlier relative goes wherever it occurs; any other stays at its first place.
    Places are judged on the input, so the order of work has no influence.
@@ -36,6 +38,8 @@ FLIPS = 4
 #: Bytes of text whose keys are made at once, and pairs of a list compared at once.
 TEXT_AT_ONCE, PAIRS_AT_ONCE = 2 << 20, 1 << 20
 CACHE_PAIRS = 1 << 18
+#: Comparisons in one list above which its members are split by finer keys.
+LARGE = 1 << 22
 _BASE = 0x5851F42D4C957F2D
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -96,31 +100,89 @@ def signatures(text: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndar
     return np.bitwise_xor.reduceat(np.r_[bits, np.uint64(0)], edges)[0::2]
 
 
-def keys_of(lines: list[bytes], edits: int = EDITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For distinct lines: key, line's index and role (0 a segment, 1 a probe), and the lines' signatures."""
-    text = np.frombuffer(b"".join(lines), np.uint8)
-    size = np.array([len(x) for x in lines], np.int64)
-    start = np.cumsum(size) - size
-    hashed, which = _Hasher(text), np.arange(len(lines))
-    keys, index, roles = [], [], []
+def _key_parts(hashed: _Hasher, start: np.ndarray, size: np.ndarray, edits: int):
+    """For each segment and probe: (key, line, role, segment number, length of the segment's line, start in the line, bytes)."""
 
-    def add(length, number, at, n, ok, role):
+    def part(length, number, at, n, ok, role):
         k = np.flatnonzero(ok)
-        h = hashed(at[k], n[k])
-        keys.append(_mix(h + length[k].astype(np.uint64) * np.uint64(0xA0761D6478BD642F) + np.uint64(number * 0x1D8E4E27C47D124F & (1 << 64) - 1)))
-        index.append(which[k])
-        roles.append(np.full(len(k), role, np.int64))
+        h = hashed(start[k] + at[k], n[k])
+        key = _mix(h + length[k].astype(np.uint64) * np.uint64(0xA0761D6478BD642F) + np.uint64(number * 0x1D8E4E27C47D124F & (1 << 64) - 1))
+        return key, k, role, number, length[k], at[k], n[k]
 
     for i in range(1, edits + 2):
         before, n = segment_bounds(size, i, edits)
-        add(size, i, start + before, n, n > 0, 0)
+        yield part(size, i, before, n, n > 0, 0)
         for longer in range(edits + 1):
             other = size - longer
             before, n = segment_bounds(other, i, edits)
-            for shift in range(max(1 - i, longer - (edits + 1 - i)), min(i - 1, longer + (edits + 1 - i)) + 1):
-                at = before + shift
-                add(other, i, start + at, n, (other >= MIN_BYTES) & (n > 0) & (at >= 0) & (at + n <= size), 1)
-    return np.concatenate(keys), np.concatenate(index) << 1 | np.concatenate(roles), signatures(text, start, size)
+            for at in _shifted(before, longer, i, edits):
+                yield part(other, i, at, n, (other >= MIN_BYTES) & (n > 0) & (at >= 0) & (at + n <= size), 1)
+
+
+def _shifted(before: np.ndarray, longer: int, number: int, edits: int):
+    """Starts at which a line `longer` bytes longer than the segment's can hold segment `number`."""
+    for shift in range(max(1 - number, longer - (edits + 1 - number)), min(number - 1, longer + (edits + 1 - number)) + 1):
+        yield before + shift
+
+
+def _joined(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The lines' bytes in one array, with each line's start and size."""
+    size = np.array([len(x) for x in lines], np.int64)
+    return np.frombuffer(b"".join(lines), np.uint8), np.cumsum(size) - size, size
+
+
+def keys_of(lines: list[bytes], edits: int = EDITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For distinct lines: key, line's index and role (0 a segment, 1 a probe), and the lines' signatures."""
+    text, start, size = _joined(lines)
+    parts = [(p[0], p[1] << 1 | p[2]) for p in _key_parts(_Hasher(text), start, size, edits)]
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), signatures(text, start, size)
+
+
+def finer_keys(lines: list[bytes], wanted: np.ndarray, roles: np.ndarray, edits: int = EDITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys for the members of large lists: line k stands in the list of key wanted[k] with roles[k].
+
+    What a pair of the list has in common is segment i of the one line. Some such i has at most i - 1 edits
+    before it and at most edits + 1 - i after it, so one side is split again into as many segments as it
+    may have edits, and one more. Returns key, line's index and role, and the signatures.
+    """
+    text, start, size = _joined(lines)
+    hashed = _Hasher(text)
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def part(list_key, k, at, n, number, ok, role):
+        j = np.flatnonzero(ok & (n > 0) & (at >= 0) & (at + n <= size[k]))
+        h = hashed(start[k[j]] + at[j], n[j])
+        key = _mix(h + list_key[j] * np.uint64(0x9FB21C651E98DF25) + np.uint64(number * 0x1D8E4E27C47D124F & (1 << 64) - 1))
+        out.append((key, k[j] << 1 | role))
+
+    for key, k, role, i, length, at, n in _key_parts(hashed, start, size, edits):
+        mine = (key == wanted[k]) & (roles[k] == role)
+        key, k, length, at, n = key[mine], k[mine], length[mine], at[mine], n[mine]
+        if not len(k):
+            continue
+        before, _ = segment_bounds(length, i, edits)
+        own_left, own_right = before, length - before - n
+        right = np.full(len(k), i == 1) if i in (1, edits + 1) else own_right >= own_left
+        for side in (False, True):
+            most = edits + 1 - i if side else i - 1
+            s = np.flatnonzero(right == side)
+            if not len(s):
+                continue
+            own = (own_right if side else own_left)[s]
+            first = (at + n)[s] if side else np.zeros(len(s), np.int64)
+            longer = ((size[k] - at - n) if side else at)[s] - own
+            for j in range(1, most + 2):
+                b, m = segment_bounds(own, j, most)
+                if role == 0:
+                    part(key[s], k[s], first + b, m, j, np.ones(len(s), bool), 0)
+                    continue
+                for d in range(-most, most + 1):
+                    for x in _shifted(b, d, j, most):
+                        inside = (longer == d) & (x >= 0) & (x + m <= own + longer)
+                        part(key[s], k[s], first + x, m, j, inside, 1)
+    empty = np.empty(0, np.uint64), np.empty(0, np.int64)
+    keys, index = (np.concatenate([o[c] for o in out]) if out else empty[c] for c in (0, 1))
+    return keys, index, signatures(text, start, size)
 
 
 def _rows(batch):
@@ -188,44 +250,76 @@ def _runs_of_keys(batches):
         yield [np.concatenate([h[k] for h in held]) for k in range(3)]
 
 
-def _pairs(batches):
-    """Pairs (a, b) of lines of which one holds the other's segment, if their signatures allow it."""
-    sent: set[tuple[int, int]] = set()
-    out: list[tuple[int, int]] = []
-    for key, line, sig in _runs_of_keys(batches):
-        cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
-        bare = line & ~np.int64(1)
-        # most lists hold one line only, which meets its own segments there
-        mixed = np.minimum.reduceat(bare, cuts[:-1]) != np.maximum.reduceat(bare, cuts[:-1])
-        for r in np.flatnonzero(mixed).tolist():
-            a, b = cuts[r], cuts[r + 1]
-            role, ids, s = line[a:b] & 1, bare[a:b], sig[a:b]
-            own, probe = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
-            if not len(own) or not len(probe):
-                continue
-            own = own[np.unique(ids[own], return_index=True)[1]]
-            probe = probe[np.unique(ids[probe], return_index=True)[1]]
-            step = max(1, PAIRS_AT_ONCE // len(own))
-            for p in range(0, len(probe), step):
-                some = probe[p : p + step]
-                flips = np.bitwise_count((s[some][:, None] ^ s[own][None, :]).view(np.uint64))
-                x, y = np.nonzero((flips <= FLIPS * EDITS) & (ids[some][:, None] != ids[own][None, :]))
-                for u, v in zip(ids[some][x].tolist(), ids[own][y].tolist(), strict=True):
-                    pair = (u, v) if u < v else (v, u)
-                    if pair not in sent:
-                        if len(sent) > CACHE_PAIRS:
-                            sent.clear()
-                        sent.add(pair)
-                        out.append(pair)
-        if len(out) > 1 << 15:
-            yield _pair_batch(out)
-            out = []
-    if out:
-        yield _pair_batch(out)
-
-
-def _pair_batch(pairs):
-    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+#: Rows of _pairs: a pair of lines, or (large) a list's key and a member.
+PAIRS = "a long, b long, large boolean"
+
+
+def _pairs(most: float):
+    """Pairs (a, b) of lines of which one holds the other's segment, if their signatures allow it.
+
+    A list of more than `most` comparisons is not compared here; its members come out for finer keys.
+    """
+
+    def run(batches):
+        sent: set[tuple[int, int]] = set()
+        out: list[tuple[int, int]] = []
+        for key, line, sig in _runs_of_keys(batches):
+            cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+            bare = line & ~np.int64(1)
+            # most lists hold one line only, which meets its own segments there
+            mixed = np.minimum.reduceat(bare, cuts[:-1]) != np.maximum.reduceat(bare, cuts[:-1])
+            for r in np.flatnonzero(mixed).tolist():
+                a, b = cuts[r], cuts[r + 1]
+                role, ids, s = line[a:b] & 1, bare[a:b], sig[a:b]
+                own, probe = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
+                if not len(own) or not len(probe):
+                    continue
+                own = own[np.unique(ids[own], return_index=True)[1]]
+                probe = probe[np.unique(ids[probe], return_index=True)[1]]
+                if len(own) * len(probe) > most:
+                    members = np.concatenate([ids[own], ids[probe] | 1])
+                    for c in range(0, len(members), 1 << 16):
+                        some = members[c : c + (1 << 16)]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), key[a])), pa.array(some), pa.array(np.ones(len(some), bool))], names=["a", "b", "large"])
+                    continue
+                step = max(1, PAIRS_AT_ONCE // len(own))
+                for p in range(0, len(probe), step):
+                    some = probe[p : p + step]
+                    flips = np.bitwise_count((s[some][:, None] ^ s[own][None, :]).view(np.uint64))
+                    x, y = np.nonzero((flips <= FLIPS * EDITS) & (ids[some][:, None] != ids[own][None, :]))
+                    for u, v in zip(ids[some][x].tolist(), ids[own][y].tolist(), strict=True):
+                        pair = (u, v) if u < v else (v, u)
+                        if pair not in sent:
+                            if len(sent) > CACHE_PAIRS:
+                                sent.clear()
+                            sent.add(pair)
+                            out.append(pair)
+            if len(out) > 1 << 15:
+                yield _pair_batch(out, large=True)
+                out = []
+        if out:
+            yield _pair_batch(out, large=True)
+
+    return run
+
+
+def _pair_batch(pairs, large: bool = False):
+    """Pairs as a batch; large: with the column that says they are no members of large lists."""
+    cols = [pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)]
+    return pa.RecordBatch.from_arrays([*cols, *([pa.array(np.zeros(len(pairs), bool))] if large else [])], names=["a", "b", "large"][: 2 + large])
+
+
+def _emit_finer(batches):
+    """Rows (key, line | role, signature) from members (list's key, line | role, text) of large lists."""
+    for batch in batches:
+        wanted = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+        member = batch.column(1).to_numpy(zero_copy_only=False)
+        texts = batch.column(2).to_pylist()
+        for a in range(0, len(texts), 2048):
+            c = slice(a, a + 2048)
+            keys, index, sigs = finer_keys(texts[c], wanted[c], member[c] & 1)
+            which = index >> 1
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array((member[c] & ~np.int64(1))[which] | index & 1), pa.array(sigs.view(np.int64)[which])], names=["key", "line", "sig"])
 
 
 def within(a: bytes, b: bytes, edits: int = EDITS) -> bool:
@@ -291,21 +385,34 @@ def _verify(batches):
         yield _pair_batch([(a[k], b[k]) for k in range(len(a)) if within(x[k], y[k])])
 
 
-def near_lines(texts: DataFrame) -> DataFrame:
-    """(a, b): ids of different lines of texts (doc, text) within EDITS edits."""
+def texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """(line, text) of the lines whose id is in ids (line), once each; one more scan of texts."""
     spark = texts.sparkSession
-    keys = texts.mapInArrow(_emit_keys, "key long, line long, sig long").repartition(shuffle_parts(spark), "key").sortWithinPartitions("key")
-    found = materialize(keys.mapInArrow(_pairs, "a long, b long"), "candidates")
-    pairs = materialize(found.distinct(), "pairs")
-    discard(found)
-    ids = materialize(pairs.select(F.col("a").alias("line")).unionByName(pairs.select(F.col("b").alias("line"))).distinct(), "wanted")
     if ids.count() <= SENT_IDS:
-        shared = spark.sparkContext.broadcast({r["line"] & 0xFFFFFFFFFFFFFFFF for r in ids.toLocalIterator()})
+        shared = spark.sparkContext.broadcast({r["line"] & 0xFFFFFFFFFFFFFFFF for r in ids.collect()})
         found = texts.mapInArrow(_wanted(shared), "line long, text binary")
     else:
         found = texts.mapInArrow(_wanted(None), "line long, text binary").join(ids.hint("merge"), "line", "left_semi")
-    found = materialize(found.dropDuplicates(["line"]), "lines")
-    left, right = (found.select(F.col("line").alias(c), F.col("text").alias(t)) for c, t in (("a", "x"), ("b", "y")))
+    return materialize(found.dropDuplicates(["line"]), "lines")
+
+
+def near_lines(texts: DataFrame) -> DataFrame:
+    """(a, b): ids of different lines of texts (doc, text) within EDITS edits."""
+    parts = shuffle_parts(texts.sparkSession)
+    keys = texts.mapInArrow(_emit_keys, "key long, line long, sig long").repartition(parts, "key").sortWithinPartitions("key")
+    found = materialize(keys.mapInArrow(_pairs(LARGE), PAIRS), "candidates")
+    pairs = found.where("not large").select("a", "b")
+    large = found.where("large").select("a", F.col("b"), (F.shiftleft(F.shiftright("b", 1), 1)).alias("line"))
+    if large.limit(1).count():
+        of = texts_of(texts, materialize(large.select("line").distinct(), "members"))
+        finer = large.join(of, "line").select("a", "b", "text").mapInArrow(_emit_finer, "key long, line long, sig long")
+        lists = finer.repartition(parts, "key").sortWithinPartitions("key")
+        pairs = pairs.unionByName(lists.mapInArrow(_pairs(float("inf")), PAIRS).select("a", "b"))
+    pairs = materialize(pairs.distinct(), "pairs")
+    discard(found)
+    ids = pairs.select(F.col("a").alias("line")).unionByName(pairs.select(F.col("b").alias("line"))).distinct()
+    of = texts_of(texts, materialize(ids, "wanted"))
+    left, right = (of.select(F.col("line").alias(c), F.col("text").alias(t)) for c, t in (("a", "x"), ("b", "y")))
     met = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
     return materialize(met.mapInArrow(_verify, "a long, b long"), "near")
 
