@@ -5,22 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomkin.llm.common import materialize
+from loomkin.llm.common import checked_broadcast, discard, materialize
 
 ROUNDS = 60
 
 
+def _least(edges: DataFrame) -> DataFrame:
+    """(b, m): each node's smallest smaller neighbour. Written, so that a join on it can be broadcast or split where a node is hot."""
+    least = materialize(edges.groupBy("b").agg(F.min("a").alias("m")), "least")
+    return checked_broadcast(least)
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("m").alias("a"), "b").where("a <> b").distinct()
+    """Each edge (a, b) moves from a to a's smallest neighbour; an a without a smaller one keeps its edges."""
+    least = _least(edges).withColumnRenamed("b", "a")
+    return edges.join(least, "a", "left").select(F.coalesce("m", "a").alias("a"), "b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    """edges have a < b; each b links its smaller neighbours and itself to the smallest."""
-    least = edges.groupBy("b").agg(F.min("a").alias("m"))
-    met = edges.join(least, "b")
-    return met.select(F.col("m").alias("a"), F.col("a").alias("b")).unionByName(least.select(F.col("m").alias("a"), "b")).where("a <> b").distinct()
+    """Each b links its smaller neighbours and itself to the smallest of them."""
+    met = edges.join(_least(edges), "b")
+    both = F.when(F.col("a") > F.col("m"), F.array("a", "b")).otherwise(F.array("b"))
+    return met.select(F.col("m").alias("a"), F.explode(both).alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -28,7 +34,9 @@ def components(edges: DataFrame) -> DataFrame:
     edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
     edges, before = materialize(edges, "edges"), None
     for _ in range(ROUNDS):
-        edges = materialize(_small_star(_large_star(edges)), "stars")
+        moved = materialize(_large_star(edges), "large")
+        edges = materialize(_small_star(moved), "small")
+        discard(moved)
         now = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.expr("sum(cast(xxhash64(b, a) as decimal(38, 0)))")).first()
         if now == before:
             break

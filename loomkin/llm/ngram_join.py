@@ -326,7 +326,8 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     scanned = materialize(binary.mapInArrow(_scan_sets, SETS), "sets")
     shared = spark.sparkContext.broadcast(count_table(scanned))
     rows = scanned.where("block is null").select("doc_id", "n", "digest")
-    classes = rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    classes = rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    classes = materialize(classes.where("copies > 1").drop("copies"), "classes")  # written, so that a large class can be split in the join
     reps = materialize(rows.join(classes, "digest", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "reps")
     discard(scanned)
 
