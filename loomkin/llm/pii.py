@@ -36,25 +36,53 @@ LOOKALIKES = {
     **dict(zip("\u03bf\u03b1\u03bd\u03c1\u03b9", "oavpi", strict=True)),  # small Greek
     **dict(zip("\u0391\u0392\u0395\u0396\u0397\u0399\u039a\u039c\u039d\u039f\u03a1\u03a4\u03a5\u03a7", "ABEZHIKMNOPTYX", strict=True)),  # capital Greek
     **dict(zip("\u0131\u2010\u2011\u2012\u2013\u2212\u3002", "i-----.", strict=True)),
+    **dict(zip("\u0251\u0261\uff61", "ag.", strict=True)),
 }
 #: Zero-width characters and the soft hyphen.
 GONE = frozenset("\u200b\u200c\u200d\u2060\ufeff\u00ad")
 #: Marks for a bare `at` and a disguised dot.
 AT, DOT = "\ue000", "\ue001"
-DIGITS = {w: str(i) for i, w in enumerate(("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine"))}
-WORD = "|".join(DIGITS)
+#: Digits as words in English, French, Spanish and German; words for the at sign and the dot.
+DIGITS = {
+    w: str(i)
+    for words in (
+        "zero one two three four five six seven eight nine",
+        "z\u00e9ro un deux trois quatre cinq six sept huit neuf",
+        "cero uno dos tres cuatro cinco seis siete ocho nueve",
+        "null eins zwei drei vier f\u00fcnf sechs sieben acht neun",
+        "oh",
+    )
+    for i, w in enumerate(words.split())
+}
+WORD = "|".join(sorted(DIGITS, key=len, reverse=True))
+AT_WORDS, DOT_WORDS = "at|arroba|arobase", "dot|punto|point|punkt"
+GAP = r"[\s_-]{1,3}"
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 NON_ASCII = re.compile(r"[^\x00-\x7f]")
-DOT_WORD = re.compile(r"(?<![a-z0-9])dot(?![a-z0-9])|[\[({<]\s{0,3}(?:at|@|\.)\s{0,3}[\])}>]")
-AT_WORD = re.compile(r"[a-z0-9][._0-9][a-z0-9._-]{0,60}\s{1,3}at\s{1,3}[a-z0-9-]{1,63}\.[a-z]")
-DIGIT_WORDS = re.compile(rf"(?:\b(?:{WORD})\b[\s-]{{0,3}}){{3}}")
+#: Signs that a text is worth normalising; each begins with a literal or a rare character.
+SIGNS = [
+    re.compile(p)
+    for p in (
+        rf"[\[({{<]\s{{0,3}}(?:{AT_WORDS}|{DOT_WORDS}|@|\.)\s{{0,3}}[\])}}>]",
+        rf"at{GAP}[a-z0-9-]{{1,63}}{GAP}(?:{DOT_WORDS})(?![a-z])",
+        rf"ar(?:roba|obase){GAP}[a-z0-9-]{{1,63}}(?:\.|{GAP}(?:{DOT_WORDS})(?![a-z]))",
+        rf"@\s{{0,3}}[a-z0-9-]{{1,63}}{GAP}(?:{DOT_WORDS})(?![a-z])",
+        r"\s@\s{1,3}[a-z0-9]",
+        rf"[0-9]\s{{1,3}}(?:{DOT_WORDS})\s{{1,3}}[0-9]",
+        r"&#(?:64|46);|&commat;|&period;|%40",
+        r"[._0-9][a-z0-9._-]{0,60}\sat\s{1,3}[a-z0-9-]{1,63}\.[a-z]",
+        rf"(?:\b(?:{WORD})\b[\s,-]{{0,3}}){{3}}",
+    )
+]
 REWRITE = re.compile(
-    rf"(?P<at>\s{{0,3}}[\[({{<]\s{{0,3}}(?:at|@)\s{{0,3}}[\])}}>]\s{{0,3}})|(?P<dot>\s{{0,3}}[\[({{<]\s{{0,3}}(?:dot|\.)\s{{0,3}}[\])}}>]\s{{0,3}}|(?<=[a-z0-9])\s{{1,3}}dot\s{{1,3}}(?=[a-z0-9]))"
-    rf"|(?P<bare>(?<=[a-z0-9])\s{{1,3}}at\s{{1,3}}(?=[a-z0-9]))|(?P<plus>(?<![a-z0-9])plus\s{{1,3}}(?=[0-9]|{WORD}))|(?<![a-z])(?P<digit>{WORD})(?![a-z])",
+    rf"(?P<at>\s{{0,3}}[\[({{<]\s{{0,3}}(?:{AT_WORDS}|@)\s{{0,3}}[\])}}>]\s{{0,3}}|&#64;|&commat;|%40|(?<=[a-z0-9])\s{{1,3}}@\s{{1,3}}(?=[a-z0-9]))"
+    rf"|(?P<dot>\s{{0,3}}[\[({{<]\s{{0,3}}(?:{DOT_WORDS}|\.)\s{{0,3}}[\])}}>]\s{{0,3}}|&#46;|&period;|(?<=[a-z0-9]){GAP}(?:{DOT_WORDS}){GAP}(?=[a-z0-9]))"
+    rf"|(?P<bare>(?<=[a-z0-9]){GAP}(?:{AT_WORDS}){GAP}(?=[a-z0-9]))|(?P<plus>(?<![a-z0-9])plus\s{{1,3}}(?=[0-9]|{WORD}))"
+    rf"|(?<![a-z])(?P<digit>{WORD})(?![a-z])(?:\s?,\s?(?=[0-9]|(?:{WORD})(?![a-z])))?",
     re.IGNORECASE,
 )
 EMAIL_N = re.compile(rf"(?<![A-Za-z0-9._%+{DOT}-])[A-Za-z0-9_%+-]++(?:[.{DOT}][A-Za-z0-9_%+-]++)*+[@{AT}][A-Za-z0-9-]++(?:[.{DOT}][A-Za-z0-9-]++)++")
@@ -109,6 +137,8 @@ class _Ascii(dict):
 
     def __missing__(self, c: str) -> str:
         plain = "" if c in GONE else LOOKALIKES.get(c) or unicodedata.normalize("NFKC", c)
+        if c.isdigit() and len(plain) == 1:
+            plain = str(unicodedata.digit(c))
         self[c] = plain = plain if not plain or len(plain) == 1 and (plain < "\x80") else c
         return plain
 
@@ -135,7 +165,7 @@ def normalise(text: str) -> tuple[str, list[int], list[int], list[bool]]:
         copy(done, m.start())
         done = m.end()
         kind = m.lastgroup
-        out.append({"at": "@", "dot": DOT, "bare": AT, "plus": "+"}.get(kind) or DIGITS[m[0].lower()])
+        out.append({"at": "@", "dot": DOT, "bare": AT, "plus": "+"}.get(kind) or DIGITS[m["digit"].lower()])
         begins.append(start[m.start()])
         ends.append(start[done - 1] + 1)
         changed.append(True)
@@ -151,7 +181,7 @@ def _bare_at(found: str) -> bool:
 
 def disguised(text: str) -> bool:
     low = text.lower()
-    if DOT_WORD.search(low) or AT_WORD.search(low) or DIGIT_WORDS.search(low):
+    if any(sign.search(low) for sign in SIGNS):
         return True
     return not text.isascii() and any(ASCII[c] != c for c in set(NON_ASCII.findall(text)))
 

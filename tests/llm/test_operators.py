@@ -82,8 +82,7 @@ def test_cascade_is_exact_for_its_universe(spark):
     for most in (urls.MOST_BYTES, 500):  # one cascade, and several met by shard
         got = urls.listed_flags(keys.select("key"), keys, most)
         assert {(r["key"], r.listed) for r in got.collect()} == set(rows)
-    levels = urls.build_cascade(keys)
-    assert len(levels) > 1
+    assert len(urls.build_cascades(keys.withColumn("shard", F.lit(0)), 1)) > 1
 
 
 @pytest.mark.parametrize("rows", [EMPTY, [("a", False)], [("a", True)], [("a", True), ("b", True)]])
@@ -249,7 +248,9 @@ def plain_lines(rows, most=lines.EDITS):
 
 
 @pytest.mark.parametrize("seed", SEEDS)
-def test_lines(spark, seed):
+@pytest.mark.parametrize("large", [lines.LARGE, 0])
+def test_lines(spark, monkeypatch, seed, large):
+    monkeypatch.setattr(lines, "LARGE", large)
     rng = __import__("random").Random(seed)
     base = [sentence(rng, 6) for _ in range(12)]
     docs = []
@@ -282,6 +283,28 @@ def test_lines_by_id_join(spark, monkeypatch):
     assert lines.dedup_lines(frame(spark, EMPTY)).count() == 0
 
 
+@pytest.mark.parametrize("edits_", [1, 2, 3])
+def test_keys_and_finer_keys_meet(edits_):
+    rng = __import__("random").Random(edits_)
+    for _ in range(1500):
+        a = bytes(rng.choice(b"abc ") for _ in range(rng.randint(20, 40)))
+        b = bytearray(a)
+        for _ in range(rng.randint(1, edits_)):
+            k = rng.randrange(len(b))
+            b[k : k + 1] = rng.choice([b"", bytes([b[k]]) + b"x", b"y"])
+        if (b := bytes(b)) == a or len(b) < lines.MIN_BYTES:
+            continue
+        own, probe = sorted((a, b), key=len)
+        keys, index, sigs = lines.keys_of([own, probe], edits_)
+        met = {k for k, i in zip(keys.tolist(), index.tolist(), strict=True) if i == 0} & {k for k, i in zip(keys.tolist(), index.tolist(), strict=True) if i == 3}
+        assert met and int(np.bitwise_count(sigs[0] ^ sigs[1])) <= lines.FLIPS * edits_
+        finer = False
+        for k in met:
+            ks, ix, _ = lines.finer_keys([own, probe], np.array([k, k], np.uint64), np.array([0, 1]), edits_)
+            finer |= bool({x for x, i in zip(ks.tolist(), ix.tolist(), strict=True) if i == 0} & {x for x, i in zip(ks.tolist(), ix.tolist(), strict=True) if i == 3})
+        assert finer
+
+
 def test_edit_distance():
     rng = __import__("random").Random(0)
     for _ in range(4000):
@@ -493,6 +516,17 @@ def test_base_spans():
         ("look at example.com and meet at noon", []),
         ("one two three four five six seven eight nine ten", []),
         ("plain a@b.co only", []),
+        ("JOHN AT EXAMPLE DOT COM!", ["JOHN AT EXAMPLE DOT COM"]),
+        ("john_at_example_dot_com", ["john_at_example_dot_com"]),
+        ("ana arroba correo punto es, luc arobase site point fr", ["ana arroba correo punto es", "luc arobase site point fr"]),
+        ("jane &#64; x&#46;org and joe%40y.net", ["joe%40y.net"]),
+        ("bob @ example.com", ["bob @ example.com"]),
+        ("sue@example dot com", ["sue@example dot com"]),
+        ("four, one, one, one, 1111, 1111, 1111 one one one one", []),
+        ("plus one, two, three, four, five, six, seven, eight, nine", ["plus one, two, three, four, five, six, seven, eight, nine"]),
+        ("\u0664\u0661\u0661\u0661 \u0661\u0661\u0661\u0661 1111 1111", ["\u0664\u0661\u0661\u0661 \u0661\u0661\u0661\u0661 1111 1111"]),
+        ("un dos tres. Deux points \u00e0 la ligne; der Punkt und die Null", []),
+        ("the point at issue is the dot at the end. See that dot com boom", []),
         ("\u00e9t\u00e9 \u00e0 la plage, na\u00efve \u00f1and\u00fa", []),
         ("", []),
     ],
