@@ -317,7 +317,7 @@ def earlier_copies(docs: DataFrame) -> DataFrame:
     matches = materialize(buckets.mapInArrow(_match_buckets, MATCHES), "matches")
     discard(repeated)
     firsts = matches.where("digest is not null")
-    least = firsts.groupBy("digest").agg(F.min(F.struct("doc", "start")).alias("least"))
+    least = materialize(firsts.groupBy("digest").agg(F.min(F.struct("doc", "start")).alias("least")), "least")
     later = firsts.join(least, "digest").where(F.struct("doc", "start") > F.col("least")).select("doc", "start", "until")
     return matches.where("digest is null").select("doc", "start", "until").unionByName(later)
 
