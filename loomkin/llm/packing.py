@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 
 from loomkin.llm.common import table
 
-#: Production parameters: bytes in a bin, and items in a block.
-CAPACITY, BLOCK_ITEMS = 65_536, 2_048
+#: Production parameters: bytes in a bin (about 2,000 tokens), and items in a block. A source with a share of
+#: the pieces needs as many bins as it has pieces, so a much larger capacity would leave most of a bin empty.
+CAPACITY, BLOCK_ITEMS = 8_192, 2_048
 #: Bins of a block have ids below this.
 BIN_SPAN = 1 << 20
 #: Stands for a null doc_id.
