@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomkin.functions.encode import flat_cell, mixed_radix
+from loomkin.lineage import materialize
 from loomkin.model.domain import Domain
 
 #: Cells up to which a table may be made dense or brought to the driver.
@@ -145,7 +146,7 @@ def r_scores(df: DataFrame, pairs: Iterable[tuple[str, str]]) -> DataFrame:
     pairs = [tuple(p) for p in pairs]
     singles = list(dict.fromkeys(a for p in pairs for a in p))
     sets = [*pairs, *((a,) for a in singles)]
-    counts = marginals(df, sets)
+    counts = materialize(marginals(df, sets), "pairs")  # small, and read three times
     # one row a cell of a pair, with the codes by position, meets the two single counts by (attribute, code)
     ones = counts.where(F.col("set_id") >= len(pairs)).select((F.col("set_id") - len(pairs)).alias("attr"), F.coalesce(*singles).alias("code"), F.col("n").alias("m"))
     at = {a: i for i, a in enumerate(singles)}
