@@ -38,8 +38,3 @@ def checked_broadcast(small: DataFrame, rows: int | None = None, limit: int = BR
 def ascii_lower(text: Column) -> Column:
     """A-Z only; a text of ASCII alone takes the faster built-in."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished jobs before the next large shuffle."""
-    spark.sparkContext._jvm.System.gc()
