@@ -62,22 +62,6 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-NON_ASCII = re.compile(r"[^\x00-\x7f]")
-#: Signs that a text is worth normalising; each begins with a literal or a rare character.
-SIGNS = [
-    re.compile(p)
-    for p in (
-        rf"[\[({{<]\s{{0,3}}(?:{AT_WORDS}|{DOT_WORDS}|@|\.)\s{{0,3}}[\])}}>]",
-        rf"at{GAP}[a-z0-9-]{{1,63}}{GAP}(?:{DOT_WORDS})(?![a-z])",
-        rf"ar(?:roba|obase){GAP}[a-z0-9-]{{1,63}}(?:\.|{GAP}(?:{DOT_WORDS})(?![a-z]))",
-        rf"@\s{{0,3}}[a-z0-9-]{{1,63}}{GAP}(?:{DOT_WORDS})(?![a-z])",
-        r"\s@\s{1,3}[a-z0-9]",
-        rf"[0-9]\s{{1,3}}(?:{DOT_WORDS})\s{{1,3}}[0-9]",
-        r"&#(?:64|46);|&commat;|&period;|%40",
-        r"[._0-9][a-z0-9._-]{0,60}\sat\s{1,3}[a-z0-9-]{1,63}\.[a-z]",
-        rf"(?:\b(?:{WORD})\b[\s,-]{{0,3}}){{3}}",
-    )
-]
 REWRITE = re.compile(
     rf"(?P<at>\s{{0,3}}[\[({{<]\s{{0,3}}(?:{AT_WORDS}|@)\s{{0,3}}[\])}}>]\s{{0,3}}|&#64;|&commat;|%40|(?<=[a-z0-9])\s{{1,3}}@\s{{1,3}}(?=[a-z0-9]))"
     rf"|(?P<dot>\s{{0,3}}[\[({{<]\s{{0,3}}(?:{DOT_WORDS}|\.)\s{{0,3}}[\])}}>]\s{{0,3}}|&#46;|&period;|(?<=[a-z0-9]){GAP}(?:{DOT_WORDS}){GAP}(?=[a-z0-9]))"
@@ -154,18 +138,19 @@ def normalise(text: str) -> tuple[str, list[int], list[int], list[bool]]:
         kept = [(p, i) for i, c in enumerate(text) if (p := c if c < "\x80" else ASCII[c])]
         chars, start = "".join(p for p, _ in kept), [i for _, i in kept]
     out, begins, ends, changed, done = [], [], [], [], 0
+    mapped = not text.isascii()
 
     def copy(a: int, b: int) -> None:
         out.append(chars[a:b])
         begins.extend(start[a:b])
-        ends.extend(i + 1 for i in start[a:b])
-        changed.extend(text[i] != c for i, c in zip(start[a:b], chars[a:b], strict=True))
+        ends.extend([i + 1 for i in start[a:b]] if mapped else range(a + 1, b + 1))
+        changed.extend([text[i] != c for i, c in zip(start[a:b], chars[a:b], strict=True)] if mapped else bytes(b - a))
 
     for m in REWRITE.finditer(chars):
         copy(done, m.start())
         done = m.end()
         kind = m.lastgroup
-        out.append({"at": "@", "dot": DOT, "bare": AT, "plus": "+"}.get(kind) or DIGITS[m["digit"].lower()])
+        out.append({"at": "@", "dot": DOT, "bare": AT, "plus": "+"}.get(kind) or DIGITS[m["digit"].lower().replace("i\u0307", "i")])
         begins.append(start[m.start()])
         ends.append(start[done - 1] + 1)
         changed.append(True)
@@ -179,15 +164,10 @@ def _bare_at(found: str) -> bool:
     return not domain or DOT in domain or any(c in "._0123456789" + DOT for c in name)
 
 
-def disguised(text: str) -> bool:
-    low = text.lower()
-    if any(sign.search(low) for sign in SIGNS):
-        return True
-    return not text.isascii() and any(ASCII[c] != c for c in set(NON_ASCII.findall(text)))
-
-
 def added_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     plain, begins, ends, changed = normalise(text)
+    if len(plain) == len(text) and not any(changed):
+        return []
     found = [("email", m) for m in EMAIL_N.finditer(plain) if _bare_at(m[0])]
     found += (("ip", m) for m in IP_N.finditer(plain) if is_ip(m[0]))
     found += (("card", m) for m in CARD.finditer(plain) if m.end() - m.start() > 12 and is_card(m[0]))
@@ -204,7 +184,7 @@ def added_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str,
 
 def spans_of(text: str) -> list[dict]:
     base = base_spans(text)
-    more = added_spans(text, base) if disguised(text) else []
+    more = added_spans(text, base)
     rows = [(KINDS.index(k), s, e, True) for k, s, e in base] + [(KINDS.index(k), s, e, False) for k, s, e in more]
     return [{"kind": KINDS[k], "start": s, "end": e, "base": b} for k, s, e, b in sorted(rows)]
 

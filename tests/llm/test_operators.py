@@ -535,6 +535,23 @@ def test_disguises(text, found):
     assert [text[s["start"] : s["end"]] for s in pii.spans_of(text) if not s["base"]] == found
 
 
+@pytest.mark.parametrize(
+    "found",
+    [
+        "plus 44 20 7946 0958",
+        "192.168.one.one",
+        "one dot two dot three dot four",
+        "+1 415 five 5 five 0100",
+        "john.smith_at_example.com",
+        "john at mail.example dot com",
+        "n\u0130ne dot s\u0130x dot 3 dot 4",
+    ],
+)
+def test_disguises_do_not_depend_on_the_rest(found):
+    for text in (found, f"{found}; some [at] sign", f"\u043e; {found}"):
+        assert found in [text[s["start"] : s["end"]] for s in pii.spans_of(text) if not s["base"]]
+
+
 def test_base_spans_stay_and_order(spark, tmp_path):
     text = "é a@b.co, 10.0.0.1, +44 20 7946 0958, 4111 1111 1111 1111, x at y dot org"
     frame(spark, [(7, text, "en", None, 1), (8, None, "en", None, None), (8, None, "en", None, None)]).write.parquet(f"{tmp_path}/documents.parquet")
