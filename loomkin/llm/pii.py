@@ -4,7 +4,8 @@ Base spans come from plain scans of the source. For disguised ones a chain of tr
 text - look-alike characters to ASCII, zero-width ones to nothing, spelled digits to digits, `at` and
 `dot` disguises to marks - and keeps for each character it emits the source span it stands for. The
 same kinds are then sought in the normalised text, and what is found is mapped back. A found span is
-added if it holds a rewritten character and meets no base span.
+added if it holds a rewritten character and is not equal to or inside a base span of its kind; it may
+hold or cross one, since a base scan often finds a piece of a disguised identifier. Base spans stay.
 
 A bare word `at` counts only if a dot of the domain is disguised too or the name before it has a dot,
 underscore or digit in it, so that prose such as "look at example.com" stays alone.
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -62,11 +64,15 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
+#: First letters of what is rewritten at the start of a word.
+FIRST = "".join(sorted({w[0] for w in DIGITS} | {"p"}))
+#: What every match of REWRITE begins with, so that most places are left after one look.
+AHEAD = rf"(?=(?<![a-z])[{FIRST}]|[\s_-]{{1,3}}[\[({{<@adp]|[\[({{<&%])"
 REWRITE = re.compile(
-    rf"(?P<at>\s{{0,3}}[\[({{<]\s{{0,3}}(?:{AT_WORDS}|@)\s{{0,3}}[\])}}>]\s{{0,3}}|&#64;|&commat;|%40|(?<=[a-z0-9])\s{{1,3}}@\s{{1,3}}(?=[a-z0-9]))"
+    rf"{AHEAD}(?:(?P<at>\s{{0,3}}[\[({{<]\s{{0,3}}(?:{AT_WORDS}|@)\s{{0,3}}[\])}}>]\s{{0,3}}|&#64;|&commat;|%40|(?<=[a-z0-9])\s{{1,3}}@\s{{1,3}}(?=[a-z0-9]))"
     rf"|(?P<dot>\s{{0,3}}[\[({{<]\s{{0,3}}(?:{DOT_WORDS}|\.)\s{{0,3}}[\])}}>]\s{{0,3}}|&#46;|&period;|(?<=[a-z0-9]){GAP}(?:{DOT_WORDS}){GAP}(?=[a-z0-9]))"
     rf"|(?P<bare>(?<=[a-z0-9]){GAP}(?:{AT_WORDS}){GAP}(?=[a-z0-9]))|(?P<plus>(?<![a-z0-9])plus\s{{1,3}}(?=[0-9]|{WORD}))"
-    rf"|(?<![a-z])(?P<digit>{WORD})(?![a-z])(?:\s?,\s?(?=[0-9]|(?:{WORD})(?![a-z])))?",
+    rf"|(?<![a-z])(?P<digit>{WORD})(?![a-z])(?:\s?,\s?(?=[0-9]|(?:{WORD})(?![a-z])))?)",
     re.IGNORECASE,
 )
 EMAIL_N = re.compile(rf"(?<![A-Za-z0-9._%+{DOT}-])[A-Za-z0-9_%+-]++(?:[.{DOT}][A-Za-z0-9_%+-]++)*+[@{AT}][A-Za-z0-9-]++(?:[.{DOT}][A-Za-z0-9-]++)++")
@@ -173,11 +179,14 @@ def added_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str,
     found += (("card", m) for m in CARD.finditer(plain) if m.end() - m.start() > 12 and is_card(m[0]))
     found += (("phone", m) for m in PHONE_N.finditer(plain) if is_phone(m[0]))
     out: list[tuple[str, int, int]] = []
+    own = {k: [(x, y) for kind, x, y in base if kind == k] for k in KINDS}
     for kind, m in found:
         a, b = m.span()
         s, e = begins[a], ends[b - 1]
         if any(changed[a:b]) or e - s != b - a:
-            if not any(s < y and x < e for _, x, y in base):
+            # base spans of a kind are ordered and apart, so only the last that begins by s can hold this one
+            k = bisect_right(own[kind], s, key=lambda x: x[0])
+            if not k or own[kind][k - 1][1] < e:
                 out.append((kind, s, e))
     return out
 

@@ -552,6 +552,21 @@ def test_disguises_do_not_depend_on_the_rest(found):
         assert found in [text[s["start"] : s["end"]] for s in pii.spans_of(text) if not s["base"]]
 
 
+@pytest.mark.parametrize(
+    ("found", "piece"),
+    [
+        ("j\u043ehn@example.com", "hn@example.com"),
+        ("jo\u200bhn@example.com", "hn@example.com"),
+        ("user@example.c\u043em", "user@example.c"),
+        ("+44 20 7946 09\u06658", "+44 20 7946 09"),
+    ],
+)
+def test_a_base_piece_does_not_hide_the_whole(found, piece):
+    text = f"a@b.co, to {found}!"
+    spans = [(text[s["start"] : s["end"]], s["base"]) for s in pii.spans_of(text)]
+    assert sorted(spans) == sorted([("a@b.co", True), (piece, True), (found, False)])
+
+
 def test_base_spans_stay_and_order(spark, tmp_path):
     text = "é a@b.co, 10.0.0.1, +44 20 7946 0958, 4111 1111 1111 1111, x at y dot org"
     frame(spark, [(7, text, "en", None, 1), (8, None, "en", None, None), (8, None, "en", None, None)]).write.parquet(f"{tmp_path}/documents.parquet")
