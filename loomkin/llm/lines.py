@@ -2,10 +2,12 @@
 
 A line goes if an equal line, or one within EDITS single-byte edits of it, stands earlier in the corpus
 (smaller doc_id, or the same document and an earlier line); the first one stays. Lines are compared
-without the white space at their ends; lines under MIN_BYTES are left alone.
+without the white space at their ends. Blank lines are left alone. Lines under MIN_BYTES go only if an
+equal one stands earlier: there EDITS edits would be more than a tenth of the line, and different short
+lines would pass for copies.
 
 1. Occurrences (line digest, document, line number) give each distinct line's first place.
-2. A distinct line is split into EDITS + 1 even segments. A line within EDITS edits, of the same length
+2. A distinct line of MIN_BYTES or more is split into EDITS + 1 even segments. A line within EDITS edits, of the same length
    or up to EDITS longer, holds one of them whole near its place; which starts can matter follows from
    the lengths and the segment's number (the multi-match-aware window). Segments and probes are hashes of
    (length, segment number, bytes), computed for all lines of a batch from prefix hashes.
@@ -18,7 +20,7 @@ without the white space at their ends; lines under MIN_BYTES are left alone.
    Places are judged on the input, so the order of work has no influence.
 
 Defined results: a null text is kept as it is and has no lines. A document of which every line that
-counts was removed has only its short lines left, perhaps none. Rows that repeat a doc_id are one
+counts was removed has only its blank lines left, perhaps none. Rows that repeat a doc_id are one
 document: equal places are no copies of each other. An empty table gives no rows.
 """
 
@@ -44,9 +46,9 @@ _BASE = 0x5851F42D4C957F2D
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-def lines_of(text: bytes | None) -> list[tuple[int, bytes]]:
-    """(number, stripped bytes) of the lines that count."""
-    return [(i, s) for i, x in enumerate((text or b"").split(b"\n")) if len(s := x.strip()) >= MIN_BYTES]
+def lines_of(text: bytes | None, least: int = 1) -> list[tuple[int, bytes]]:
+    """(number, stripped bytes) of the lines of at least so many bytes; by default of all that aren't blank."""
+    return [(i, s) for i, x in enumerate((text or b"").split(b"\n")) if len(s := x.strip()) >= least]
 
 
 def line_id(line: bytes) -> int:
@@ -217,7 +219,7 @@ def _emit_keys(batches):
 
     for batch in batches:
         for _, text in _rows(batch):
-            for _, line in lines_of(text):
+            for _, line in lines_of(text, MIN_BYTES):
                 if (h := line_id(line)) not in seen:
                     seen.add(h)
                     lines.append(line)
@@ -364,7 +366,7 @@ def _wanted(shared):
         for batch in batches:
             ids, texts = [], []
             for _, text in _rows(batch):
-                for _, line in lines_of(text):
+                for _, line in lines_of(text, MIN_BYTES):
                     h = line_id(line)
                     if h not in seen and (shared is None or h in shared.value):
                         seen.add(h)

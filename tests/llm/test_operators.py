@@ -283,6 +283,12 @@ def test_lines_by_id_join(spark, monkeypatch):
     assert lines.dedup_lines(frame(spark, EMPTY)).count() == 0
 
 
+def test_equal_short_lines_go(spark):
+    df = spark.createDataFrame([(1, "Yes.\n\nNo.\n}"), (2, "No.\n\n Yes. \nYes!"), (3, "}\n\n")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_removed, r.text) for r in lines.dedup_lines(df).collect()) == [(1, 0, "Yes.\n\nNo.\n}"), (2, 2, "\nYes!"), (3, 1, "\n")]
+    assert sorted((r.doc_id, r.text) for r in lines.clean_lines(df).collect()) == [(1, "Yes.\n\nNo.\n}"), (2, "\nYes!")]
+
+
 @pytest.mark.parametrize("edits_", [1, 2, 3])
 def test_keys_and_finer_keys_meet(edits_):
     rng = __import__("random").Random(edits_)
