@@ -157,14 +157,19 @@ class GroupModel:
     def observed(self) -> list[str]:
         return [a for a in self.domain if a != TYPE]
 
-    def synthesize(self, spark: SparkSession, groups: int | None = None, types: np.ndarray | None = None, seed: int = 0) -> DataFrame:
-        """(gid, member, y, attributes...) for a number of groups, or for a histogram of types."""
+    def synthesize(self, spark: SparkSession, groups: int | None = None, types: np.ndarray | None = None, seed: int = 0, rows: int | None = None) -> DataFrame:
+        """(gid, member, y, attributes...) for a number of groups, or for a histogram of types.
+
+        rows: sizes are moved until the groups have so many members, or one each if that is more.
+        """
         rng = np.random.default_rng(seed)
         sizes = np.maximum(self.type_size, 0.0)
         if types is not None:
             table = np.stack([random_round(sizes[k] if sizes[k].sum() else sizes.sum(axis=0), int(types[k]), rng) for k in range(self.types)])
         else:
             table = random_round(sizes, int(groups if groups is not None else round(sizes.sum())), rng)
+        if rows is not None and table.sum():
+            table = fill_rows(table, max(rows, int(table.sum())), rng)
         frame = explode_types(spark, table, [TYPE])
         beliefs = propagate(self.potential, self.messages, 1.0)[0]
         return draw_members(frame, beliefs, self.tree, [TYPE], self.observed(), seed)
@@ -218,6 +223,13 @@ def match_rows(type_size: np.ndarray, rows: int, rng: np.random.Generator, singl
     return out
 
 
+def fill_rows(type_size: np.ndarray, rows: int, rng: np.random.Generator) -> np.ndarray:
+    """match_rows without a largest size: what the sizes can't hold is first dealt evenly over all groups."""
+    more = max(0, int(rows - rows_of(type_size)) // int(type_size.sum()))
+    wide = np.pad(np.asarray(type_size), [*[(0, 0)] * (type_size.ndim - 1), (more, 1)])
+    return match_rows(wide, rows, rng, singles_fixed=False)
+
+
 def round_by_types(type_size: np.ndarray, types: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Each type's sizes rounded to its number of groups."""
     return np.stack([random_round(t, int(n), rng) for t, n in zip(type_size.reshape(-1, type_size.shape[-1]), np.ravel(types), strict=True)]).reshape(type_size.shape)

@@ -75,14 +75,15 @@ def agreement(matched: DataFrame, columns: Sequence[str]) -> DataFrame:
 def match_by_model(model, child: DataFrame, parents: DataFrame, child_key: str, parent_key: str, type_column: str, seed: int = 0) -> DataFrame:
     """(child_key, parent_key): foreign keys for existing child rows.
 
-    Groups are synthesised for the parents' type histogram, each synthetic group is given to a parent of
-    its type, and the real rows are matched to the synthetic members; a row takes its member's parent.
+    Groups are synthesised for the parents' type histogram with as many members as there are rows, each
+    synthetic group is given to a parent of its type, and the real rows are matched to the synthetic
+    members; a row takes its member's parent. With fewer rows than parents some parents get none.
     """
     spark = child.sparkSession
     hist = np.zeros(model.types, np.int64)
     for r in parents.groupBy(type_column).agg(F.count("*").alias("n")).collect():
         hist[r[type_column]] = r["n"]
-    members = model.synthesize(spark, types=hist, seed=seed)
+    members = model.synthesize(spark, types=hist, seed=seed, rows=child.count())
     groups = _numbered(members.select("gid", "y").distinct(), ["y"], "gid", "_i")
     given = _numbered(parents.select(parent_key, F.col(type_column).alias("y")), ["y"], parent_key, "_i")
     owner = groups.join(given, ["y", "_i"]).select("gid", parent_key)

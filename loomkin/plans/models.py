@@ -99,16 +99,11 @@ def group_synthesis(spark, sf):
 
 @query()
 def match_by_model(spark, sf):
-    """Foreign keys for existing rows of orders of one type histogram: rows, distinct rows, orphans."""
+    """Foreign keys for all existing rows of orders of one type histogram: rows, distinct rows, orphans."""
     c = child(spark, sf).withColumn("id", F.monotonically_increasing_id())
     model = fit_groups(c.select("fk", *SMALL), "fk", SMALL, GroupSettings(types=3, steps=1))
     types = M.argmax_types(long_types(model.q, "fk"), "fk", ["y"])
-    hist = np.zeros(3, np.int64)
-    for r in types.groupBy("y").agg(F.count("*").alias("n")).collect():
-        hist[r["y"]] = r["n"]
-    rows = model.synthesize(spark, types=hist, seed=2).count()
-    some = R.dense_ids(c, "_i", ["id"]).where(F.col("_i") < rows).select("id", *SMALL)
-    got = J.match_by_model(model, some, types.select(F.col("fk").alias("pk"), "y"), "id", "pk", "y", seed=2)
+    got = J.match_by_model(model, c.select("id", *SMALL), types.select(F.col("fk").alias("pk"), "y"), "id", "pk", "y", seed=2)
     out = got.agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids")).first()
     return spark.createDataFrame([(out["n"], out["ids"], R.orphans(got, types, "pk", "fk").count())], "n_rows long, n_distinct long, orphans long")
 

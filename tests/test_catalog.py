@@ -53,6 +53,26 @@ def test_match_by_model_gives_every_row_a_parent(spark, sf):
     assert row.n_rows == row.n_distinct > 0 and row.orphans == 0
 
 
+def test_match_by_model_takes_every_row(spark, sf):
+    row = catalog.queries()["match_by_model"](spark, sf).first()
+    assert row.n_rows == spark.read.parquet(f"{sf}/lineitem.parquet").count()
+
+
+def test_match_by_model_with_one_large_group(spark):
+    from loomkin.model.domain import Domain
+    from loomkin.model.group import GroupSettings, fit_groups, long_types
+    from loomkin.operators import marginals as M
+    from loomkin.operators import matching as J
+
+    rows = [(i, i % 30 if i < 200 else 30, i % 2, i % 3) for i in range(300)]
+    c, own = spark.createDataFrame(rows, "id long, fk long, a int, b int"), Domain({"a": 2, "b": 3})
+    model = fit_groups(c.select("fk", "a", "b"), "fk", own, GroupSettings(types=2, steps=1))
+    types = M.argmax_types(long_types(model.q, "fk"), "fk", ["y"]).withColumnRenamed("fk", "pk")
+    for some, n in ((c, 300), (c.where("id < 20"), 20)):
+        got = J.match_by_model(model, some.select("id", "a", "b"), types, "id", "pk", "y").collect()
+        assert len(got) == len({r.id for r in got}) == n and {r.pk for r in got} <= set(range(31))
+
+
 def test_two_tables_are_synthesised(spark, sf):
     row = catalog.queries()["two_table_synthesis"](spark, sf).first()
     assert (row.orphans, row.violations) == (0, 0) and row.parents_near and row.flags_near
