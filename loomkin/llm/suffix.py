@@ -1,8 +1,8 @@
-"""Removal of repeated byte strings by longest-previous-factor arrays, bucket by bucket.
+"""Removal of repeated byte strings by equal 100-byte windows, bucket by bucket.
 
 A byte goes if some 100-byte string over it starts earlier too (smaller doc_id, or the same document and
-an earlier start). That is a longest previous factor of 100 or more at the string's start. The suffixes
-are too many to sort in one order, so they are dealt into buckets first, such that equal strings always
+an earlier start). That is a longest previous factor of 100 or more at the string's start, of which
+only whether it is so long is needed. The suffixes are too many to sort in one order, so they are dealt into buckets first, such that equal strings always
 meet:
 
 1. Each 100-byte window picks its anchor, the 32-byte substring in it with the smallest hash (the leftmost
@@ -11,9 +11,8 @@ meet:
    sends one row of each; the others are found by sorting.
 3. Documents meet their repeated anchors; each run's bytes go to the anchor's bucket. Equal runs seen
    before in the same task are known to be copies and are not sent again.
-4. In a bucket, equal runs are copies of the earliest. The windows of the runs that differ are put in
-   suffix order; a window with a smaller position before or after it at a common prefix of 100 bytes (its
-   previous or next smaller position in that order) has an earlier match.
+4. In a bucket, equal runs are copies of the earliest. The windows of the runs that differ are
+   sorted; a window has an earlier match unless it holds the least place among the equal ones.
 
 A bucket with very many different runs is processed in parts; its parts' first windows meet once more,
 by digest, in an ordinary aggregate. No step collects a bucket, and all steps count strings as they are in
@@ -190,9 +189,7 @@ def _run_batch(bucket, docs, starts, data, copied):
 def earlier_matches(windows: np.ndarray, docs: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """For each row of `windows` (n x MATCH bytes): whether an equal one has a smaller (doc, start).
 
-    The rows are put in suffix order. Where neighbours agree on all bytes the common prefix is long
-    enough; a smaller position on either side of a row within such a stretch is its previous or next
-    smaller position, and there is one unless the row holds the stretch's least.
+    The rows are sorted; in a stretch of equal rows there is one unless the row holds the stretch's least.
     """
     n = len(windows)
     by_place = np.lexsort((starts, docs))
@@ -213,7 +210,7 @@ MATCHES = "doc long, start long, until long, digest binary"
 
 
 class _Buckets:
-    """Runs of buckets that differ, gathered for the suffix order; rows of MATCHES as they come out."""
+    """Runs of buckets that differ, gathered for the sort; rows of MATCHES as they come out."""
 
     def __init__(self) -> None:
         self.out: list[tuple] = []
