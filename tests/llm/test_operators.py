@@ -179,7 +179,7 @@ def plain_repeats(rows):
 
 
 @pytest.mark.parametrize("seed", SEEDS)
-@pytest.mark.parametrize("runs", [20_000, 2])
+@pytest.mark.parametrize("runs", [8_000, 2])
 def test_repeats(spark, monkeypatch, seed, runs):
     monkeypatch.setattr(suffix, "BUCKET_RUNS", runs)
     rows = corpus(seed)
@@ -195,20 +195,54 @@ def test_repeats_at_segment_borders(spark, monkeypatch):
     assert got == plain_repeats([(d, t.encode()) for d, t in rows])
 
 
-def test_repeated_rows_are_no_copies_of_each_other(spark):
-    text = sentence(__import__("random").Random(5), 60)
-    df = spark.createDataFrame([(1, text), (1, text), (None, text), (None, None)], "doc_id long, text string")
-    got = sorted((r.doc_id is None, r.n_bytes, r.n_removed) for r in suffix.remove_repeats(df).collect())
-    assert got == [(False, len(text), 0), (False, len(text), 0), (True, 0, 0), (True, len(text), len(text))]
+def test_rows_without_or_with_repeated_ids_are_documents_of_their_own(spark):
+    rng = __import__("random").Random(5)
+    texts = [sentence(rng, 60) for _ in range(30)]
+    # unrelated texts keep everything, whatever their ids
+    rows = [(1, texts[0]), (None, texts[0]), *((None, t) for t in texts[1:15]), *((7, t) for t in texts[15:]), ((1 << 63) - 1, "long enough " * 3)]
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed) for r in suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter((d, len(t), len(t) if (d, t) == (None, texts[0]) else 0) for d, t in rows)
+    # a string common to rows of one id, or without one, stays in one of them
+    rows = [(None, texts[0] + texts[1]), (None, texts[2] + texts[0]), (4, texts[3]), (4, texts[3]), (4, texts[4] + texts[3]), (None, None), (None, None)]
+    got = suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    removed = sorted((r.doc_id or 0, r.n_removed) for r in got)
+    assert [n for d, n in removed if d == 4 and n] and len(got) == 7
+    assert sum(n for d, n in removed if d == 4) >= 2 * len(texts[3]) and len(texts[0]) <= sum(n for d, n in removed if not d) <= len(texts[0]) + 2
     assert suffix.remove_repeats(frame(spark, EMPTY)).count() == 0
 
 
-def test_earlier_matches_in_suffix_order():
-    rng = np.random.default_rng(0)
-    rows = rng.integers(0, 2, (300, suffix.MATCH)).astype(np.uint8) * (rng.random((300, 1)) < 0.5)
-    docs, starts = rng.integers(0, 5, 300), rng.integers(0, 9, 300)
-    want = [any(rows[j].tobytes() == rows[i].tobytes() and (docs[j], starts[j]) < (docs[i], starts[i]) for j in range(300)) for i in range(300)]
-    assert suffix.earlier_matches(rows.astype(np.uint8), docs, starts).tolist() == want
+def test_very_frequent_anchors_are_split(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "BUCKET_RUNS", 5)
+    rng = __import__("random").Random(1)
+    core = sentence(rng, 12)
+    rows = [(i, f"{sentence(rng, 5)} {core} {sentence(rng, 8)}") for i in range(40)] + [(100 + i, f"x {core} {sentence(__import__('random').Random(i % 4), 30)}") for i in range(40)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain_repeats([(d, t.encode()) for d, t in rows])
+
+
+@pytest.mark.parametrize("alphabet", [b"ab", b"a\0", b"abcdefgh"])
+def test_previous_factors(alphabet):
+    rng = __import__("random").Random(len(alphabet))
+    for _ in range(60):
+        runs = [bytes(rng.choice(alphabet) for _ in range(rng.randint(4, 14))) for _ in range(rng.randint(1, 8))]
+        runs = [runs[0] if rng.random() < 0.3 else r for r in runs]
+        text = np.frombuffer(b"".join(runs), np.uint8)
+        own = [(sum(map(len, runs[:k])) + i, len(r) - i) for k, r in enumerate(runs) for i in range(len(r) - 3)]
+        at, left = (np.array(c) for c in zip(*own, strict=True))
+        places = rng.sample(range(1000), len(own))
+
+        def common(x, y):
+            n = min(own[x][1], own[y][1])
+            a, b = (text[own[k][0] : own[k][0] + n].tobytes() for k in (x, y))
+            return next((i for i in range(n) if a[i] != b[i]), n)
+
+        got = suffix.previous_factors(text, at, left, np.array(places)).tolist()
+        want = [max((common(x, y) for y in range(len(own)) if places[y] < places[x]), default=0) for x in range(len(own))]
+        # cut at run ends a factor may be shorter than the longest, but from the least left on they agree
+        assert all(g <= w and (g >= 4) == (w >= 4) for g, w in zip(got, want, strict=True))
+        order, lcp = suffix.suffix_array(text, at, left)
+        keys = [text[own[k][0] : own[k][0] + own[k][1]].tobytes().ljust(20, b"\0") for k in order]
+        assert keys == sorted(keys) and all(lcp[i] >= common(order[i - 1], order[i]) for i in range(1, len(order)))
 
 
 # --- 5 chat ---
