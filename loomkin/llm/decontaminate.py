@@ -4,12 +4,17 @@ An item's windows (ten consecutive words; a shorter item is one window) must be
 document, so of each window's shingles, ordered by how rare they are in the corpus, one is a necessary
 prefix: the rarest. Documents emit their shingles, the join keeps those that are some window's prefix,
 length and position bounds drop windows that would not fit at that place, and the document's words there
-are compared with the window's one by one. Nothing but counts of the items' own shingles and verified
-hits is shuffled; the text and the words stay in the scan task.
+are compared with the window's one by one.
+
+Up to BROADCAST_ROWS prefixes go to the scan: nothing but counts of the items' own shingles and verified
+hits is shuffled; the text and the words stay in the scan task. Beyond that a filter of bounded size of
+the prefixes goes to the scan, and what passes it - a shingle's place and the few words around it - is
+joined with the prefixes.
 
 Defined results: null or empty texts have no words; such items have no windows. Repeated item texts
-all count as found; repeated document rows give one row each. With an empty benchmark no document is
-hit; with no documents there are no rows. Only the columns doc_id, text and item_id are read.
+all count as found; repeated document rows, and rows without a doc_id, give one row each. With an empty
+benchmark no document is hit; with no documents there are no rows. Only the columns doc_id, text and
+item_id are read.
 """
 
 from __future__ import annotations
@@ -17,7 +22,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomkin.llm.common import ascii_lower, checked_broadcast, let, materialize, table
+from loomkin.llm import common
+from loomkin.llm.bloom import passes, without
+from loomkin.llm.common import ascii_lower, checked_broadcast, let, materialize, numbered, table
 
 WINDOW, SHINGLE = 10, 3
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -80,17 +87,32 @@ def containments(docs: DataFrame, items: DataFrame) -> DataFrame:
     grams = materialize(window_shingles(windows), "grams")
     sizes = sorted(r["size"] for r in grams.select("size").distinct().collect()) or [SHINGLE]
     # rarity: how often the corpus has each shingle of the items
-    known = grams.select("h", "size").distinct()
-    seen = emitted(docs, sizes).select("h", "size").join(checked_broadcast(known), ["h", "size"]).groupBy("h", "size").agg(F.count("*").alias("freq"))
+    known = materialize(grams.select("h", "size").distinct(), "known")
+    n_known = known.count()
+    every_shingle = emitted(docs, sizes).select("h", "size")
+    if n_known > common.BROADCAST_ROWS:
+        every_shingle = every_shingle.where(passes(F.col("h"), known.select("h").distinct(), n_known))
+    seen = every_shingle.join(checked_broadcast(known, n_known), ["h", "size"]).groupBy("h", "size").agg(F.count("*").alias("freq"))
     ranked = grams.join(checked_broadcast(materialize(seen, "rarity")), ["h", "size"], "left").withColumn("freq", F.coalesce("freq", F.lit(0)))
     prefix = ranked.groupBy("words").agg(F.min(F.struct("freq", "h", "at", "size")).alias("p")).where("p.freq > 0")
     prefix = prefix.join(windows, "words").select(F.col("p.h").alias("h"), F.col("p.size").alias("size"), F.col("p.at").alias("at"), F.col("words").alias("want"), "len", "items")
-    every = docs.sparkSession.range(1).select(F.lit(EVERY).cast("long").alias("h"), F.lit(0).alias("size"), F.lit(0).alias("at"), F.array().cast("array<string>").alias("want"), F.lit(0).alias("len"), F.array().cast("array<string>").alias("items"))
-    probe = materialize(prefix.unionByName(every), "prefix")
+    prefix = materialize(prefix, "prefix")
+    n_prefix = prefix.count()
     start = F.col("pos") - F.col("at")
-    met = emitted(docs, sizes).join(checked_broadcast(probe), ["h", "size"])
+    if n_prefix <= common.BROADCAST_ROWS:
+        every = docs.sparkSession.range(1).select(F.lit(EVERY).cast("long").alias("h"), F.lit(0).alias("size"), F.lit(0).alias("at"), F.array().cast("array<string>").alias("want"), F.lit(0).alias("len"), F.array().cast("array<string>").alias("items"))
+        met = emitted(docs, sizes).withColumn("shift", F.lit(0)).join(F.broadcast(prefix.unionByName(every)), ["h", "size"])
+    else:
+        own = emitted(docs, sizes)
+        whole = F.col("size") == 0
+        shift = F.when(whole, 0).otherwise(F.greatest(F.col("pos") - (WINDOW - 1), F.lit(0)))
+        near = F.when(~whole, F.slice("words", shift + 1, 2 * WINDOW - 1))
+        own = own.where(whole | passes(F.col("h"), prefix.select("h").distinct(), n_prefix))
+        # rows that stand for documents meet nothing, and are spread by their number
+        own = own.select("row", "doc_id", "n", "pos", F.when(whole, F.col("row")).otherwise(F.col("h")).alias("h"), "size", shift.alias("shift"), near.alias("words"))
+        met = own.join(prefix, ["h", "size"], "left").withColumns({"len": F.when(F.col("size") == 0, 0).otherwise(F.col("len")), "items": F.coalesce("items", F.array().cast("array<string>"))}).where("len is not null")
     fits = (start >= 0) & (start + F.col("len") <= F.col("n"))
-    same = F.slice("words", F.when(fits, start + 1).otherwise(F.lit(1)), F.col("len")) == F.col("want")
+    same = F.slice("words", F.when(fits, start - F.col("shift") + 1).otherwise(F.lit(1)), F.col("len")) == F.col("want")
     found = met.where((F.col("len") == 0) | fits & same)
     hit = F.when(F.col("len") > 0, F.struct(start.alias("start"), F.col("len")))
     rows = found.select("row", "doc_id", "n", hit.alias("hit"), "items").groupBy("row", "doc_id")
@@ -109,9 +131,13 @@ def covered(hits: Column) -> Column:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs without the documents in which a window of some item occurs; rows without a doc_id are one document."""
-    bad = materialize(containments(docs, items).where(F.size("hits") > 0).select(F.col("doc_id").alias("_d_id")).distinct(), "contaminated")
-    return docs.join(checked_broadcast(bad), docs["doc_id"].eqNullSafe(bad["_d_id"]), "left_anti")
+    """docs without the documents in which a window of some item occurs."""
+    columns = docs.columns
+    inner = docs.withColumnsRenamed({c: f"_d_{c}" for c in columns if c not in ("doc_id", "text")})
+    rows = numbered(inner, "text")
+    bad = containments(rows.select(F.col("row").alias("doc_id"), "text"), items).where(F.size("hits") > 0)
+    left = without(rows, "row", materialize(bad.select(F.col("doc_id").alias("_d_gone_")), "contaminated"))
+    return left.select(*(F.col(c if c in ("doc_id", "text") else f"_d_{c}").alias(c) for c in columns))
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

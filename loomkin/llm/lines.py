@@ -1,12 +1,12 @@
 """Line deduplication by a segment-partition edit join.
 
 A line goes if an equal line, or one within EDITS single-byte edits of it, stands earlier in the corpus
-(smaller doc_id, or the same document and an earlier line); the first one stays. Lines are compared
+(an earlier document, or the same one and an earlier line); the first one stays. Lines are compared
 without the white space at their ends. Blank lines are left alone. Lines under MIN_BYTES go only if an
 equal one stands earlier: there EDITS edits would be more than a tenth of the line, and different short
 lines would pass for copies.
 
-1. Occurrences (line digest, document, line number) give each distinct line's first place.
+1. Occurrences (128-bit line digest, document, line number) give each distinct line's first place.
 2. A distinct line of MIN_BYTES or more is split into EDITS + 1 even segments. A line within EDITS edits, of the same length
    or up to EDITS longer, holds one of them whole near its place; which starts can matter follows from
    the lengths and the segment's number (the multi-match-aware window). Segments and probes are hashes of
@@ -15,13 +15,15 @@ lines would pass for copies.
    pairs in 64 classes, of which an edit changes four at most - allow it.
    The members of a list of more than LARGE comparisons are dealt out again by segments of what the list
    does not hold, under the edits that are left for it.
-4. The lines of the pairs are read once more and verified by banded bit-parallel edit distance.
+4. The lines of the pairs are read once more - a filter of their ids, of bounded size, goes to the scan -
+   and verified by banded bit-parallel edit distance.
 5. A distinct line with an earlier relative goes wherever it occurs; any other stays at its first place.
    Places are judged on the input, so the order of work has no influence.
 
 Defined results: a null text is kept as it is and has no lines. A document of which every line that
-counts was removed has only its blank lines left, perhaps none. Rows that repeat a doc_id are one
-document: equal places are no copies of each other. An empty table gives no rows.
+counts was removed has only its blank lines left, perhaps none. Documents are ordered by doc_id, nulls
+last; rows without a doc_id, or with a repeated one, are documents of their own, in order of a digest of
+their text. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,14 +34,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomkin.llm.common import checked_broadcast, discard, let, materialize, shuffle_parts, table
+from loomkin.llm.common import checked_broadcast, discard, let, materialize, numbered, shuffle_parts, table
 
 EDITS, MIN_BYTES = 2, 20
 #: Signature bits that one edit changes at most.
 FLIPS = 4
 #: Bytes of text whose keys are made at once, and pairs of a list compared at once.
 TEXT_AT_ONCE, PAIRS_AT_ONCE = 2 << 20, 1 << 20
-CACHE_PAIRS = 1 << 18
+CACHE_PAIRS, CACHE_LINES = 1 << 18, 1 << 20
 #: Comparisons in one list above which its members are split by finer keys.
 LARGE = 1 << 22
 _BASE = 0x5851F42D4C957F2D
@@ -51,9 +53,14 @@ def lines_of(text: bytes | None, least: int = 1) -> list[tuple[int, bytes]]:
     return [(i, s) for i, x in enumerate((text or b"").split(b"\n")) if len(s := x.strip()) >= least]
 
 
-def line_id(line: bytes) -> int:
-    """63-bit digest of a line; the lowest bit is left free."""
-    return xxhash.xxh3_64_intdigest(line) & 0xFFFFFFFFFFFFFFFE
+def line_id(line: bytes) -> tuple[int, int]:
+    """Two halves of a line's 128-bit digest. The first is its id, of which the lowest bit is left free; the second tells lines of one id apart."""
+    h = xxhash.xxh3_128_intdigest(line)
+    return h >> 64 & 0xFFFFFFFFFFFFFFFE, h & 0xFFFFFFFFFFFFFFFF
+
+
+def _signed(values: list[int]) -> pa.Array:
+    return pa.array(np.array(values, np.uint64).view(np.int64))
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -199,12 +206,12 @@ def _occurrences(batches):
                 ids.append(line_id(line))
                 docs.append(doc)
                 numbers.append(i)
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(docs, pa.int64()), pa.array(numbers, pa.int64())], names=["line", "doc", "number"])
+        yield pa.RecordBatch.from_arrays([_signed([x[0] for x in ids]), _signed([x[1] for x in ids]), pa.array(docs, pa.int64()), pa.array(numbers, pa.int64())], names=["line", "other", "doc", "number"])
 
 
 def _emit_keys(batches):
-    """Rows (key, line | role, signature) of the distinct lines of a task."""
-    seen: set[int] = set()
+    """Rows (key, line | role, signature) of the lines of a task, mostly once each."""
+    seen: set[tuple[int, int]] = set()
     lines: list[bytes] = []
     ids: list[int] = []
     held = 0
@@ -223,8 +230,10 @@ def _emit_keys(batches):
                 if (h := line_id(line)) not in seen:
                     seen.add(h)
                     lines.append(line)
-                    ids.append(h)
+                    ids.append(h[0])
                     held += len(line)
+            if len(seen) > CACHE_LINES:
+                seen.clear()
             if held >= TEXT_AT_ONCE:
                 yield from made()
                 lines, ids, held = [], [], 0
@@ -358,48 +367,85 @@ def within(a: bytes, b: bytes, edits: int = EDITS) -> bool:
     return bool(reach[-1] >> len(a) - len(b) + edits & 1)
 
 
+#: Most bits of a filter of line ids (a power of two), bits an id, and what its probes leave out of an id.
+MOST_BITS, BITS_EACH, SHIFTS = 1 << 26, 10, (1, 20, 37)
+_BLOCK = 1 << 16
+
+
+def _filter_blocks(bits: int):
+    def run(batches):
+        own = np.zeros(bits, bool)
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for shift in SHIFTS:
+                own[ids >> shift & bits - 1] = True
+        packed = np.packbits(own)
+        for k in range(0, len(packed), _BLOCK):
+            if (part := packed[k : k + _BLOCK]).any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([part.tobytes()], pa.binary())], names=["at", "part"])
+
+    return run
+
+
+def _either(pdf):
+    out = pdf.iloc[:1].copy()
+    out["part"] = [np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in pdf["part"]]).tobytes()]
+    return out
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """Bits that are set for the ids (line): of bounded size, so that with very many ids it lets more lines through."""
+    bits = min(MOST_BITS, max(1 << 12, 1 << (BITS_EACH * ids.count()).bit_length()))
+    packed = np.zeros(bits // 8, np.uint8)
+    blocks = ids.mapInArrow(_filter_blocks(bits), "at long, part binary").groupBy("at").applyInPandas(_either, "at long, part binary")
+    for r in blocks.collect():
+        packed[r["at"] : r["at"] + len(r["part"])] = np.frombuffer(r["part"], np.uint8)
+    return packed
+
+
 def _wanted(shared):
-    """(line, text) of distinct lines of a task; of all lines, or of those whose id is shared."""
+    """(line, other, text) of a task's lines whose id passes the shared filter, mostly once each."""
 
     def run(batches):
-        seen: set[int] = set()
+        packed = shared.value
+        last = len(packed) * 8 - 1
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
-            ids, texts = [], []
+            own = {}
             for _, text in _rows(batch):
                 for _, line in lines_of(text, MIN_BYTES):
-                    h = line_id(line)
-                    if h not in seen and (shared is None or h in shared.value):
-                        seen.add(h)
-                        ids.append(h)
-                        texts.append(line)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(texts, pa.binary())], names=["line", "text"])
+                    if (h := line_id(line)) not in seen:
+                        own[h] = line
+            ids = np.array([h[0] for h in own], np.uint64).view(np.int64)
+            ok = np.ones(len(ids), bool)
+            for shift in SHIFTS:
+                at = ids >> shift & last
+                ok &= (packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+            found = [h for h, k in zip(own, ok.tolist(), strict=True) if k]
+            if len(seen) > CACHE_LINES:
+                seen.clear()
+            seen.update(found)
+            yield pa.RecordBatch.from_arrays([_signed([h[0] for h in found]), _signed([h[1] for h in found]), pa.array([own[h] for h in found], pa.binary())], names=["line", "other", "text"])
 
     return run
 
 
-#: Ids of lines in pairs up to which they are sent to the scan; beyond it the lines are joined by id.
-SENT_IDS = 200_000
-
-
 def _verify(batches):
     for batch in batches:
-        a, b, x, y = (batch.column(k).to_pylist() for k in range(4))
-        yield _pair_batch([(a[k], b[k]) for k in range(len(a)) if within(x[k], y[k])])
+        *keys, x, y = (batch.column(k).to_pylist() for k in range(6))
+        ok = [k for k in range(len(x)) if x[k] != y[k] and within(x[k], y[k])]
+        yield pa.RecordBatch.from_arrays([pa.array([c[k] for k in ok], pa.int64()) for c in keys], names=["a", "a_other", "b", "b_other"])
 
 
 def texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """(line, text) of the lines whose id is in ids (line), once each; one more scan of texts."""
-    spark = texts.sparkSession
-    if ids.count() <= SENT_IDS:
-        shared = spark.sparkContext.broadcast({r["line"] & 0xFFFFFFFFFFFFFFFF for r in ids.collect()})
-        found = texts.mapInArrow(_wanted(shared), "line long, text binary")
-    else:
-        found = texts.mapInArrow(_wanted(None), "line long, text binary").join(ids.hint("merge"), "line", "left_semi")
-    return materialize(found.dropDuplicates(["line"]), "lines")
+    """(line, other, text) of all lines whose id is in ids (line), and perhaps of some more, once each; one more scan of texts."""
+    shared = texts.sparkSession.sparkContext.broadcast(id_filter(ids))
+    found = texts.mapInArrow(_wanted(shared), "line long, other long, text binary")
+    return materialize(found.dropDuplicates(["line", "other"]), "lines")
 
 
 def near_lines(texts: DataFrame) -> DataFrame:
-    """(a, b): ids of different lines of texts (doc, text) within EDITS edits."""
+    """(a, a_other, b, b_other): different lines of texts (doc, text) within EDITS edits."""
     parts = shuffle_parts(texts.sparkSession)
     keys = texts.mapInArrow(_emit_keys, "key long, line long, sig long").repartition(parts, "key").sortWithinPartitions("key")
     found = materialize(keys.mapInArrow(_pairs(LARGE), PAIRS), "candidates")
@@ -414,27 +460,27 @@ def near_lines(texts: DataFrame) -> DataFrame:
     discard(found)
     ids = pairs.select(F.col("a").alias("line")).unionByName(pairs.select(F.col("b").alias("line"))).distinct()
     of = texts_of(texts, materialize(ids, "wanted"))
-    left, right = (of.select(F.col("line").alias(c), F.col("text").alias(t)) for c, t in (("a", "x"), ("b", "y")))
-    met = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return materialize(met.mapInArrow(_verify, "a long, b long"), "near")
+    left, right = (of.select(F.col("line").alias(c), F.col("other").alias(f"{c}_other"), F.col("text").alias(t)) for c, t in (("a", "x"), ("b", "y")))
+    met = pairs.join(left, "a").join(right, "b").select("a", "a_other", "b", "b_other", "x", "y")
+    return materialize(met.mapInArrow(_verify, "a long, a_other long, b long, b_other long"), "near")
 
 
 def repeated_lines(texts: DataFrame) -> DataFrame:
     """(doc, number): the lines of texts (doc, text) that go."""
-    found = materialize(texts.mapInArrow(_occurrences, "line long, doc long, number long"), "occurrences")
-    place = F.struct("doc", "number")
-    firsts = materialize(found.groupBy("line").agg(F.min(place).alias("first"), F.count("*").alias("n")), "firsts")
-    near = near_lines(texts)
-    both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    at = firsts.select("line", "first")
-    lost = both.join(at.select(F.col("line").alias("a"), F.col("first").alias("own")), "a").join(at.select(F.col("line").alias("b"), F.col("first").alias("other")), "b")
-    lost = materialize(lost.where(F.col("other") < F.col("own")).select(F.col("a").alias("line")).distinct().withColumn("lost", F.lit(True)), "lost")
-    judged = firsts.join(checked_broadcast(lost), "line", "left").where((F.col("n") > 1) | F.col("lost"))
-    gone = found.join(judged.select("line", "first", "lost"), "line").where(F.col("lost") | (place > F.col("first")))
+    found = materialize(texts.select("doc", "text").mapInArrow(_occurrences, "line long, other long, doc long, number long"), "occurrences")
+    place, line = F.struct("doc", "number"), ["line", "other"]
+    firsts = materialize(found.groupBy(*line).agg(F.min(place).alias("first"), F.count("*").alias("n")), "firsts")
+    near = near_lines(texts.select("doc", "text"))
+    both = near.unionByName(near.select(F.col("b").alias("a"), F.col("b_other").alias("a_other"), F.col("a").alias("b"), F.col("a_other").alias("b_other")))
+    at = lambda c, name: firsts.select(F.col("line").alias(c), F.col("other").alias(f"{c}_other"), F.col("first").alias(name))
+    lost = both.join(at("a", "own"), ["a", "a_other"]).join(at("b", "earlier"), ["b", "b_other"]).where(F.col("earlier") < F.col("own"))
+    lost = materialize(lost.select(F.col("a").alias("line"), F.col("a_other").alias("other")).distinct().withColumn("lost", F.lit(True)), "lost")
+    judged = firsts.join(checked_broadcast(lost), line, "left").where((F.col("n") > 1) | F.col("lost"))
+    gone = found.join(judged.select(*line, "first", "lost"), line).where(F.col("lost") | (place > F.col("first")))
     return gone.select("doc", "number")
 
 
-TEXTS = "doc long, text string, n_lines long, n_removed long"
+TEXTS = "doc_id long, text string, n_lines long, n_removed long"
 
 
 def _without(batches):
@@ -446,36 +492,34 @@ def _without(batches):
             counts.append(len(lines) if text is not None else 0)
             removed.append(len(gone))
             texts.append(text if text is None or not gone else b"\n".join(x for i, x in enumerate(lines) if i not in gone))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], names=["doc", "text", "n_lines", "n_removed"])
-
-
-LAST = (1 << 63) - 1
-
-
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.col("text").cast("binary").alias("text"))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], names=["doc_id", "text", "n_lines", "n_removed"])
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed and the text that is left, for each row of docs (doc_id, text)."""
-    texts = _texts(docs)
+    rows = numbered(docs.select("doc_id", "text"), "text")
+    texts = rows.select(F.col("row").alias("doc"), F.col("text").cast("binary").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
     gone = repeated_lines(texts).groupBy("doc").agg(F.collect_set("number").alias("gone"))
-    out = texts.join(gone.hint("merge"), "doc", "left").select("doc", "text", "gone").mapInArrow(_without, TEXTS)
-    return out.select(F.when(F.col("doc") != LAST, F.col("doc")).alias("doc_id"), "n_lines", "n_removed", "text")
+    out = texts.join(gone.hint("merge"), "doc", "left").select("doc_id", "text", "gone").mapInArrow(_without, TEXTS)
+    return out.select("doc_id", "n_lines", "n_removed", "text")
 
 
 def clean_lines(docs: DataFrame) -> DataFrame:
     """docs with their repeated lines taken out of text; a document left without a word goes if lines of it were removed."""
     columns = docs.columns
-    gone = repeated_lines(_texts(docs)).groupBy(F.col("doc").alias("_l_doc")).agg(F.sort_array(F.collect_set("number")).alias("_l_gone"))
-    met = docs.withColumn("_l_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).join(gone.hint("merge"), F.col("_l_key") == F.col("_l_doc"), "left")
+    inner = docs.withColumnsRenamed({c: f"_l_{c}" for c in columns if c not in ("doc_id", "text")})
+    rows = numbered(inner, "text").withColumnRenamed("row", "_l_row_")
+    texts = rows.select(F.col("_l_row_").alias("doc"), F.col("text").cast("binary").alias("text"))
+    gone = repeated_lines(texts).groupBy(F.col("doc").alias("_l_doc_")).agg(F.sort_array(F.collect_set("number")).alias("_l_gone_"))
+    met = rows.join(gone.hint("merge"), F.col("_l_row_") == F.col("_l_doc_"), "left")
 
     def rest(x: Column) -> Column:
-        numbers = F.array_except(F.sequence(F.lit(0).cast("long"), F.size(x).cast("long") - 1), F.col("_l_gone"))
+        numbers = F.array_except(F.sequence(F.lit(0).cast("long"), F.size(x).cast("long") - 1), F.col("_l_gone_"))
         return F.array_join(F.transform(numbers, lambda i: F.get(x, i.cast("int"))), "\n")
 
-    met = met.withColumn("text", F.when(F.col("_l_gone").isNull(), F.col("text")).otherwise(let(F.split("text", "\n"), rest)))
-    return met.where(F.col("_l_gone").isNull() | F.col("text").rlike(r"\S")).select(*columns)
+    met = met.withColumn("text", F.when(F.col("_l_gone_").isNull(), F.col("text")).otherwise(let(F.split("text", "\n"), rest)))
+    left = met.where(F.col("_l_gone_").isNull() | F.col("text").rlike(r"\S"))
+    return left.select(*(F.col(c if c in ("doc_id", "text") else f"_l_{c}").alias(c) for c in columns))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,12 +7,13 @@ pieces come longest first; bins stand ordered by residual, each with one bitmap
 clusters it holds, and the search goes from the first bin that is large enough to its successors
 until one is free of conflicts: the tightest compatible bin.
 
-Runs of full bins are not searched one by one: residuals form buckets, and a bucket whose bins all
-share a conflicting bit is passed over at once.
+Neighbours in this order stand together in short shelves. A shelf knows the bits that all its bins
+hold, so the search passes over a shelf of which every bin holds the piece's source (or cluster) at once.
 
 Defined results: a null or empty text has length 1 (its separator). A text longer than the capacity
 is cut into pieces of at most the capacity. A null source or cluster conflicts with nothing. Rows
-with a repeated doc_id are packed once each. An empty table gives no rows.
+without a doc_id, or with a repeated one, are packed once each, in order of a digest of source, cluster
+and length. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,44 +22,83 @@ from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomkin.llm.common import table
+from loomkin.llm.common import numbered, table
 
 #: Production parameters: bytes in a bin (about 2,000 tokens), and items in a block. A source with a share of
 #: the pieces needs as many bins as it has pieces, so a much larger capacity would leave most of a bin empty.
 CAPACITY, BLOCK_ITEMS = 8_192, 2_048
 #: Bins of a block have ids below this.
 BIN_SPAN = 1 << 20
-#: Stands for a null doc_id.
-LAST = (1 << 63) - 1
+#: Bins of a shelf at most; a longer one is cut in two.
+SHELF = 64
 SCHEMA = "doc_id long, piece long, start long, length long, bin_id long, bin_offset long"
 
 
 class Bins:
-    """Open bins by residual. Each bin is [residual, number]; masks[number] has its conflict bits."""
+    """Open bins ordered by (residual, number), on shelves; masks[number] has a bin's conflict bits."""
 
     def __init__(self, capacity: int) -> None:
-        self.capacity, self.order, self.masks = capacity, [], []
+        self.capacity, self.masks = capacity, []
+        self.shelves: list[list[tuple[int, int]]] = []
+        self.last: list[tuple[int, int]] = []  # each shelf's last bin
+        self.common: list[int] = []  # the bits that all bins of a shelf hold
 
     def put(self, length: int, bits: int) -> tuple[int, int]:
         """The bin's number and the offset in it of a new item."""
-        order, masks = self.order, self.masks
-        for k in range(bisect_left(order, (length, -1)), len(order)):
-            residual, number = order[k]
-            if not masks[number] & bits:
-                del order[k]
-                break
-        else:
-            residual, number = self.capacity, len(masks)
-            masks.append(0)
-        masks[number] |= bits
+        found = self._take(length, bits)
+        if found is None:
+            found = self.capacity, len(self.masks)
+            self.masks.append(0)
+        residual, number = found
+        self.masks[number] |= bits
         if residual > length:
-            insort(order, (residual - length, number))
+            self._add((residual - length, number))
         return number, self.capacity - residual
 
+    def _take(self, length: int, bits: int) -> tuple[int, int] | None:
+        """Takes the first bin of at least this residual that holds none of the bits off its shelf."""
+        masks = self.masks
+        for s in range(bisect_left(self.last, (length, -1)), len(self.shelves)):
+            if self.common[s] & bits:
+                continue
+            shelf = self.shelves[s]
+            for k in range(bisect_left(shelf, (length, -1)), len(shelf)):
+                if not masks[shelf[k][1]] & bits:
+                    found = shelf.pop(k)
+                    self._count(s)
+                    return found
+        return None
+
+    def _add(self, one: tuple[int, int]) -> None:
+        s = min(bisect_left(self.last, one), len(self.shelves) - 1)
+        if s < 0:
+            self.shelves.append([])
+            self.last.append(one)
+            self.common.append(0)
+            s = 0
+        shelf = self.shelves[s]
+        insort(shelf, one)
+        if len(shelf) > SHELF:
+            self.shelves[s : s + 1] = [shelf[: SHELF // 2], shelf[SHELF // 2 :]]
+            self.last.insert(s, one)
+            self.common.insert(s, 0)
+            self._count(s + 1)
+        self._count(s)
+
+    def _count(self, s: int) -> None:
+        shelf = self.shelves[s]
+        if not shelf:
+            del self.shelves[s], self.last[s], self.common[s]
+            return
+        bits = -1
+        for _, number in shelf:
+            bits &= self.masks[number]
+        self.last[s], self.common[s] = shelf[-1], bits
+
 
 def pack(items: Iterable[tuple[int, object, object]], capacity: int) -> Iterator[tuple[int, int]]:
     """Best fit for items of (length, source, cluster) in their order; yields (bin, offset)."""
@@ -75,13 +115,13 @@ def pack(items: Iterable[tuple[int, object, object]], capacity: int) -> Iterator
 
 
 def _block(capacity: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
-        clean = [[None if pd.isna(v) else v for v in pdf[c]] for c in ("source", "cluster")]
-        placed = list(pack(zip(pdf["length"].tolist(), *clean, strict=True), capacity))
-        pdf["bin_id"] = [int(b) * BIN_SPAN + n for b, (n, _) in zip(pdf["block"], placed, strict=True)]
-        pdf["bin_offset"] = [o for _, o in placed]
-        return pdf[["doc_id", "piece", "start", "length", "bin_id", "bin_offset"]]
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("length", "descending"), ("row", "ascending"), ("piece", "ascending")])
+        placed = list(pack(zip(*(rows[c].to_pylist() for c in ("length", "source", "cluster")), strict=True), capacity))
+        first = rows["block"][0].as_py() * BIN_SPAN
+        rows = rows.select(["doc_id", "piece", "start", "length"])
+        rows = rows.append_column("bin_id", pa.array([first + n for n, _ in placed], pa.int64()))
+        return rows.append_column("bin_offset", pa.array([o for _, o in placed], pa.int64()))
 
     return run
 
@@ -89,17 +129,16 @@ def _block(capacity: int):
 def best_fit(items: DataFrame, capacity: int = CAPACITY, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """Pack items (doc_id, length, source, cluster) into bins; SCHEMA's columns.
 
-    The only figure taken to the driver is the number of items; only narrow rows are shuffled.
+    The only figures taken to the driver are counts of pieces and ids; only narrow rows are shuffled.
     """
-    blocks = max(1, -(-items.count() // block_items))
-    pieces = items.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.col("source").cast("string"), F.col("cluster").cast("string"), F.col("length").cast("long").alias("whole"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.greatest(F.col("length"), F.lit(1)) - 1) / capacity))).alias("piece"),
-    )
+    own = items.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string"), F.col("cluster").cast("string"), F.col("length").cast("long").alias("whole"))
+    own = numbered(own, "source", "cluster", "whole")
+    last_piece = F.floor((F.greatest(F.col("whole"), F.lit(1).cast("long")) - 1) / capacity)
+    blocks = max(1, -(-(own.agg(F.sum(last_piece + 1)).first()[0] or 0) // block_items))
+    pieces = own.select("row", "doc_id", "source", "cluster", "whole", F.explode(F.sequence(F.lit(0).cast("long"), last_piece)).alias("piece"))
     pieces = pieces.withColumn("start", F.col("piece") * capacity).withColumn("length", F.least(F.lit(capacity).cast("long"), F.col("whole") - F.col("start"))).drop("whole")
-    keyed = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(blocks)))
-    out = keyed.groupBy("block").applyInPandas(_block(capacity), SCHEMA)
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != LAST, F.col("doc_id")))
+    keyed = pieces.withColumn("block", F.pmod(F.xxhash64("row", "piece"), F.lit(blocks)))
+    return keyed.groupBy("block").applyInArrow(_block(capacity), SCHEMA)
 
 
 def document_items(docs: DataFrame) -> DataFrame:

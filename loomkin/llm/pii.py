@@ -123,45 +123,59 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 class _Ascii(dict):
-    """Character to its ASCII look-alike, to nothing, or to itself."""
+    """Code point to its ASCII look-alike, to nothing, or to itself."""
 
-    def __missing__(self, c: str) -> str:
+    def __missing__(self, point: int) -> str:
+        c = chr(point)
         plain = "" if c in GONE else LOOKALIKES.get(c) or unicodedata.normalize("NFKC", c)
         if c.isdigit() and len(plain) == 1:
             plain = str(unicodedata.digit(c))
-        self[c] = plain = plain if not plain or len(plain) == 1 and (plain < "\x80") else c
+        self[point] = plain = plain if not plain or len(plain) == 1 and (plain < "\x80") else c
         return plain
 
 
 ASCII = _Ascii()
 
 
-def normalise(text: str) -> tuple[str, list[int], list[int], list[bool]]:
-    """The normalised text and for each of its characters the source span and whether it was rewritten."""
-    if text.isascii():
-        chars, start = text, range(len(text))
-    else:
-        kept = [(p, i) for i, c in enumerate(text) if (p := c if c < "\x80" else ASCII[c])]
-        chars, start = "".join(p for p, _ in kept), [i for _, i in kept]
-    out, begins, ends, changed, done = [], [], [], [], 0
-    mapped = not text.isascii()
-
-    def copy(a: int, b: int) -> None:
-        out.append(chars[a:b])
-        begins.extend(start[a:b])
-        ends.extend([i + 1 for i in start[a:b]] if mapped else range(a + 1, b + 1))
-        changed.extend([text[i] != c for i, c in zip(start[a:b], chars[a:b], strict=True)] if mapped else bytes(b - a))
-
-    for m in REWRITE.finditer(chars):
-        copy(done, m.start())
-        done = m.end()
-        kind = m.lastgroup
-        out.append({"at": "@", "dot": DOT, "bare": AT, "plus": "+"}.get(kind) or DIGITS[m["digit"].lower().replace("i\u0307", "i")])
-        begins.append(start[m.start()])
-        ends.append(start[done - 1] + 1)
-        changed.append(True)
-    copy(done, len(chars))
-    return "".join(out), begins, ends, changed
+GONE_RUN = re.compile(f"[{''.join(sorted(GONE))}]")
+
+
+class Normalised:
+    """A text after the transducers, and the source span of each of its characters.
+
+    Kept are only the places where something was dropped or rewritten, so a long plain text costs nothing more.
+    """
+
+    def __init__(self, text: str) -> None:
+        chars = text if text.isascii() else text.translate(ASCII)
+        # the character of `chars` before which the k-th dropped one stood
+        self.dropped = [] if len(chars) == len(text) else [m.start() - k for k, m in enumerate(GONE_RUN.finditer(text))]
+        out, done, size = [], 0, 0
+        self.at, self.spans = [], []  # of what was rewritten: the place in the result, and the span in `chars`
+        for m in REWRITE.finditer(chars):
+            out.append(chars[done : m.start()])
+            size += m.start() - done
+            done = m.end()
+            kind = m.lastgroup
+            out.append({"at": "@", "dot": DOT, "bare": AT, "plus": "+"}.get(kind) or DIGITS[m["digit"].lower().replace("i\u0307", "i")])
+            self.at.append(size)
+            self.spans.append(m.span())
+            size += 1
+        out.append(chars[done:])
+        self.text = "".join(out)
+
+    def _span(self, i: int) -> tuple[int, int]:
+        """Span in `chars` of the result's character i."""
+        k = bisect_right(self.at, i) - 1
+        if k >= 0 and self.at[k] == i:
+            return self.spans[k]
+        start = i if k < 0 else self.spans[k][1] + i - self.at[k] - 1
+        return start, start + 1
+
+    def source(self, a: int, b: int) -> tuple[int, int]:
+        """Source span of the result's characters a to b."""
+        first, last = self._span(a)[0], self._span(b - 1)[1] - 1
+        return first + bisect_right(self.dropped, first), last + bisect_right(self.dropped, last) + 1
 
 
 def _bare_at(found: str) -> bool:
@@ -171,22 +185,22 @@ def _bare_at(found: str) -> bool:
 
 
 def added_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    plain, begins, ends, changed = normalise(text)
-    if len(plain) == len(text) and not any(changed):
+    own = Normalised(text)
+    plain = own.text
+    if plain == text:
         return []
     found = [("email", m) for m in EMAIL_N.finditer(plain) if _bare_at(m[0])]
     found += (("ip", m) for m in IP_N.finditer(plain) if is_ip(m[0]))
     found += (("card", m) for m in CARD.finditer(plain) if m.end() - m.start() > 12 and is_card(m[0]))
     found += (("phone", m) for m in PHONE_N.finditer(plain) if is_phone(m[0]))
     out: list[tuple[str, int, int]] = []
-    own = {k: [(x, y) for kind, x, y in base if kind == k] for k in KINDS}
+    held = {k: [(x, y) for kind, x, y in base if kind == k] for k in KINDS}
     for kind, m in found:
-        a, b = m.span()
-        s, e = begins[a], ends[b - 1]
-        if any(changed[a:b]) or e - s != b - a:
+        s, e = own.source(*m.span())
+        if m[0] != text[s:e]:  # holds something rewritten
             # base spans of a kind are ordered and apart, so only the last that begins by s can hold this one
-            k = bisect_right(own[kind], s, key=lambda x: x[0])
-            if not k or own[kind][k - 1][1] < e:
+            k = bisect_right(held[kind], s, key=lambda x: x[0])
+            if not k or held[kind][k - 1][1] < e:
                 out.append((kind, s, e))
     return out
 

@@ -2,7 +2,7 @@
 
 Per document the rules are judged on the whole text. Per host (the source column) the failures of
 each rule are summed, the failure rate is shrunk towards a beta prior fitted to all hosts by the
-method of moments, and a host whose shrunk rate of some rule reaches HOST_LIMIT is rejected with
+method of moments (the spread of the rates less what binomial sampling adds to it), and a host whose shrunk rate of some rule reaches HOST_LIMIT is rejected with
 all its documents. Everything runs as DataFrame expressions; the text never leaves its scan task.
 
 Defined results: a null or empty text has no words and fails `short`. A null host takes part in no
@@ -89,20 +89,25 @@ def rejected_hosts(scored: DataFrame, host: str = "source") -> DataFrame:
     counts = scored.where(F.col(host).isNotNull()).groupBy(F.col(host).alias("_q_host")).agg(F.count("*").alias("n"), *(F.sum(F.col(f"_q_{r}").cast("long")).alias(r) for r in RULES))
     counts = materialize(counts, "hosts")
     ppm = lambda r: F.floor(1_000_000 * F.col(r) / F.col("n")).cast("long")
-    sums = counts.agg(F.count("*").alias("hosts"), *(x for r in RULES for x in (F.sum(ppm(r)).alias(f"{r}_1"), F.sum((ppm(r) * ppm(r)).cast("decimal(38,0)")).alias(f"{r}_2")))).first()
+    share = F.floor(F.lit(1_000_000) / F.col("n")).cast("long")
+    sums = counts.agg(F.count("*").alias("hosts"), F.sum(share).alias("shares"), *(x for r in RULES for x in (F.sum(ppm(r)).alias(f"{r}_1"), F.sum((ppm(r) * ppm(r)).cast("decimal(38,0)")).alias(f"{r}_2")))).first()
     bad = F.lit(False)
     for r in RULES:
-        a, b = prior(sums["hosts"], int(sums[f"{r}_1"] or 0), int(sums[f"{r}_2"] or 0))
+        a, b = prior(sums["hosts"], int(sums[f"{r}_1"] or 0), int(sums[f"{r}_2"] or 0), int(sums["shares"] or 0))
         bad = bad | ((F.col(r) + F.lit(a)) / (F.col("n") + F.lit(a + b)) >= HOST_LIMIT)
     return counts.where(bad).select("_q_host")
 
 
-def prior(hosts: int, total: int, squares: int) -> tuple[float, float]:
-    """Beta (a, b) by the method of moments from sums of rates in parts per million."""
+def prior(hosts: int, total: int, squares: int, shares: int) -> tuple[float, float]:
+    """Beta (a, b) by the method of moments, from sums over hosts of the rates, their squares and 1 / n, in parts per million.
+
+    A host of n documents and rate p adds p (1 - p) / n to the spread of the observed rates by chance.
+    """
     if not hosts:
         return 0.5, 0.5
     mean = total / hosts / 1e6
-    var = max(squares / hosts / 1e12 - mean * mean, 1e-12)
+    chance = mean * (1 - mean) * (shares / hosts / 1e6)
+    var = max(squares / hosts / 1e12 - mean * mean - chance, 1e-12)
     strength = min(max(mean * (1 - mean) / var - 1, PRIOR_MIN), PRIOR_MAX)
     return mean * strength, (1 - mean) * strength
 
@@ -115,7 +120,7 @@ def with_verdicts(scored: DataFrame, hosts: DataFrame, host: str = "source") ->
         joined = scored.join(F.broadcast(marked), F.col(host) == F.col("_q_host"), "left")
     else:
         salted = marked.withColumn("_q_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("_q_host", "_q_host_r").withColumnRenamed("_q_salt", "_q_salt_r")
-        keyed = scored.withColumn("_q_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+        keyed = scored.withColumn("_q_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
         joined = keyed.join(salted, (F.col(host) == F.col("_q_host_r")) & (F.col("_q_salt") == F.col("_q_salt_r")), "left")
     failed = F.col("_q_short") | F.col("_q_repeats")
     return joined.withColumn("_q_base_failed", failed).withColumn("_q_kept", ~failed & F.col("_q_bad").isNull())
@@ -123,8 +128,13 @@ def with_verdicts(scored: DataFrame, hosts: DataFrame, host: str = "source") ->
 
 def keep_good(docs: DataFrame, host: str = "source") -> DataFrame:
     """The documents that pass their own rules and whose host is not rejected, with docs' columns."""
-    scored = score(docs)
-    return with_verdicts(scored, rejected_hosts(scored, host), host).where("_q_kept").select(*docs.columns)
+    inner = docs.withColumnsRenamed({c: f"_d_{c}" for c in docs.columns if c not in ("text", host)})
+    # written once with the marks, so that no text is scored twice; texts that go anyhow are left out
+    marks = [F.col(f"_q_{r}") for r in RULES]
+    failed = F.col("_q_short") | F.col("_q_repeats")
+    scored = materialize(score(inner).select(*(c for c in inner.columns if c != "text"), F.when(~failed, F.col("text")).alias("text"), *marks), "scored")
+    left = with_verdicts(scored, rejected_hosts(scored, host), host).where("_q_kept")
+    return left.select(*(F.col(c if c in ("text", host) else f"_d_{c}").alias(c) for c in docs.columns))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,9 +167,11 @@ h AS (
   SELECT source, count(*) AS n, sum(short::INT) AS a, sum(repeats::INT) AS b, sum(symbols::INT) AS c FROM s WHERE source IS NOT NULL GROUP BY source),
 u AS (SELECT source, n, unnest([a, b, c]) AS k, unnest([1, 2, 3]) AS rule FROM h),
 m AS (
-  SELECT rule, avg(p) / 1e6 AS mean, greatest(avg(p * p) / 1e12 - (avg(p) / 1e6) * (avg(p) / 1e6), 1e-12) AS var
-  FROM (SELECT rule, floor(1000000 * k / n) AS p FROM u) GROUP BY rule),
-z AS (SELECT rule, mean, least(greatest(mean * (1 - mean) / var - 1, 1), 1000) AS strength FROM m),
+  SELECT rule, avg(p) / 1e6 AS mean, avg(p * p) / 1e12 AS squares, avg(s) / 1e6 AS share
+  FROM (SELECT rule, floor(1000000 * k / n) AS p, floor(1000000 / n) AS s FROM u) GROUP BY rule),
+z AS (
+  SELECT rule, mean, least(greatest(mean * (1 - mean) / greatest(squares - mean * mean - mean * (1 - mean) * share, 1e-12) - 1, 1), 1000) AS strength
+  FROM m),
 bad AS (
   SELECT DISTINCT source FROM u JOIN z USING (rule) WHERE (k + mean * strength) / (n + strength) >= 0.5)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, short OR repeats AS base_failed,

@@ -2,109 +2,205 @@
 
 Groups of equal texts are atomic and stand in the order of their first doc_id. The smallest capacity
 for which a greedy walk over the ordered group sizes needs no more shards than asked for is found by
-a multiway binary search; the cuts of that walk are the shards' borders. Group sizes and their prefix
-sums stay distributed: each step of the walk is one aggregate over the prefix sums for all tried
-capacities together, read only from the ranges they fall in.
-
-Defined results: a null text counts as empty (size 1, CRC 0) and belongs with the empty texts. Rows
-with a repeated doc_id get a slot each. With fewer groups than shards, the last shards are empty. An
-empty table gives no rows.
+binary search; the cuts of that walk are the shards' borders.
+
+Group sizes and their running sums stay distributed, in sorted ranges. The driver knows some of the
+sums, at first each range's last one. Between two known sums a walk can be bounded from both sides: cuts
+at known sums come too early, cuts at the full capacity too late. The smallest capacities feasible by
+the one and by the other bound the smallest feasible one; the stretches that walks between the two can
+cut in are then read more closely, a bounded number of sums a pass, until both agree and the walk's
+cuts are known themselves.
+
+Defined results: a null text counts as empty (size 1, CRC 0) and belongs with the empty texts. Groups
+without any doc_id stand last, in order of their text's digest. Rows without a doc_id, or with a
+repeated one, get a slot each. With fewer groups than shards, the last shards are empty. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_right
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomkin.llm.common import materialize, shuffle_parts, table
 
 SHARDS = 8
-#: Capacities tried together.
-TRIES = 64
+#: Running sums read in one pass at most, and ranges that tables are sorted in at most.
+SUMS_AT_ONCE, RANGES = 1 << 16, 4096
+
+
+def _in_ranges(df: DataFrame, *order) -> DataFrame:
+    """df in sorted ranges of `order`, with the range's number in `part`; equal rows may lie in several ranges."""
+    n = min(RANGES, max(2, shuffle_parts(df.sparkSession)))
+    tied = df.withColumn("_s_tie", F.monotonically_increasing_id())
+    keys = [*order, F.col("_s_tie")]
+    return tied.repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop("_s_tie").withColumn("part", F.spark_partition_id())
+
+
+def _with(df: DataFrame, name: str, count) -> DataFrame:
+    """df with a long column `name` from count(), which makes a function of batches for each task."""
+
+    def run(batches):
+        own = count()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own(batch), pa.int64())], names=[*batch.schema.names, name])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.LongType())]))
+
+
+def _running(column: str):
+    """Running sum of a column; the count of rows so far (from 0) for an empty name."""
+
+    def count():
+        total = 0
+
+        def own(batch):
+            nonlocal total
+            n = batch.num_rows
+            sums = np.cumsum(batch.column(column).to_numpy(zero_copy_only=False)) if column else np.arange(n)
+            sums = sums + total
+            total = int(sums[-1]) + (not column) if n else total
+            return sums
 
+        return own
 
-def _ranged(df: DataFrame, name: str, *order: str) -> DataFrame:
-    """df written in ranges of `order`, with the range's number in `part`."""
-    n = min(4096, max(2, shuffle_parts(df.sparkSession)))
-    return materialize(df.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()), name)
+    return count
 
 
 def _offsets(df: DataFrame, rows: list, schema: str) -> DataFrame:
-    """A driver table of at most 4096 ranges (times shards), for broadcast."""
+    """A driver table of at most RANGES rows (times shards), for broadcast."""
     return F.broadcast(df.sparkSession.createDataFrame(rows, schema))
 
 
-def prefix_sums(groups: DataFrame) -> tuple[DataFrame, list[int]]:
-    """groups (key, first, weight) with `ends`, the running sum in order of first; and each range's last sum, by part."""
-    ranged = _ranged(groups, "groups", "first", "key")
-    sums = {r["part"]: r["s"] for r in ranged.groupBy("part").agg(F.sum("weight").alias("s")).collect()}
-    last, total, rows = [], 0, []
-    for part in range(max(sums, default=-1) + 1):
-        rows.append((part, total))
-        total += sums.get(part, 0)
-        last.append(total)
-    own = F.sum("weight").over(W.partitionBy("part").orderBy("first", "key"))
-    out = ranged.withColumn("own", own).join(_offsets(ranged, rows or [(0, 0)], "part int, before long"), "part")
-    return materialize(out.select("key", "part", "weight", (F.col("own") + F.col("before")).alias("ends")), "prefix"), last
-
-
-def _furthest(prefix: DataFrame, last: list[int], targets: list[int]) -> list[int]:
-    """For each target the largest running sum that is no larger; 0 if there is none."""
-    want = sorted({t for t in targets if t < last[-1]})
-    parts = sorted({bisect_left(last, t + 1) for t in want})
-    found = {}
-    if want:
-        row = prefix.where(F.col("part").isin(parts)).agg(*(F.max(F.when(F.col("ends") <= t, F.col("ends"))).alias(f"t{i}") for i, t in enumerate(want))).first()
-        for i, t in enumerate(want):
-            part = bisect_left(last, t + 1)
-            found[t] = max(row[f"t{i}"] or 0, last[part - 1] if part else 0)
-    return [found.get(t, last[-1]) for t in targets]
-
-
-def walk(prefix: DataFrame, last: list[int], capacities: list[int], shards: int) -> list[list[int]]:
-    """Greedy cuts for each capacity: the running sum at the end of each shard."""
-    cuts: list[list[int]] = [[] for _ in capacities]
-    for _ in range(shards):
-        ends = _furthest(prefix, last, [(c[-1] if c else 0) + cap for c, cap in zip(cuts, capacities, strict=True)])
-        for c, e in zip(cuts, ends, strict=True):
-            c.append(e)
-    return cuts
-
-
-def minimax_cuts(prefix: DataFrame, last: list[int], shards: int, heaviest: int) -> list[int]:
-    """The cuts for the smallest feasible capacity."""
-    if not last:
-        return [0] * shards
-    low = max(heaviest, -(-last[-1] // shards))
-    high = low + heaviest  # a greedy walk of this capacity leaves less than `heaviest` free in each shard
-    while low < high:
-        step = max(1, -(-(high - low) // (TRIES + 1)))
-        tried = list(range(low, high, step))[: TRIES + 1]
-        good = [c[-1] == last[-1] for c in walk(prefix, last, tried, shards)]
-        k = good.index(True) if True in good else len(tried)
-        low, high = (tried[k - 1] + 1 if k else low), (tried[k] if k < len(tried) else high)
-    return walk(prefix, last, [high], shards)[0]
+class Sums:
+    """What the driver knows of the ordered groups: ends (running sums) with their index in the whole order, both ascending from 0."""
+
+    def __init__(self, parts: list[tuple[int, int, int]]) -> None:
+        """parts: (part, groups, sum) of the ranges in their order."""
+        self.parts = parts
+        self.ends, self.at = [0], [0]
+        self.before: dict[int, tuple[int, int]] = {}
+        for part, n, total in parts:
+            self.before[part] = self.at[-1], self.ends[-1]
+            self.at.append(self.at[-1] + n)
+            self.ends.append(self.ends[-1] + total)
+
+    @property
+    def total(self) -> int:
+        return self.ends[-1]
+
+    def add(self, found: list[tuple[int, int]]) -> None:
+        merged = sorted({*zip(self.at, self.ends, strict=True), *found})
+        self.at, self.ends = [x[0] for x in merged], [x[1] for x in merged]
+
+    def open(self, k: int) -> bool:
+        """Whether there are unknown sums after the k-th known one."""
+        return k + 1 < len(self.at) and self.at[k + 1] - self.at[k] > 1
+
+    def walk(self, capacity: int, shards: int, late: bool) -> list[int]:
+        """Cuts of a greedy walk; those at unknown sums come too early, or (late) too late."""
+        cuts, pos = [], 0
+        for _ in range(shards):
+            k = bisect_right(self.ends, pos + capacity) - 1
+            pos = min(pos + capacity, self.ends[k + 1] - 1) if late and self.open(k) else self.ends[k]
+            cuts.append(pos)
+        return cuts
+
+    def smallest(self, low: int, high: int, shards: int, late: bool) -> int:
+        """The smallest capacity in low..high whose walk reaches the end; high's does."""
+        while low < high:
+            mid = (low + high) // 2
+            low, high = (low, mid) if self.walk(mid, shards, late)[-1] == self.total else (mid + 1, high)
+        return high
+
+    def stretches(self, low: int, high: int, shards: int) -> list[int]:
+        """Known sums with unknown ones after them in which a walk of a capacity in low..high may cut."""
+        wanted: set[int] = set()
+        early, late = [0, *self.walk(low, shards, False)], [0, *self.walk(high, shards, True)]
+        for a, b in zip(early[:-1], late[:-1], strict=True):
+            first, last = (bisect_right(self.ends, x) - 1 for x in (a + low, b + high))
+            wanted.update(k for k in range(first, last + 1) if self.open(k))
+        return sorted(wanted)
+
+
+def minimax_cuts(prefix: DataFrame, sums: Sums, shards: int, heaviest: int) -> list[int]:
+    """The greedy cuts for the smallest feasible capacity. prefix: (part, own, index), the running sums in each part."""
+    low, high = max(heaviest, -(-sums.total // shards)), max(heaviest, sums.total)
+    while True:
+        low, high = sums.smallest(low, high, shards, True), sums.smallest(low, high, shards, False)
+        cuts = sums.walk(high, shards, False)
+        if low == high and cuts == sums.walk(high, shards, True):
+            return cuts
+        stretches = sums.stretches(low, high, shards)
+        each = max(16, SUMS_AT_ONCE // len(stretches))
+        wanted: dict[int, list[tuple[int, int, int]]] = {}
+        firsts = [sums.before[p][0] for p, _, _ in sums.parts]
+        for k in stretches:
+            part = sums.parts[bisect_right(firsts, sums.at[k]) - 1][0]
+            # the known sum number i is the sum up to the group of index i - 1
+            after, before = (sums.at[j] - sums.before[part][0] - 1 for j in (k, k + 1))
+            wanted.setdefault(part, []).append((after, before, max(1, (before - after) // each)))
+        rows = prefix.where(F.col("part").isin(sorted(wanted))).mapInArrow(_sums_at(wanted), "part int, index long, own long").collect()
+        sums.add([(r["index"] + 1 + sums.before[r["part"]][0], r["own"] + sums.before[r["part"]][1]) for r in rows])
+
+
+def _sums_at(wanted: dict[int, list[tuple[int, int, int]]]):
+    """Rows (part, index, own) at every step-th index between two of a part: wanted[part] has (after, before, step), in order."""
+
+    def run(batches):
+        for batch in batches:
+            part, own, index = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("part", "own", "index"))
+            for p in np.unique(part).tolist():
+                after, before, step = (np.array(c) for c in zip(*wanted[p], strict=True))
+                mine = part == p
+                i, sums = index[mine], own[mine]
+                k = np.searchsorted(after, i, side="left") - 1
+                ok = (k >= 0) & (i < before[k]) & ((i - after[k]) % step[k] == 0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(int(ok.sum()), p, np.int32)), pa.array(i[ok]), pa.array(sums[ok])], names=["part", "index", "own"])
+
+    return run
 
 
 def minimax_shards(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
     """rows (doc_id, key, size, ...) with `shard` and the gapless `slot` in it."""
     groups = rows.groupBy("key").agg(F.sum("size").alias("weight"), F.min("doc_id").alias("first"))
-    prefix, last = prefix_sums(groups)
-    heaviest = prefix.agg(F.max("weight")).first()[0] or 0
-    cuts = minimax_cuts(prefix, last, shards, heaviest)
-    shard = sum(((F.col("ends") > c).cast("int") for c in cuts[:-1]), F.lit(0))
-    placed = rows.join(prefix.select("key", shard.alias("shard")), "key").drop("key")
-    ranged = _ranged(placed, "placed", "doc_id", "text_crc32")
-    counts = {(r["part"], r["shard"]): r["n"] for r in ranged.groupBy("part", "shard").agg(F.count("*").alias("n")).collect()}
-    before, offsets = [0] * shards, []
-    for part, s in sorted(counts):
-        offsets.append((part, s, before[s]))
-        before[s] += counts[part, s]
-    own = F.row_number().over(W.partitionBy("part", "shard").orderBy("doc_id", "text_crc32")) - 1
-    out = ranged.withColumn("own", own).join(_offsets(ranged, offsets or [(0, 0, 0)], "part int, shard int, before long"), ["part", "shard"])
+    ranged = _in_ranges(groups, F.col("first").asc_nulls_last(), F.col("key")).select("key", "weight", "part")
+    prefix = materialize(_with(_with(ranged, "own", _running("weight")), "index", _running("")), "prefix")
+    totals = prefix.groupBy("part").agg(F.count("*").alias("n"), F.sum("weight").alias("s"), F.max("weight").alias("w")).orderBy("part").collect()
+    sums = Sums([(r["part"], r["n"], r["s"]) for r in totals])
+    cuts = minimax_cuts(prefix.select("part", "own", "index"), sums, shards, max((r["w"] for r in totals), default=0)) if totals else [0] * shards
+    before = _offsets(prefix, [(p, sums.before[p][1]) for p, _, _ in sums.parts] or [(0, 0)], "part int, before long")
+    ends = F.col("own") + F.col("before")
+    shard = sum(((ends > c).cast("int") for c in cuts[:-1]), F.lit(0))
+    placed = rows.join(prefix.join(before, "part").select("key", shard.alias("shard")), "key")
+
+    def in_shard():
+        used = np.zeros(shards, np.int64)
+
+        def own(batch):
+            which = batch.column(batch.schema.get_field_index("shard")).to_numpy(zero_copy_only=False)
+            out = np.empty(len(which), np.int64)
+            for s in np.unique(which).tolist():
+                at = np.flatnonzero(which == s)
+                out[at] = used[s] + np.arange(len(at))
+                used[s] += len(at)
+            return out
+
+        return own
+
+    sorted_ = _in_ranges(placed, F.col("doc_id").asc_nulls_last(), F.col("key")).drop("key")
+    slots = materialize(_with(sorted_, "own", in_shard), "placed")
+    counts = slots.groupBy("part", "shard").agg(F.count("*").alias("n")).collect()
+    used, offsets = [0] * shards, []
+    for part, s, n in sorted((r["part"], r["shard"], r["n"]) for r in counts):
+        offsets.append((part, s, used[s]))
+        used[s] += n
+    out = slots.join(_offsets(slots, offsets or [(0, 0, 0)], "part int, shard int, before long"), ["part", "shard"])
     return out.withColumn("slot", (F.col("own") + F.col("before")).cast("long")).drop("part", "own", "before")
 
 

@@ -6,8 +6,10 @@ that level 2 wrongly accepts, and so on until no key is wrong. A key of the univ
 exactly by the first level that rejects it, without a join. Levels are strings of 7-bit characters,
 so that one character is read and one bit tested for each hash, inside a plain expression.
 
-Keys are dealt by hash to as many cascades as the bound on one cascade's bytes asks for, built together
-level by level. One cascade is a constant of the plan; several are rows that keys meet by their shard.
+The list is a table of exact keys (`flagged`), or any flag of the universe's keys. Keys are dealt by hash
+to as many cascades as the bound on one cascade's bytes asks for, built together level by level. One
+cascade is a constant of the plan; several are rows, in SALTS copies or more, that keys meet by their
+shard and a salt, so that a key with many rows does not meet them in one task.
 
 Defined results: a null URL, or one without `://`, has an empty host and path and is an ordinary,
 unlisted key. Repeated rows are judged once each. An empty table or list gives an empty cascade that
@@ -21,15 +23,16 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomkin.llm.common import ascii_lower, materialize, table
+from loomkin.llm.bloom import WIDTH, accepted, bit_at, bit_set, body_of, packed
+from loomkin.llm.common import ascii_lower, materialize, shuffle_parts, table
 
 #: (host, path prefix, verdict)
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-#: Domains whose keys are listed for blocking, subdomains included (a parameter of the query).
-LISTED_DOMAINS = ("ads-track.example.com", "casino-win.example.net", "spam-farm.example.org", "adult-x.example.com", "cheap-pills.example.net", "free-bets.example.net")
-#: Bits in a character, false positives of levels after the first, and the most bytes in one cascade held as a constant.
-WIDTH, LATER_RATE, MOST_BYTES = 7, 0.5, 1 << 20
-LEVELS = 64
+#: The query's list: every key whose host has one of these labels (a parameter).
+LISTED_LABELS = ("ads-track", "casino-win", "spam-farm", "adult-x", "cheap-pills", "free-bets")
+#: False positives of levels after the first, and the most bytes in one cascade held as a constant.
+LATER_RATE, MOST_BYTES = 2.0**-5, 1 << 20
+LEVELS, SALTS = 64, 8
 
 
 def host_of(url: Column) -> Column:
@@ -54,23 +57,6 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
-def bit_at(key: Column, level: int, probe: Column, bits: Column) -> Column:
-    return F.pmod(F.xxhash64(key, F.lit(level), probe), bits)
-
-
-def bit_set(at: Column, body: Column) -> Column:
-    char = F.ascii(F.substring(body, (F.floor(at / WIDTH) + 1).cast("int"), F.lit(1)).cast("string")).cast("long")
-    return F.getbit(char, F.pmod(at, F.lit(WIDTH)).cast("int")) == 1
-
-
-def accepted(key: Column, level: int, probes: int, bits: int, body: Column) -> Column:
-    """Whether a level accepts key, all its probes' bits being set; unrolled for a known number of probes."""
-    out = F.lit(True)
-    for j in range(probes):
-        out = out & bit_set(bit_at(key, level, F.lit(j), F.lit(bits).cast("long")), body)
-    return out
-
-
 def accepted_by(key: Column, level: int, cascade: Column) -> Column:
     """The same for a level (probes, bits, body) that is a column."""
     probes = F.sequence(F.lit(0), cascade["probes"] - 1)
@@ -91,11 +77,9 @@ def level_table(keys: DataFrame, level: int, sizes: dict[int, tuple[int, int]])
     plan = F.broadcast(spark.sql(f"SELECT * FROM VALUES {values} AS t(shard, probes, bits)"))
     probed = keys.join(plan, "shard").select("key", "shard", "bits", F.explode(F.sequence(F.lit(0), F.col("probes") - 1)).alias("j"))
     at = probed.select("shard", bit_at(F.col("key"), level, F.col("j"), F.col("bits")).alias("at"))
-    chars = at.groupBy("shard", F.floor(F.col("at") / WIDTH).alias("c")).agg(F.expr(f"bit_or(shiftleft(1, cast(at % {WIDTH} as int)))").alias("v"))
     grid = plan.select("shard", "probes", "bits", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("bits") / WIDTH) - 1)).alias("c"))
-    full = grid.join(chars, ["shard", "c"], "left").groupBy("shard", "probes", "bits")
-    ordered = F.sort_array(F.collect_list(F.struct("c", F.coalesce("v", F.lit(0)).alias("v"))))
-    body = F.array_join(F.transform(ordered, lambda x: F.char(x["v"])), "").cast("binary")
+    full = grid.join(packed(at, "shard"), ["shard", "c"], "left").groupBy("shard", "probes", "bits")
+    body = body_of(F.collect_list(F.struct("c", F.coalesce("v", F.lit(0)).alias("v")))).cast("binary")
     return materialize(full.agg(body.alias("body")), f"level{level}")
 
 
@@ -130,11 +114,17 @@ def member(key: Column, accepts: list[Column]) -> Column:
     return out
 
 
+def flagged(rows: DataFrame, listed: DataFrame) -> DataFrame:
+    """(key, listed) for every key of rows (key, ...), from a table of listed keys (key); the list need not be distinct or inside rows."""
+    own = rows.select("key").distinct()
+    return own.join(listed.select("key", F.lit(True).alias("listed")).distinct(), "key", "left").select("key", F.coalesce("listed", F.lit(False)).alias("listed"))
+
+
 def listed_flags(rows: DataFrame, keys: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
     """rows (key, ...) with `listed`, for keys (key, listed) that hold every key of rows once.
 
     A list that fits one cascade of most_bytes is judged by constants, without a join. A larger one is
-    dealt into shards by a hash of the key, and rows meet their shard's cascade by that number.
+    dealt into shards by a hash of the key, and rows meet their shard's cascade by that number and a salt.
     """
     listed = keys.where("listed").count()
     shards = max(1, -(-listed * 3 // most_bytes))  # a listed key takes under 3 bytes over all levels
@@ -144,11 +134,13 @@ def listed_flags(rows: DataFrame, keys: DataFrame, most_bytes: int = MOST_BYTES)
     if shards == 1:
         held = [x.first() for x in levels]
         return rows.withColumn("listed", member(key, [accepted(key, k, x["probes"], x["bits"], F.lit(bytes(x["body"]))) for k, x in enumerate(held)]))
-    met = rows.withColumn("_u_shard", shard)
+    salts = max(SALTS, -(-shuffle_parts(rows.sparkSession) // shards))
+    met = rows.withColumn("_u_shard", shard).withColumn("_u_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
     cascades = levels[0].select(F.col("shard").alias("_u_shard"), F.struct("probes", "bits", "body").alias("_u_0"))
     for k, x in enumerate(levels[1:], 1):
         cascades = cascades.join(x.select(F.col("shard").alias("_u_shard"), F.struct("probes", "bits", "body").alias(f"_u_{k}")), "_u_shard")
-    met = met.join(cascades.hint("shuffle_hash"), "_u_shard")
+    cascades = cascades.withColumn("_u_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    met = met.join(cascades.hint("shuffle_hash"), ["_u_shard", "_u_salt"])
     out = met.withColumn("listed", member(key, [accepted_by(key, k, F.col(f"_u_{k}")) for k in range(len(levels))]))
     return out.select(*rows.columns, "listed")
 
@@ -157,9 +149,7 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("key", F.concat("host", "path"))
-    listed = F.lit(False)
-    for d in LISTED_DOMAINS:
-        listed = listed | under(F.col("host"), d)
+    listed = F.arrays_overlap(F.split("host", r"\."), F.array(*map(F.lit, LISTED_LABELS)))
     keys = materialize(rows.select("key", listed.alias("listed")).groupBy("key").agg(F.bool_or("listed").alias("listed")), "keys")
     name, verdict = rule_of(F.col("host"), F.col("path"))
     judged = listed_flags(rows, keys)
@@ -176,7 +166,7 @@ r AS (
     WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
     WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
     WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule,
-    regexp_matches(host, '(^|\.)(ads-track\.example\.com|casino-win\.example\.net|spam-farm\.example\.org|adult-x\.example\.com|cheap-pills\.example\.net|free-bets\.example\.net)$') AS listed
+    regexp_matches(host, '(^|\.)(ads-track|casino-win|spam-farm|adult-x|cheap-pills|free-bets)(\.|$)') AS listed
   FROM p)
 SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN listed THEN 'block' ELSE 'allow' END AS verdict

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomkin.llm import chat, decontaminate, lines, ngram_join, packing, pii, quality, sharding, suffix, urls
+from loomkin.llm import chat, common, decontaminate, lines, ngram_join, packing, pii, quality, sharding, suffix, urls
 from loomkin.llm.components import components as spark_components
 from tests.llm.fixtures import SCHEMA, VOCABULARY, components, corpus, edits, frame, sentence, with_clashes
 
@@ -17,6 +17,14 @@ EMPTY: list = []
 SEEDS = (0, 1)
 
 
+def connect_documents(folder):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    return con
+
+
 def space_words(text):
     return [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
 
@@ -73,6 +81,27 @@ def test_packing_takes_the_tightest_compatible_bin():
         assert got == want
 
 
+def test_packing_passes_over_full_shelves():
+    import time
+
+    rng = np.random.default_rng(1)
+    items = [(int(n), "one", None) for n in sorted(rng.integers(1, 8192, 16_000), reverse=True)]
+    began = time.perf_counter()
+    assert [b for b, _ in packing.pack(items, 8192)] == list(range(16_000))
+    assert time.perf_counter() - began < 8
+
+
+def test_packing_of_rows_without_or_with_repeated_ids(spark, monkeypatch):
+    rows = [(None if i % 3 else 5, f"text {i}", "en", None if i % 2 else f"s{i % 7}", 1) for i in range(600)] + [((1 << 63) - 1, "last", "en", "s", 1)]
+    out = packing.best_fit(packing.document_items(with_clashes(frame(spark, rows)).drop("length", "cluster")), capacity=200, block_items=50).collect()
+    assert Counter(r.doc_id for r in out) == Counter(r[0] for r in rows)
+    sizes = Counter(r.bin_id // packing.BIN_SPAN for r in out)
+    assert len(sizes) > 8 and max(sizes.values()) < 120  # rows without an id spread over the blocks
+    again = packing.best_fit(packing.document_items(frame(spark, rows[::-1])), capacity=200, block_items=50).collect()
+    load = lambda found: sorted(Counter(r.bin_id for r in found).values())
+    assert sum(load(again)) == sum(load(out))
+
+
 # --- 2 URLs ---
 
 
@@ -85,6 +114,28 @@ def test_cascade_is_exact_for_its_universe(spark):
     assert len(urls.build_cascades(keys.withColumn("shard", F.lit(0)), 1)) > 1
 
 
+def test_keys_from_a_list_of_exact_keys(spark):
+    rows = spark.createDataFrame([(f"h{i % 50}/p{i % 200}", i) for i in range(1000)], "key string, other int")
+    listed = spark.createDataFrame([(f"h{i}/p{i}",) for i in range(0, 200, 9)] + [("h3/p3",), ("h3/p3",), ("not/in/it",)], "key string")
+    keys = urls.flagged(rows, listed)
+    want = {r[0] for r in listed.collect()}
+    got = urls.listed_flags(rows, keys).collect()
+    assert len(got) == 1000 and all(r.listed == (r["key"] in want) for r in got) and any(r.listed for r in got)
+
+
+def test_hot_keys_of_large_lists_are_salted(spark):
+    keys = spark.createDataFrame([(f"k{i}", i % 2 == 0) for i in range(4000)], "key string, listed boolean")
+    rows = keys.select("key").unionByName(spark.range(3000).select(F.lit("k2").alias("key")))
+    got = urls.listed_flags(rows, keys, 500)
+    assert got.where("listed").count() == 5000 and got.count() == 7000
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        tasks = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert max(tasks) < 3500
+
+
 @pytest.mark.parametrize("rows", [EMPTY, [("a", False)], [("a", True)], [("a", True), ("b", True)]])
 def test_cascades_at_the_edges(spark, rows):
     keys = spark.createDataFrame(rows, "key string, listed boolean")
@@ -106,6 +157,9 @@ def test_cascades_at_the_edges(spark, rows):
         (None, "", "", None, "allow"),
         ("", "", "", None, "allow"),
         ("http://ads-track.example.com/a", "ads-track.example.com", "/a", None, "block"),
+        ("http://www.ads-track.example.org/a?b", "www.ads-track.example.org", "/a", None, "block"),
+        ("http://bads-track.example.org/a", "bads-track.example.org", "/a", None, "allow"),
+        ("http://ads-track.example.org/fr/a", "ads-track.example.org", "/fr/a", "org/fr/", "allow"),
         ("http://a\nb.org/fr/x\ny", "a\nb.org", "/fr/x\ny", "org/fr/", "allow"),
         ("u://v://w.net/z", "v:", "//w.net/z", None, "allow"),
     ],
@@ -309,14 +363,26 @@ def test_lines(spark, monkeypatch, seed, large):
     assert left == {d: t for d, t in want.items() if d not in touched or t.strip()}
 
 
-def test_lines_by_id_join(spark, monkeypatch):
-    monkeypatch.setattr(lines, "SENT_IDS", 0)
+def test_lines_with_a_full_filter(spark, monkeypatch):
+    monkeypatch.setattr(lines, "MOST_BITS", 8)  # lets every line through
     text = sentence(__import__("random").Random(1), 8)
-    df = spark.createDataFrame([(1, text), (2, text + "x"), (3, text + "xyz"), (3, text + "xyz")], "doc_id long, text string")
-    assert sorted((r.doc_id, r.n_removed) for r in lines.dedup_lines(df).collect()) == [(1, 0), (2, 1), (3, 1), (3, 1)]
+    df = spark.createDataFrame([(1, text), (2, text + "x"), (3, text + "xyz"), (5, sentence(__import__("random").Random(2), 30))], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_removed) for r in lines.dedup_lines(df).collect()) == [(1, 0), (2, 1), (3, 1), (5, 0)]
     assert lines.dedup_lines(frame(spark, EMPTY)).count() == 0
 
 
+def test_lines_of_rows_without_or_with_repeated_ids(spark):
+    rng = __import__("random").Random(3)
+    own = ["\n".join(sentence(rng, 6) for _ in range(3)) for _ in range(20)]
+    rows = [(1, own[0]), (None, own[0]), *((None, t) for t in own[1:10]), *((7, t) for t in own[10:]), ((1 << 63) - 1, "a line of its own, long enough"), (None, None), (None, None)]
+    df = with_clashes(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = Counter((r.doc_id, r.n_removed, r.text) for r in lines.dedup_lines(df).collect())
+    assert got == Counter((d, 3, "") if (d, t) == (None, own[0]) else (d, 0, t) for d, t in rows)
+    left = lines.clean_lines(df)
+    assert left.columns == df.columns
+    assert Counter((r.doc_id, r.text) for r in left.collect()) == Counter((d, t) for d, t in rows if (d, t) != (None, own[0]))
+
+
 def test_equal_short_lines_go(spark):
     df = spark.createDataFrame([(1, "Yes.\n\nNo.\n}"), (2, "No.\n\n Yes. \nYes!"), (3, "}\n\n")], "doc_id long, text string")
     assert sorted((r.doc_id, r.n_removed, r.text) for r in lines.dedup_lines(df).collect()) == [(1, 0, "Yes.\n\nNo.\n}"), (2, 2, "\nYes!"), (3, 1, "\n")]
@@ -392,8 +458,34 @@ def test_quality_salted_join_and_empty(spark, monkeypatch):
 
 
 def test_prior_shrinks_small_hosts():
-    a, b = quality.prior(4, 1_000_000, 280_000_000_000)
+    a, b = quality.prior(4, 1_000_000, 280_000_000_000, 40_000)
     assert abs(a / (a + b) - 0.25) < 1e-9 and quality.PRIOR_MIN <= a + b <= quality.PRIOR_MAX
+    # rates that differ no more than by chance make the strongest prior, whatever the hosts' sizes
+    rng = np.random.default_rng(0)
+    for n in (10, 100):
+        p = np.floor(rng.binomial(n, 0.2, 5000) / n * 1e6).astype(int).tolist()
+        a, b = quality.prior(5000, sum(p), sum(x * x for x in p), 5000 * (1_000_000 // n))
+        assert a + b > 150
+        spread = np.floor(rng.binomial(n, rng.beta(2, 8, 5000)) / n * 1e6).astype(int).tolist()
+        a, b = quality.prior(5000, sum(spread), sum(x * x for x in spread), 5000 * (1_000_000 // n))
+        assert 7 < a + b < 14 and abs(a / (a + b) - 0.2) < 0.01
+
+
+def test_hosts_are_rejected_by_their_shrunk_rate(spark, tmp_path):
+    """Small hosts of which half fail stay where most hosts are good; a large one goes, with its good documents."""
+    rng = __import__("random").Random(0)
+    good = lambda: sentence(rng, 30)
+    rows = [(i, good() if i % 20 else "short", "en", f"good{i % 40}", 1) for i in range(800)]
+    rows += [(1000 + i, good() if i % 2 else "short", "en", "small", 1) for i in range(2)]
+    rows += [(2000 + i, good() if i % 3 == 0 else "short", "en", "large", 1) for i in range(90)]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in quality.op7_quality_rules(spark, str(tmp_path)).collect()}
+    dropped = {d for d, r in got.items() if not r.kept and not r.base_failed}
+    assert dropped == {2000 + i for i in range(0, 90, 3)}
+    con = connect_documents(tmp_path)
+    want = {r[0]: r[1:] for r in con.sql(f"SELECT doc_id, base_failed, kept FROM ({quality.OP7_SQL})").fetchall()}
+    assert want == {d: (r.base_failed, r.kept) for d, r in got.items()}
+    assert {r.doc_id for r in quality.keep_good(frame(spark, rows)).collect()} == {d for d, r in got.items() if r.kept}
 
 
 # --- 8 sharding ---
@@ -487,12 +579,57 @@ def test_second_linking_loses_nothing(spark, monkeypatch):
     assert got == plain_components(rows)
 
 
+def families(seed, members=12):
+    """Texts of one size that begin alike and go on differently, around the limit: groups of equal prefix whose members link in part."""
+    rng = __import__("random").Random(seed)
+    rows = []
+    for family in range(5):
+        base = [f"{rng.choice(VOCABULARY)}{family}" for _ in range(60)]
+        tails = [[rng.choice(VOCABULARY) for _ in range(30)] for _ in range(3)]
+        for k in range(members):
+            w = base[: 40 + 5 * family] + tails[k % 3][: 20 - 4 * family]
+            if k % 4 == 3:
+                w[rng.randrange(len(w))] = "x"
+            rows.append((100 * family + k, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("neighbours", [2, 0])
+def test_groups_of_equal_prefix(spark, monkeypatch, seed, neighbours):
+    monkeypatch.setattr(ngram_join, "NEIGHBOURS", neighbours)
+    rows = families(seed)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similarity_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain_components(rows)
+
+
+def test_prefix_groups(spark):
+    rows = [(t, node, (9 << 32) + i) for node, own in {1: "abc", 2: "abc", 3: "abd", 5: "acb"}.items() for i, t in enumerate(map(ord, own))]
+    rows += [(ord(t), 4, (8 << 32) + i) for i, t in enumerate("abc")] + [(ord("c"), 6, 9 << 32), (ord("c"), 7, 9 << 32)]
+    got = ngram_join.prefix_groups(spark.createDataFrame(rows, ngram_join.POSTINGS)).collect()
+    assert {(r.node, r["head"], r.repeats) for r in got} == {(1, 1, 3), (2, 1, 3), (3, 3, 3), (4, 4, 3), (5, 5, 3), (6, 6, 1), (7, 6, 1)}
+
+
+def test_near_duplicates_by_filter(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    rows = copies(5) + [(900 + i, t) for i, (_, t) in enumerate(copies(5)[::3])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similarity_components(df).collect()}
+    assert got == plain_components(rows)
+    assert {r.doc_id for r in ngram_join.keep_one(df).collect()} == {d for d, (_, c) in got.items() if d == c}
+
+
 def test_near_duplicates_at_the_edges(spark):
     assert ngram_join.similarity_components(frame(spark, EMPTY)).count() == 0
-    rows = [(None, "a b c d e f", "en", None, 1), (4, "A b c d e f", "en", None, 1), (4, "a b c d e f", "en", None, 1), (9, None, "en", None, None)]
-    out = sorted(((r.doc_id is None, r.doc_id or 0), r.n_shingles, r.component_id) for r in ngram_join.similarity_components(frame(spark, rows)).collect())
-    assert out == [((False, 4), 2, 4), ((False, 4), 2, 4), ((False, 9), 0, 9), ((True, 0), 2, 4)]
-    assert sorted(r.text for r in ngram_join.keep_one(frame(spark, rows)).where("text is not null").collect()) == ["A b c d e f", "a b c d e f"]
+    last = (1 << 63) - 1
+    rows = [(None, "a b c d e f", "en", None, 1), (4, "A b c d e f", "en", None, 1), (4, "a b c d e f", "en", None, 1), (9, None, "en", None, None), (None, "p q r s t u", "en", None, 1), (None, "p q r s t u", "en", None, 1), (last, "v w x y z", "en", None, 1)]
+    rows += [(4, f"other {i} text {i} of {i} this {i} id", "en", None, 1) for i in range(5)] + [(None, f"more {i} text {i} without {i} an {i} id", "en", None, 1) for i in range(5)]
+    df = with_clashes(frame(spark, rows))
+    out = Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.similarity_components(df).collect())
+    assert out == Counter({(4, 2, 4): 2, (None, 2, 4): 1, (9, 0, 9): 1, (None, 2, None): 2, (last, 1, last): 1, (4, 5, 4): 5, (None, 5, None): 5})
+    left = ngram_join.keep_one(df)
+    assert left.columns == df.columns
+    assert Counter(r.text.lower() if r.text else None for r in left.collect()) == Counter({t.lower() if t else None: 1 for _, t, *_ in rows})
 
 
 def test_prefix_bounds_hold_for_all_sizes():
