@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomkin.model.domain import Domain
+from loomkin.operators.relational import dense_ids, running_total
 
 #: Attributes with more codes than this are split into two digits.
 SPLIT_OVER = 20
@@ -15,8 +15,9 @@ BROADCAST_ROWS = 200_000
 
 
 def dictionary(df: DataFrame, attr: str) -> DataFrame:
-    """(value, code): distinct values in order, coded 0, 1, ... The window runs over distinct values only."""
-    return df.select(F.col(attr).alias("value")).where(F.col(attr).isNotNull()).distinct().withColumn("code", F.row_number().over(W.orderBy("value")) - 1)
+    """(value, code): distinct values in order, coded 0, 1, ...; numbered in ranges, so that no task sees all values."""
+    values = df.select(F.col(attr).alias("value")).where(F.col(attr).isNotNull()).distinct()
+    return dense_ids(values, "code", ["value"]).withColumn("code", F.col("code").cast("int"))
 
 
 def _small(side: DataFrame) -> DataFrame:
@@ -69,11 +70,14 @@ def packing_base(df: DataFrame, low: str) -> int:
 
 
 def pack_key(high: Column, low: Column, base: int) -> Column:
-    return (high * base + low).cast("long")
+    """high * base + low in whole numbers; null where that exceeds a long."""
+    return F.try_add(F.try_multiply(high.cast("long"), F.lit(base).cast("long")), low.cast("long"))
 
 
 def unpack_key(key: Column, base: int) -> tuple[Column, Column]:
-    return F.floor(key / base).cast("long"), F.pmod(key, F.lit(base)).cast("long")
+    """The two parts of a packed key, by whole division."""
+    low = F.pmod(key.cast("long"), F.lit(base).cast("long"))
+    return F.call_function("div", key.cast("long") - low, F.lit(base).cast("long")), low
 
 
 def equal_width(value: Column, least: float, most: float, bins: int = 16) -> Column:
@@ -87,10 +91,9 @@ def equal_frequency(counts: DataFrame, bins: int) -> DataFrame:
 
     Each value goes whole into one bin: the first whose share its predecessors leave unfinished.
     """
-    run = F.sum("n").over(W.orderBy("value").rowsBetween(W.unboundedPreceding, -1))
     total = counts.agg(F.sum("n")).first()[0] or 1
-    before = F.coalesce(run, F.lit(0))
-    return counts.select("value", F.least(F.floor(before * bins / F.lit(total)), F.lit(bins - 1)).cast("int").alias("bin"))
+    run = running_total(counts.select("value", "n"), "n", "before", ["value"])
+    return run.select("value", F.least(F.floor(F.col("before") * bins / F.lit(total)), F.lit(bins - 1)).cast("int").alias("bin"))
 
 
 def clip_negative(value: Column) -> Column:

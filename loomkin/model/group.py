@@ -157,10 +157,12 @@ class GroupModel:
     def observed(self) -> list[str]:
         return [a for a in self.domain if a != TYPE]
 
-    def synthesize(self, spark: SparkSession, groups: int | None = None, types: np.ndarray | None = None, seed: int = 0, rows: int | None = None) -> DataFrame:
+    def synthesize(self, spark: SparkSession, groups: int | None = None, types: np.ndarray | None = None, seed: int = 0, rows: int | None = None, head: tuple[str, int] | None = None) -> DataFrame:
         """(gid, member, y, attributes...) for a number of groups, or for a histogram of types.
 
         rows: sizes are moved until the groups have so many members, or one each if that is more.
+        head: an attribute and a code that member 0 of each group has and no other; both kinds of members are
+        drawn from the model under that condition.
         """
         rng = np.random.default_rng(seed)
         sizes = np.maximum(self.type_size, 0.0)
@@ -171,8 +173,21 @@ class GroupModel:
         if rows is not None and table.sum():
             table = fill_rows(table, max(rows, int(table.sum())), rng)
         frame = explode_types(spark, table, [TYPE])
-        beliefs = propagate(self.potential, self.messages, 1.0)[0]
-        return draw_members(frame, beliefs, self.tree, [TYPE], self.observed(), seed)
+        draw = lambda potential, which, shift: draw_members(frame, propagate(potential, self.messages, 1.0)[0], self.tree, [TYPE], self.observed(), seed + shift, which)
+        if head is None:
+            return draw(self.potential, None, 0)
+        attr, code = head
+        is_head = np.arange(self.domain[attr].size) == code
+        return draw(allowing(self.potential, attr, is_head), "first", 0).unionByName(draw(allowing(self.potential, attr, ~is_head), "rest", 7919))
+
+
+def allowing(potential: Potential, attr: str, codes: np.ndarray) -> Potential:
+    """The potential given that attr has one of the codes (a mask): one clique with attr rules the others out."""
+    out, clique = Potential(potential), next(c for c in potential if attr in c)
+    f = potential[clique]
+    shape = [-1 if a == attr else 1 for a in f.domain.attrs]
+    out[clique] = Factor(f.domain, f.values + np.where(codes, 0.0, -1e6).reshape(shape))
+    return out
 
 
 def normalize_by_group_size(type_size: np.ndarray, group_size: np.ndarray) -> np.ndarray:
@@ -247,7 +262,14 @@ def fit_groups(child: DataFrame, fk: str, domain: Domain, settings: GroupSetting
     ledger, shares = Ledger(settings.budget), group_model_shares()
     sens = group_sensitivities(settings.rows_changed, settings.groups_changed, settings.cap)
     own = child.select(fk, *domain).persist()
-    rows, steps = float(own.count()), settings.steps
+    steps = settings.steps
+    rows = float(own.count())
+    if not infinite:
+        # the number of rows steers the fit, so it is a release too: a hundredth of the graph's share
+        s = sigma(settings.rows_changed, shares["graph"] * 0.01 * settings.budget)
+        ledger.charge("rows", settings.rows_changed, s)
+        shares = {**shares, "graph": shares["graph"] * 0.99}
+        rows = max(1.0, rows + rng.normal(scale=s))
 
     def noise(what: str, releases: int) -> float:
         if infinite:
@@ -341,6 +363,7 @@ def fit_groups(child: DataFrame, fk: str, domain: Domain, settings: GroupSetting
     for r in M.group_sizes(own, fk, settings.cap).collect():
         counts[r["size"] - 1] = r["n"]
     counts = noisy(counts, group_noise, rng) if group_noise else counts
+    own.unpersist()
     return GroupModel(full, fk, settings.types, potential, tree, messages, normalize_by_group_size(final, counts), alpha, ledger, q, history)
 
 

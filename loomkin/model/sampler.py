@@ -6,6 +6,7 @@ cell's rounded counts: rank and running count meet in a range. There is no row-w
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -79,11 +80,11 @@ def _code_ranges(table: Factor, given: Sequence[str], target: str, sizes: dict[t
 def draw_column(df: DataFrame, table: Factor, given: Sequence[str], target: str, key: str, seed: int) -> DataFrame:
     """df with `target` drawn from a clique's marginal given other columns; counts in each cell are rounded, not independent.
 
-    Only the cells' row counts, bounded by the clique's cells, come to the driver. Cells are numbered in
-    seeded hash order of the key. The window runs over (cell, block): a large cell is dealt over blocks by
-    hash, and each block takes its own stretch of the cell's ranks.
+    Only the cells' row counts come to the driver: at most MOST_CELLS of them, or one for each cell where a
+    clique has more. Cells are numbered in seeded hash order of the key. The window runs over (cell,
+    block): a large cell is dealt over blocks by hash, and each block takes its own stretch of the cell's ranks.
     """
-    blocks = 64
+    blocks = max(1, min(64, MOST_CELLS // max(1, math.prod(table.domain[g].size for g in given))))
     rng = np.random.default_rng([seed, *(ord(c) for c in target)])
     dealt = df.withColumn("_b", F.pmod(F.xxhash64(F.lit(seed + 1), F.col(key)), F.lit(blocks)).cast("int"))
     counts = dealt.groupBy(*given, "_b").agg(F.count("*").alias("n")).collect()
@@ -134,19 +135,15 @@ def draw_from_tree(df: DataFrame, beliefs: dict[Clique, Factor], tree: Sequence[
     return df
 
 
-def draw_members(groups: DataFrame, beliefs: dict[Clique, Factor], tree: Sequence[tuple[Clique, Clique]], types: Sequence[str], attrs: Sequence[str], seed: int) -> DataFrame:
+def draw_members(groups: DataFrame, beliefs: dict[Clique, Factor], tree: Sequence[tuple[Clique, Clique]], types: Sequence[str], attrs: Sequence[str], seed: int, which: str | None = None) -> DataFrame:
     """Member rows (gid, member, types..., attrs...) of groups (gid, types..., size), all groups at once.
 
     The members of a group share its types, so drawing within the type cells over all groups gives each
-    type its rounded marginal; no group is rounded on its own.
+    type its rounded marginal; no group is rounded on its own. which: only the first members, or the rest.
     """
-    members = groups.select("gid", *types, F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("member"))
-    members = members.withColumn("_key", F.xxhash64("gid", "member"))
+    span = (groups.agg(F.max("size")).first()[0] or 0) + 1
+    first, last = {"first": (F.lit(0), F.lit(0)), "rest": (F.lit(1), F.col("size") - 1)}.get(which, (F.lit(0), F.col("size") - 1))
+    members = groups.where(last >= first).select("gid", *types, F.explode(F.sequence(first, last)).alias("member"))
+    members = members.withColumn("_key", F.col("gid") * F.lit(span).cast("long") + F.col("member"))
     out = draw_from_tree(members, beliefs, tree, "_key", seed, fixed=types)
     return out.select("gid", "member", *types, *attrs)
-
-
-def put_head_first(members: DataFrame, attr: str, head: int = 0) -> DataFrame:
-    """Household rule: member 0 of each group has `attr` = head, and no other member has it."""
-    other = F.when(F.col(attr) == head, F.lit(head + 1)).otherwise(F.col(attr))
-    return members.withColumn(attr, F.when(F.col("member") == 0, F.lit(head)).otherwise(other).cast("int"))

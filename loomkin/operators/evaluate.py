@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from copy import copy
 from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomkin.lineage import materialize
 from loomkin.model.domain import Domain
 from loomkin.operators import marginals as M
-from loomkin.operators.relational import requires
+from loomkin.operators.relational import SMALL_ROWS
 
-#: Queries answered by one pass over the groups; more would make its generated code too large.
-QUERIES_AT_ONCE = 80
 Needs = tuple[tuple[str, tuple[int, ...]], ...]
 
 
@@ -61,37 +62,151 @@ def random_queries(count: int, child: Domain, parent: Domain, child_attrs: int,
     return out
 
 
-def _all(needs: Needs) -> Column:
-    return requires(dict(needs))
+class QueryBits:
+    """One bit a query: for each attribute and code the queries that it leaves open, for `first`, `second` and `parent`."""
+
+    def __init__(self, queries: Sequence[GroupQuery]) -> None:
+        self.count, self.words = len(queries), -(-len(queries) // 64)
+        self.tables = {part: self._tables(queries, part) for part in ("first", "second", "parent")}
+        self.most = max((q.high for q in queries), default=0)
+        self.sizes = self._pack(np.array([[q.low <= n < q.high for q in queries] for n in range(self.most)], bool).reshape(self.most, len(queries)))
+
+    def _pack(self, bits: np.ndarray) -> np.ndarray:
+        whole = np.zeros((len(bits), self.words * 64), bool)
+        whole[:, : self.count] = bits
+        return np.packbits(whole, axis=1, bitorder="little").view(np.uint64)
+
+    def _tables(self, queries: Sequence[GroupQuery], part: str) -> dict[str, np.ndarray]:
+        """By attribute: a row of bits for each code, and a last one for all other codes."""
+        needs = [dict(getattr(q, part)) for q in queries]
+        out = {}
+        for a in sorted({a for n in needs for a in n}):
+            size = 1 + max(max(n[a], default=0) for n in needs if a in n)
+            bits = np.ones((size + 1, len(queries)), bool)
+            for i, n in enumerate(needs):
+                if a in n:
+                    bits[:, i] = False
+                    bits[list(n[a]), i] = True
+            out[a] = self._pack(bits)
+        return out
+
+    def attrs(self, *parts: str) -> list[str]:
+        return sorted({a for p in parts for a in self.tables[p]})
+
+    def named(self, child: str, parent: str) -> QueryBits:
+        """With these prefixes before the attributes' names."""
+        out = copy(self)
+        out.tables = {p: {(parent if p == "parent" else child) + a: t for a, t in own.items()} for p, own in self.tables.items()}
+        return out
+
+    def satisfied(self, part: str, codes: dict[str, np.ndarray], rows: int) -> np.ndarray:
+        """[rows, words]: the queries whose requirements each row meets. A missing or unknown code meets none."""
+        out = np.full((rows, self.words), np.uint64(0xFFFFFFFFFFFFFFFF))
+        for a, table in self.tables[part].items():
+            c = codes[a]
+            known = (c >= 0) & (c < len(table) - 1)
+            out &= table[np.where(known, c, len(table) - 1).astype(np.int64)]
+        return out
+
+    def counts(self, bits: np.ndarray) -> np.ndarray:
+        """Rows with each query's bit."""
+        out = np.zeros(self.words * 64, np.int64)
+        for a in range(0, len(bits), 1024):
+            out += np.unpackbits(bits[a : a + 1024].view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        return out[: self.count]
+
+
+#: Rows whose bits are made at once (divided by the queries' words), and rows of a group too many for any query's size.
+ROWS_AT_ONCE, HUGE = 1 << 20, 100_000
+
+
+def _count_in_groups(shared, child_attrs: Sequence[str], parent_attrs: Sequence[str]):
+    """Rows sorted by key to (query, n). A row is a child's (parent false) or a parent's."""
+
+    def run(batches):
+        own: QueryBits = shared.value
+        total = np.zeros(own.count, np.int64)
+        step = max(1024, ROWS_AT_ONCE // max(own.words, 1))
+
+        def judge(cols: dict[str, np.ndarray]) -> None:
+            key = cols["_k"]
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            group = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(key)]))
+            is_parent = cols["_p"]
+            size = np.bincount(group[~is_parent], minlength=len(first))
+            fits = (size < own.most) & (np.bincount(group[is_parent], minlength=len(first)) > 0)
+            some = np.zeros(len(size), bool)
+            some[fits] = own.sizes[size[fits]].any(axis=1)
+            rows = np.flatnonzero(~is_parent & some[group])
+            if not len(rows):
+                return
+            groups, at = np.unique(group[rows], return_inverse=True)
+            codes = {a: cols[a][rows] for a in child_attrs}
+            x, y = (own.satisfied(p, codes, len(rows)) for p in ("first", "second"))
+            starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+            hit = np.bitwise_or.reduceat(x, starts, axis=0) & np.bitwise_or.reduceat(y, starts, axis=0)
+            # both met together by two rows or more: member by member, what was seen once and is seen again
+            either, once, twice = x | y, np.zeros_like(hit), np.zeros_like(hit)
+            rank = np.arange(len(rows)) - starts[at]
+            for r in range(int(rank.max()) + 1):
+                k = np.flatnonzero(rank == r)
+                g = at[k]
+                twice[g] |= once[g] & either[k]
+                once[g] |= either[k]
+            hit &= twice & own.sizes[size[groups]]
+            place = np.full(len(first), -1)
+            place[groups] = np.arange(len(groups))
+            p_rows = np.flatnonzero(is_parent & (place[group] >= 0))
+            total[:] += own.counts(hit[place[group[p_rows]]] & own.satisfied("parent", {a: cols[a][p_rows] for a in parent_attrs}, len(p_rows)))
+
+        held: dict[str, np.ndarray] | None = None
+        for batch in batches:
+            cols = {n: batch.column(k).fill_null(-1).to_numpy(zero_copy_only=False) if n not in ("_k", "_p") else batch.column(k).to_numpy(zero_copy_only=False) for k, n in enumerate(batch.schema.names)}
+            if held is not None:
+                cols = {n: np.concatenate([held[n], c]) for n, c in cols.items()}
+            key = cols["_k"]
+            if len(key) < step:
+                held = cols
+                continue
+            cut = int(np.searchsorted(key, key[-1], side="left"))
+            ends = [0]
+            while ends[-1] < cut:  # pieces of about `step` rows that end between groups
+                to = min(ends[-1] + step, cut)
+                left = int(np.searchsorted(key, key[to], side="left"))
+                ends.append(left if left > ends[-1] else int(np.searchsorted(key, key[to], side="right")))
+            for a, b in zip(ends[:-1], ends[1:], strict=True):
+                judge({n: c[a:b] for n, c in cols.items()})
+            held = {n: c[ends[-1] :] for n, c in cols.items()}
+        if held is not None and len(held["_k"]):
+            judge(held)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(own.count)), pa.array(total)], names=["query", "n"])
+
+    return run
 
 
 def count_groups(child: DataFrame, parent: DataFrame, fk: str, pk: str, queries: Sequence[GroupQuery]) -> DataFrame:
     """(query, n): groups that satisfy each query.
 
-    Two different members exist if both requirements are met by someone and together by two or more rows,
-    so members need not be paired: each group is aggregated once for up to QUERIES_AT_ONCE queries, and
-    rows combine before the shuffle.
+    Two different members exist if both requirements are met by someone and together by two rows or more,
+    so members need not be paired. All queries are answered in one pass: children and parents meet by
+    one narrow shuffle, and each row meets all queries at once, as bits that its codes look up. Groups of
+    HUGE rows or more than any query asks for are left out before the shuffle.
     """
-    out = None
-    for start in range(0, len(queries), QUERIES_AT_ONCE):
-        some = queries[start : start + QUERIES_AT_ONCE]
-        attrs = sorted({a for q in some for a, _ in (*q.first, *q.second)})
-        p_attrs = sorted({a for q in some for a, _ in q.parent})
-        rows = child.select(F.col(fk).alias("_k"), *attrs)
-        one = lambda c: F.sum(F.when(c, 1).otherwise(0))
-        aggs = [F.count("*").alias("_n")]
-        for i, q in enumerate(some):
-            a, b = _all(q.first), _all(q.second)
-            aggs += [one(a).alias(f"a{i}"), one(b).alias(f"b{i}"), one(a | b).alias(f"o{i}")]
-        groups = rows.groupBy("_k").agg(*aggs).join(parent.select(F.col(pk).alias("_k"), *p_attrs), "_k")
-        hits = [
-            F.sum(F.when((F.col("_n") >= q.low) & (F.col("_n") < q.high) & (F.col(f"a{i}") > 0) & (F.col(f"b{i}") > 0) & (F.col(f"o{i}") >= 2) & _all(q.parent), 1).otherwise(0)).cast("long").alias(str(i))
-            for i, q in enumerate(some)
-        ]
-        wide = groups.agg(*hits)
-        part = wide.select(F.posexplode(F.array(*(F.coalesce(F.col(str(i)), F.lit(0)) for i in range(len(some))))).alias("query", "n")).select((F.col("query") + start).cast("long").alias("query"), F.col("n").cast("long").alias("n"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    spark = child.sparkSession
+    own = QueryBits(queries)
+    c_attrs, p_attrs = own.attrs("first", "second"), own.attrs("parent")
+    key = lambda c: F.col(c).cast("long").alias("_k")
+    rows = child.where(F.col(fk).isNotNull()).select(key(fk), F.lit(False).alias("_p"), *(F.col(a).cast("int").alias(f"c_{a}") for a in c_attrs), *(F.lit(None).cast("int").alias(f"p_{a}") for a in p_attrs))
+    huge = rows.groupBy("_k").agg(F.count("*").alias("_n")).where(F.col("_n") >= max(own.most, HUGE)).select("_k")
+    if n := (huge := materialize(huge, "huge")).count():
+        rows = rows.join(F.broadcast(huge) if n <= SMALL_ROWS else huge, "_k", "left_anti")
+    owners = parent.where(F.col(pk).isNotNull()).select(key(pk), F.lit(True).alias("_p"), *(F.lit(None).cast("int").alias(f"c_{a}") for a in c_attrs), *(F.col(a).cast("int").alias(f"p_{a}") for a in p_attrs))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.unionByName(owners).repartition(parts, "_k").sortWithinPartitions("_k")
+    shared = spark.sparkContext.broadcast(own.named("c_", "p_"))
+    found = dealt.mapInArrow(_count_in_groups(shared, [f"c_{a}" for a in c_attrs], [f"p_{a}" for a in p_attrs]), "query long, n long")
+    every = spark.range(len(queries)).select(F.col("id").alias("query"), F.lit(0).cast("long").alias("n"))
+    return found.unionByName(every).groupBy("query").agg(F.sum("n").alias("n"))
 
 
 def relative_error(truth: DataFrame, synthetic: DataFrame, n_truth: int, n_synthetic: int, base: float = 0.001) -> DataFrame:

@@ -6,10 +6,10 @@ from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomkin.lineage import materialize
+from loomkin.operators.relational import numbered_within
 
 
 def greedy_match(left: DataFrame, right: DataFrame, columns: Sequence[str], left_key: str, right_key: str, keep: bool = False) -> DataFrame:
@@ -20,7 +20,7 @@ def greedy_match(left: DataFrame, right: DataFrame, columns: Sequence[str], left
     node, so after the last column a node's rows are paired. One shuffle a column and side, on the node.
 
     The node of a row is a digest of its partner's values so far; a first column with few values makes
-    large nodes, whose value runs are numbered in parts and need no single task.
+    large nodes, whose value runs are numbered in ranges of the whole table and need no single task.
 
     keep: the matched values of both sides are returned too.
     """
@@ -29,12 +29,13 @@ def greedy_match(left: DataFrame, right: DataFrame, columns: Sequence[str], left
     matched = None
     for k, c in enumerate(columns):
         last = k == len(columns) - 1
-        a = _numbered(a, ["_node", c], left_key, "_i")
-        b = _numbered(b, ["_node", c], right_key, "_i")
+        a = numbered_within(a, ["_node", c], left_key, "_i")
+        b = numbered_within(b, ["_node", c], right_key, "_i")
         pairs = a.select("_node", c, "_i", F.col(left_key).alias("_l")).join(b.select("_node", c, "_i", F.col(right_key).alias("_r")), ["_node", c, "_i"], "full")
+        pairs = materialize(pairs, "pairs")
         hit = pairs.where(F.col("_l").isNotNull() & F.col("_r").isNotNull()).select("_l", "_r", "_node", F.col(c).alias("_v"))
-        rest_l = _numbered(pairs.where(F.col("_r").isNull()).select("_node", F.col(c).alias("_v"), "_l"), ["_node"], "_l", "_j")
-        rest_r = _numbered(pairs.where(F.col("_l").isNull()).select("_node", "_r"), ["_node"], "_r", "_j")
+        rest_l = numbered_within(pairs.where(F.col("_r").isNull()).select("_node", F.col(c).alias("_v"), "_l"), ["_node"], "_l", "_j")
+        rest_r = numbered_within(pairs.where(F.col("_l").isNull()).select("_node", "_r"), ["_node"], "_r", "_j")
         matched = hit.unionByName(rest_l.join(rest_r, ["_node", "_j"]).select("_l", "_r", "_node", "_v"))
         if not last:
             # the pairing is only a step: sides keep the node (the left row's value) and pair anew on the next column
@@ -50,22 +51,6 @@ def greedy_match(left: DataFrame, right: DataFrame, columns: Sequence[str], left
     return out
 
 
-def _numbered(df: DataFrame, by: Sequence[str], key: str, name: str) -> DataFrame:
-    """df with a gapless number from 0 in each group of `by`.
-
-    Groups may be as large as the table, so rows are numbered within (group, block of the key's hash) and
-    blocks start where those before them in the group end.
-    """
-    blocks = 64
-    dealt = df.withColumn("_blk", F.pmod(F.xxhash64(F.col(key)), F.lit(blocks)).cast("int"))
-    counts = dealt.groupBy(*by, "_blk").agg(F.count("*").alias("_c"))
-    before = F.coalesce(F.sum("_c").over(W.partitionBy(*by).orderBy("_blk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.withColumn("_at", before).drop("_c")
-    own = F.row_number().over(W.partitionBy(*by, "_blk").orderBy(key)) - 1
-    met = dealt.withColumn("_own", own).join(starts, [*by, "_blk"])
-    return met.withColumn(name, F.col("_own") + F.col("_at")).drop("_blk", "_own", "_at")
-
-
 def agreement(matched: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row: pairs, and for each column the pairs that agree on it."""
     same = lambda c: F.sum(F.when(F.col(f"left_{c}") == F.col(f"right_{c}"), 1).otherwise(0)).cast("long").alias(c)
@@ -84,10 +69,11 @@ def match_by_model(model, child: DataFrame, parents: DataFrame, child_key: str,
     for r in parents.groupBy(type_column).agg(F.count("*").alias("n")).collect():
         hist[r[type_column]] = r["n"]
     members = model.synthesize(spark, types=hist, seed=seed, rows=child.count())
-    groups = _numbered(members.select("gid", "y").distinct(), ["y"], "gid", "_i")
-    given = _numbered(parents.select(parent_key, F.col(type_column).alias("y")), ["y"], parent_key, "_i")
+    groups = numbered_within(members.select("gid", "y").distinct(), ["y"], "gid", "_i")
+    given = numbered_within(parents.select(parent_key, F.col(type_column).alias("y")), ["y"], parent_key, "_i")
     owner = groups.join(given, ["y", "_i"]).select("gid", parent_key)
-    keyed = members.withColumn("_m", F.xxhash64("gid", "member"))
+    span = (members.agg(F.max("member")).first()[0] or 0) + 1
+    keyed = members.withColumn("_m", F.col("gid") * F.lit(span).cast("long") + F.col("member"))
     found = greedy_match(child, keyed, model.observed(), child_key, "_m")
     return found.join(keyed.select("_m", "gid"), "_m").join(owner, "gid").select(child_key, parent_key)
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomkin.lineage import materialize
+
 
 def project(df: DataFrame, attrs: Sequence[str]) -> DataFrame:
     return df.select(*attrs)
@@ -25,22 +27,56 @@ def requires(needs: Mapping[str, Sequence]) -> Column:
     return out
 
 
+#: Rows up to which a counted side is broadcast.
+SMALL_ROWS = 200_000
+#: monotonically_increasing_id() has the partition above these bits and the row's place in it below.
+_PLACE_BITS = 33
+
+
+def _in_ranges(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """df written in sorted ranges of a total order, with `_at` (range << _PLACE_BITS | place): a lost executor can't renumber it."""
+    parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return materialize(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "ranges")
+
+
+def _starts(ranged: DataFrame, what: Column) -> DataFrame:
+    """(_part, _start): the sum of `what` over the ranges before each one; one number a range passes the driver."""
+    rows, at = [], 0
+    for r in ranged.groupBy(F.shiftright("_at", _PLACE_BITS).alias("_part")).agg(F.sum(what).alias("n")).orderBy("_part").collect():
+        rows.append((r["_part"], at))
+        at += r["n"] or 0
+    return F.broadcast(ranged.sparkSession.createDataFrame(rows or [(0, 0)], "_part long, _start long"))
+
+
 def dense_ids(df: DataFrame, name: str, order: Sequence[str], offset: int = 0) -> DataFrame:
     """Ids offset, offset + 1, ... in a total order.
 
-    Rows are dealt into ranges of the order; each range numbers its own rows and starts where the
-    ranges before it end, so no task sees all rows.
+    Rows are written in ranges of the order; each numbers its own rows and starts where the ranges before
+    it end, so no task sees all rows.
     """
-    spark = df.sparkSession
-    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()).persist()
-    rows, at = [], offset
-    for r in ranged.groupBy("_part").agg(F.count("*").alias("n")).orderBy("_part").collect():
-        rows.append((r["_part"], at))
-        at += r["n"]
-    starts = F.broadcast(spark.createDataFrame(rows or [(0, offset)], "_part int, _start long"))
-    own = F.row_number().over(W.partitionBy("_part").orderBy(*order)) - 1
-    return ranged.withColumn("_own", own).join(starts, "_part").withColumn(name, (F.col("_start") + F.col("_own")).cast("long")).drop("_part", "_own", "_start")
+    ranged = _in_ranges(df, order)
+    met = ranged.withColumn("_part", F.shiftright("_at", _PLACE_BITS)).join(_starts(ranged, F.lit(1)), "_part")
+    place = F.col("_at").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))
+    return met.withColumn(name, (F.col("_start") + place + offset).cast("long")).drop("_part", "_at", "_start")
+
+
+def running_total(df: DataFrame, value: str, name: str, order: Sequence[str]) -> DataFrame:
+    """df with the sum of `value` over the rows before each one in a total order, added up range by range."""
+    ranged = _in_ranges(df, order)
+    met = ranged.withColumn("_part", F.shiftright("_at", _PLACE_BITS)).join(_starts(ranged, F.col(value)), "_part")
+    own = F.sum(value).over(W.partitionBy("_part").orderBy("_at").rowsBetween(W.unboundedPreceding, -1))
+    return met.withColumn(name, F.col("_start") + F.coalesce(own, F.lit(0))).drop("_part", "_at", "_start")
+
+
+def numbered_within(df: DataFrame, by: Sequence[str], key: str, name: str) -> DataFrame:
+    """df with a gapless number from 0 in each group of `by`, in order of a unique key.
+
+    Groups may be few and as large as the table, so no task takes a group: rows are numbered in ranges of
+    (by, key) over the whole table, less the number at which their group begins.
+    """
+    ids = dense_ids(df, name, [*by, key])
+    first = ids.groupBy(*by).agg(F.min(name).alias("_first"))
+    return ids.join(F.broadcast(first) if first.count() <= SMALL_ROWS else first, list(by)).withColumn(name, F.col(name) - F.col("_first")).drop("_first")
 
 
 def with_group_size(child: DataFrame, fk: str, name: str = "group_size") -> DataFrame:
@@ -114,14 +150,10 @@ def attach_types(parent: DataFrame, types: DataFrame, pk: str, fk: str, columns:
     return met.select(*ordered), parent.join(own, F.col(pk) == F.col("_fk"), "left_anti")
 
 
-def _ranked(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
-    return df.withColumn(name, F.row_number().over(W.partitionBy(*by).orderBy(*order)))
-
-
 def zip_by_type(left: DataFrame, right: DataFrame, types: Sequence[str], left_key: str, right_key: str) -> DataFrame:
     """(left_key, right_key, types...): within a type the i-th left key with the i-th right key."""
-    a = _ranked(left.select(left_key, *types), types, [left_key], "_i")
-    b = _ranked(right.select(right_key, *types), types, [right_key], "_i")
+    a = numbered_within(left.select(left_key, *types), types, left_key, "_i")
+    b = numbered_within(right.select(right_key, *types), types, right_key, "_i")
     return a.join(b, [*types, "_i"]).select(left_key, right_key, *types)
 
 

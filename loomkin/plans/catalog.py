@@ -287,12 +287,12 @@ def dictionary_encode(spark, sf):
     return E.encode(c, "c_mktsegment", E.dictionary(c, "c_mktsegment"), "code").select("c_custkey", F.col("code").cast("long").alias("code"))
 
 
-@query("SELECT c_custkey, c_mktsegment FROM customer")
+@query("WITH w AS (SELECT c_mktsegment, row_number() OVER (ORDER BY c_mktsegment) - 1 AS code FROM (SELECT DISTINCT c_mktsegment FROM customer)) SELECT c_custkey, w.c_mktsegment FROM customer LEFT JOIN w ON code = c_nationkey % 7")
 def dictionary_decode(spark, sf):
+    """Words for codes that don't come from encoding them; codes beyond the dictionary have none."""
     c = read_parquet(spark, sf, "customer")
-    words = E.dictionary(c, "c_mktsegment")
-    coded = E.encode(c, "c_mktsegment", words).select("c_custkey", "c_mktsegment")
-    return E.decode(coded, "c_mktsegment", words)
+    coded = c.select("c_custkey", (F.col("c_nationkey") % 7).cast("int").alias("c_mktsegment"))
+    return E.decode(coded, "c_mktsegment", E.dictionary(c, "c_mktsegment"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_extendedprice, CAST(greatest(ceil((l_extendedprice - 1 - lo) / ((hi - lo) / 16)) - 1, 0) AS INT) AS bin FROM lineitem CROSS JOIN (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem)")
@@ -313,9 +313,11 @@ def digit_split(spark, sf):
     return E.split_digits(child(spark, sf).select("fk", "rf", "qty", "ln"), CHILD_DOMAIN)
 
 
-@query(f"WITH {CHILD} SELECT fk, rf, qty, ln FROM c")
+@query(f"WITH {CHILD} SELECT fk, rf, CAST(least(qty + 7, 49) AS INT) AS qty, ln FROM c")
 def digit_merge(spark, sf):
-    return E.merge_digits(E.split_digits(child(spark, sf).select("fk", "rf", "qty", "ln"), CHILD_DOMAIN), CHILD_DOMAIN)
+    """Digits of values up to seven beyond the domain, merged and clamped to its last code."""
+    c = child(spark, sf).withColumn("q", F.col("qty") + 7)
+    return E.merge_digits(c.select("fk", "rf", F.floor(F.col("q") / 10).cast("int").alias("qty_hi"), (F.col("q") % 10).alias("qty_lo"), "ln"), CHILD_DOMAIN)
 
 
 @query("SELECT l_orderkey, l_partkey * (SELECT max(l_suppkey) + 1 FROM lineitem) + l_suppkey AS packed FROM lineitem")
@@ -324,11 +326,11 @@ def composite_key_pack(spark, sf):
     return t.select("l_orderkey", E.pack_key(F.col("l_partkey"), F.col("l_suppkey"), E.packing_base(t, "l_suppkey")).alias("packed"))
 
 
-@query("SELECT l_orderkey, l_partkey AS part, l_suppkey AS supp FROM lineitem")
+@query("SELECT l_orderkey, (l_orderkey * 1000000000000 + l_partkey) // 3 AS part, (l_orderkey * 1000000000000 + l_partkey) % 3 AS supp FROM lineitem")
 def composite_key_unpack(spark, sf):
+    """Keys beyond 2 ** 53, in which doubles would lose units."""
     t = read_parquet(spark, sf, "lineitem")
-    base = E.packing_base(t, "l_suppkey")
-    high, low = E.unpack_key(E.pack_key(F.col("l_partkey"), F.col("l_suppkey"), base), base)
+    high, low = E.unpack_key(F.col("l_orderkey").cast("long") * F.lit(1_000_000_000_000) + F.col("l_partkey"), 3)
     return t.select("l_orderkey", high.alias("part"), low.alias("supp"))
 
 
@@ -430,12 +432,31 @@ def greedy_match_one_column(spark, sf):
     return J.agreement(J.greedy_match(a, b, ["rf"], "left_id", "right_id", keep=True), ["rf"])
 
 
-@query()
+def _greedy_sql(columns) -> str:
+    """The match column by column in SQL: equal values in key order, then what is left of a node in key order."""
+    parts = [
+        f"{KEYED}, a_ AS (SELECT fk * 100 + rn AS id, rf, ls, disc, row_number() OVER (ORDER BY fk * 100 + rn) AS i FROM k WHERE fk % 2 = 0)",
+        "b_ AS (SELECT fk * 100 + rn AS id, rf, ls, disc, row_number() OVER (ORDER BY fk * 100 + rn) AS i FROM k WHERE fk % 2 = 1)",
+        "n_ AS (SELECT least((SELECT count(*) FROM a_), (SELECT count(*) FROM b_)) AS n)",
+        "a0 AS (SELECT id, rf, ls, disc, '' AS node FROM a_, n_ WHERE i <= n)",
+        "b0 AS (SELECT id, rf, ls, disc, '' AS node FROM b_, n_ WHERE i <= n)",
+    ]
+    for k, c in enumerate(columns):
+        parts += [
+            f"p{k} AS (SELECT coalesce(x.node, y.node) AS node, coalesce(x.{c}, y.{c}) AS v, x.id AS l, y.id AS r FROM (SELECT *, row_number() OVER (PARTITION BY node, {c} ORDER BY id) AS j FROM a{k}) x "
+            f"FULL JOIN (SELECT *, row_number() OVER (PARTITION BY node, {c} ORDER BY id) AS j FROM b{k}) y ON x.node = y.node AND x.{c} = y.{c} AND x.j = y.j)",
+            f"m{k} AS (SELECT l, r, node, v FROM p{k} WHERE l IS NOT NULL AND r IS NOT NULL UNION ALL SELECT x.l, y.r, x.node, x.v FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY l) AS j FROM p{k} WHERE r IS NULL) x "
+            f"JOIN (SELECT *, row_number() OVER (PARTITION BY node ORDER BY r) AS j FROM p{k} WHERE l IS NULL) y ON x.node = y.node AND x.j = y.j)",
+            f"a{k + 1} AS (SELECT id, rf, ls, disc, m{k}.node || '/' || v AS node FROM a{k} JOIN m{k} ON l = id)",
+            f"b{k + 1} AS (SELECT id, rf, ls, disc, m{k}.node || '/' || v AS node FROM b{k} JOIN m{k} ON r = id)",
+        ]
+    return "WITH " + ", ".join(parts) + f" SELECT l AS left_id, r AS right_id FROM m{len(columns) - 1}"
+
+
+@query(_greedy_sql(["rf", "ls", "disc"]))
 def greedy_match_three_columns(spark, sf):
-    """Invariants: as many pairs as rows, no key twice."""
     a, b = _match_sides(spark, sf)
-    out = J.greedy_match(a, b, ["rf", "ls", "disc"], "left_id", "right_id")
-    return out.agg(F.count("*").alias("pairs"), F.count_distinct("left_id").alias("lefts"), F.count_distinct("right_id").alias("rights"))
+    return J.greedy_match(a, b, ["rf", "ls", "disc"], "left_id", "right_id")
 
 
 @query("SELECT o_orderkey, c_mktsegment, c_nationkey FROM orders JOIN customer ON c_custkey = o_custkey")
@@ -481,10 +502,9 @@ def set_membership(spark, sf):
     return child(spark, sf).where(R.requires({"rf": [0, 2], "disc": [1, 2, 3]})).agg(F.count("*").alias("n"))
 
 
-@query()
+@query("SELECT o_orderkey, CAST(CAST('0x' || substr(md5('0:' || o_orderkey), 1, 8) AS BIGINT) % 5 AS INT) AS fold FROM orders")
 def train_test_folds(spark, sf):
-    """Invariant: each fold's share of the orders."""
-    return train_test(read_parquet(spark, sf, "orders"), "o_orderkey").groupBy("fold").agg(F.count("*").alias("n"))
+    return train_test(read_parquet(spark, sf, "orders"), "o_orderkey").select("o_orderkey", "fold")
 
 
 # --- group queries ---
@@ -512,6 +532,38 @@ def intra_group_query_batch(spark, sf):
     return V.count_groups(child(spark, sf), parent(spark, sf), "fk", "pk", BATCH)
 
 
+THOUSAND = V.random_queries(700, QUERY_CHILD, QUERY_PARENT, 1, 1, seed=7) + V.random_queries(300, QUERY_CHILD, QUERY_PARENT, 2, 1, seed=8)
+
+
+def _values(part: str) -> str:
+    """(query, attribute, code) of all queries' requirements of a part, and how many attributes each query names."""
+    rows = [f"({i}, '{a}', {v})" for i, q in enumerate(THOUSAND) for a, vs in getattr(q, part) for v in vs]
+    return f"(VALUES {', '.join(rows)}) AS t(query, attr, code)"
+
+
+_LONG = "SELECT {key}, attr, code FROM (UNPIVOT (SELECT {key}, {casts} FROM {table}) ON {attrs} INTO NAME attr VALUE code)"
+_C_LONG = _LONG.format(key="id, fk", casts=", ".join(f"CAST({a} AS INT) AS {a}" for a in QUERY_CHILD), table="ci", attrs=", ".join(QUERY_CHILD))
+_P_LONG = _LONG.format(key="pk", casts=", ".join(f"CAST({a} AS INT) AS {a}" for a in QUERY_PARENT), table="p", attrs=", ".join(QUERY_PARENT))
+
+
+def _met(part: str, key: str, table: str) -> str:
+    """({key}, query): rows that have a required code in each attribute that the query names."""
+    return f"SELECT {key}, t.query FROM {table} l JOIN {_values(part)} ON t.attr = l.attr AND t.code = l.code JOIN (VALUES {', '.join(f'({i}, {len(getattr(q, part))})' for i, q in enumerate(THOUSAND))}) AS w(query, need) ON w.query = t.query GROUP BY {key}, t.query, need HAVING count(*) = need"
+
+
+@query(
+    f"WITH {CHILD}, {PARENT}, ci AS (SELECT *, row_number() OVER () AS id FROM c), cl AS ({_C_LONG}), pl AS ({_P_LONG}), "
+    f"z AS (SELECT g.fk, s.query FROM (SELECT fk, count(*) AS sz FROM c GROUP BY fk) g JOIN (VALUES {', '.join(f'({i}, {q.low}, {q.high})' for i, q in enumerate(THOUSAND))}) AS s(query, lo, hi) ON sz >= lo AND sz < hi), "
+    f"x AS ({_met('first', 'id, fk', 'cl')}), y AS ({_met('second', 'id, fk', 'cl')}), w AS ({_met('parent', 'pk', 'pl')}), "
+    "e AS (SELECT id, fk, query, max(a) AS a, max(b) AS b FROM (SELECT id, fk, query, 1 AS a, 0 AS b FROM x UNION ALL SELECT id, fk, query, 0, 1 FROM y) GROUP BY id, fk, query), "
+    "h AS (SELECT fk, query FROM e GROUP BY fk, query HAVING max(a) = 1 AND max(b) = 1 AND count(*) >= 2), "
+    "n AS (SELECT h.query, count(*) AS n FROM h JOIN z ON z.fk = h.fk AND z.query = h.query JOIN w ON w.pk = h.fk AND w.query = h.query GROUP BY h.query) "
+    f"SELECT q.query, coalesce(n.n, 0) AS n FROM (SELECT unnest(range({len(THOUSAND)})) AS query) q LEFT JOIN n ON n.query = q.query"
+)
+def intra_group_query_thousand(spark, sf):
+    return V.count_groups(child(spark, sf), parent(spark, sf), "fk", "pk", THOUSAND)
+
+
 _FEW = BATCH[:20]
 
 

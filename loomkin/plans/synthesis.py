@@ -20,7 +20,6 @@ from loomkin.lineage import materialize
 from loomkin.model.domain import Domain
 from loomkin.model.group import TYPE, GroupModel, GroupSettings, fit_groups, long_types
 from loomkin.model.mrf import MarkovModel, Settings, fit
-from loomkin.model.sampler import put_head_first
 from loomkin.operators import marginals as M
 from loomkin.operators import matching as J
 from loomkin.operators import relational as R
@@ -64,12 +63,12 @@ def group_sizes_by_type(model: GroupModel, q: DataFrame, fk: str) -> np.ndarray:
     return hist
 
 
-def children_for(spark: SparkSession, model: GroupModel, parents: DataFrame, pk: str, types: str, seed: int) -> DataFrame:
+def children_for(spark: SparkSession, model: GroupModel, parents: DataFrame, pk: str, types: str, seed: int, head: tuple[str, int] | None = None) -> DataFrame:
     """(parent key as fk, member, attributes): a synthetic group for each parent, of the parent's type."""
     hist = np.zeros(model.types, np.int64)
     for r in parents.groupBy(types).agg(F.count("*").alias("n")).collect():
         hist[r[types]] = r["n"]
-    members = materialize(model.synthesize(spark, types=hist, seed=seed), "members")
+    members = materialize(model.synthesize(spark, types=hist, seed=seed, head=head), "members")
     owner = R.zip_by_type(members.select("gid", TYPE).distinct(), parents.select(pk, F.col(types).alias(TYPE)), [TYPE], "gid", pk)
     return members.join(owner.select("gid", F.col(pk).alias("fk")), "gid").drop("gid", TYPE)
 
@@ -79,7 +78,8 @@ def two_tables(child: DataFrame, parent: DataFrame, plan: Plan) -> Synthesis:
     spark = child.sparkSession
     fk, pk = plan.fk, plan.pk
     c_dom, p_dom = E.split_domain(plan.child_domain), plan.parent_domain
-    own = E.split_digits(child.select(fk, *plan.child_attrs), plan.child_domain).withColumn("_key", F.monotonically_increasing_id())
+    own = E.split_digits(child.select(fk, *plan.child_attrs), plan.child_domain)
+    own = R.dense_ids(own, "_key", own.columns)
     own = materialize(R.cap_groups(own, fk, plan.cap, seed=plan.seed, key=["_key"]).drop("_key"), "capped")
     one, more = R.split_singles(own, fk)
     parents = parent.select(pk, *plan.parent_attrs)
@@ -106,9 +106,7 @@ def two_tables(child: DataFrame, parent: DataFrame, plan: Plan) -> Synthesis:
         typed, _ = R.attach_types(parents, types, pk, fk, [TYPE])
         m = models["parents"] = fit(typed.select(*p_dom, TYPE), p_dom.with_attribute(TYPE, plan.types), replace(plan.fitting, budget=plan.of("parents"), seed=plan.seed + 2))
         made = materialize(number(m.synthesize(spark, seed=plan.seed + 3, key="pk"), "pk"), "parents")
-        members = children_for(spark, g, made, "pk", TYPE, plan.seed + 4)
-        if plan.head:
-            members = put_head_first(members, plan.head)
+        members = children_for(spark, g, made, "pk", TYPE, plan.seed + 4, (plan.head, 0) if plan.head else None)
         tables_p.append(made.select("pk", *p_dom))
         tables_c.append(members.select("fk", "member", *c_dom))
         at += made.count()
@@ -133,20 +131,28 @@ def with_types(public: DataFrame, model: MarkovModel, key: str, types: str, seed
     return model.synthesize(public.sparkSession, fixed=public.select(key, *held), seed=seed, key=key)
 
 
-def chain(lines: DataFrame, orders: DataFrame, customers: DataFrame, line_domain: Domain, order_domain: Domain, customer_domain: Domain, group_by: Sequence[str], types: int = 3, steps: int = 2, cap: int = 10, budget: float = math.inf, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+def chain(lines: DataFrame, orders: DataFrame, customers: DataFrame, line_domain: Domain, order_domain: Domain, customer_domain: Domain, group_by: Sequence[str], types: int = 3, steps: int = 2, cap: int | None = None, budget: float = math.inf, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(orders, lines) for public customers: lines (fk, attrs) belong to orders (pk, cust, attrs), those to customers (ck, attrs).
 
     Line groups give orders a type; groups of orders, seen through `group_by` and that type, give
     customers one. Customers keep their attributes and get a drawn type; their orders are made for it,
     completed by a model of the orders given what they already have, and filled with lines.
+
+    cap: the largest group that is modelled and made. Without a budget to keep it is by default the largest
+    one there is, so that no group is cut.
     """
     spark = lines.sparkSession
+    if cap is None:
+        largest = lambda df, key: df.groupBy(key).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
+        low_cap, up_cap = (largest(lines, "fk"), largest(orders, "cust")) if math.isinf(budget) else (10, 10)
+    else:
+        low_cap = up_cap = cap
     share = (lambda x: math.inf) if math.isinf(budget) else (lambda x: budget * x)
-    low = fit_groups(lines, "fk", line_domain, GroupSettings(budget=share(0.3), types=types, steps=steps, cap=cap, seed=seed))
+    low = fit_groups(lines, "fk", line_domain, GroupSettings(budget=share(0.3), types=types, steps=steps, cap=low_cap, seed=seed))
     t1 = M.argmax_types(long_types(low.q, "fk"), "fk", [TYPE]).select(F.col("fk").alias("pk"), F.col(TYPE).alias("t1"))
     typed = materialize(orders.join(t1, "pk"), "typed")
     up_domain = order_domain.project(group_by).with_attribute("t1", types)
-    up = fit_groups(typed.withColumnRenamed("cust", "fk"), "fk", up_domain, GroupSettings(budget=share(0.3), types=types, steps=steps, cap=cap, seed=seed + 1))
+    up = fit_groups(typed.withColumnRenamed("cust", "fk"), "fk", up_domain, GroupSettings(budget=share(0.3), types=types, steps=steps, cap=up_cap, seed=seed + 1))
     t2 = M.argmax_types(long_types(up.q, "fk"), "fk", [TYPE]).select(F.col("fk").alias("ck"), F.col(TYPE).alias("t2"))
     known = fit(customers.join(t2, "ck").select(*customer_domain, "t2"), customer_domain.with_attribute("t2", types), Settings(budget=share(0.2), iterations=60, seed=seed))
     drawn = with_types(customers, known, "ck", "t2", seed + 2)

@@ -104,8 +104,9 @@ def load_model(spark: SparkSession, path: str):
 
 
 def train_test(df: DataFrame, key: str, seed: int = 0, folds: int = 5) -> DataFrame:
-    """df with `fold` 0 .. folds - 1 by a hash of the key: the same split on any cluster, without a shuffle."""
-    return df.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(folds)).cast("int"))
+    """df with `fold` 0 .. folds - 1 by a digest of the key: the same split on any cluster and engine, without a shuffle."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
+    return df.withColumn("fold", (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % folds).cast("int"))
 
 
 def first_rows(df: DataFrame, by: str, order: list[str], n: int) -> DataFrame:
