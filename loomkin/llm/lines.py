@@ -524,3 +524,21 @@ def clean_lines(docs: DataFrame) -> DataFrame:
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP6_SQL = r"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+o AS (SELECT r, i, l[i] AS line, trim(l[i], ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS own FROM (SELECT r, l, unnest(range(1, len(l) + 1)) AS i FROM d)),
+f AS (SELECT own, min(r * 1000000000 + i) AS p FROM o WHERE own <> '' GROUP BY own),
+u AS (SELECT own, p, hex(encode(own)) AS h, length(hex(encode(own))) // 2 AS n FROM f WHERE length(hex(encode(own))) >= 40),
+b AS (SELECT n, k, (k - 1) * (n // 3) + greatest(0, k - 4 + n % 3) AS a, n // 3 + CASE WHEN k > 3 - n % 3 THEN 1 ELSE 0 END AS z FROM (SELECT DISTINCT n FROM u), (SELECT unnest([1, 2, 3]) AS k)),
+s AS (SELECT own, p, b.n, k, substr(h, 2 * a + 1, 2 * z) AS g FROM u JOIN b ON b.n = u.n),
+q AS (
+  SELECT DISTINCT own, p, b.n, k, substr(h, 2 * (a + t) + 1, 2 * z) AS g
+  FROM u JOIN b ON b.n BETWEEN u.n - 2 AND u.n, (SELECT unnest([-2, -1, 0, 1, 2]) AS t) WHERE a + t >= 0 AND a + t + z <= u.n),
+e AS (SELECT DISTINCT s.own AS x, s.p AS px, q.own AS y, q.p AS py FROM s JOIN q USING (n, k, g) WHERE s.own <> q.own),
+m AS (SELECT CASE WHEN px > py THEN x ELSE y END AS own FROM e WHERE levenshtein(x, y) <= 2),
+j AS (SELECT r, i, line, o.own <> '' AND (o.own IN (SELECT own FROM m) OR r * 1000000000 + i > p) AS gone FROM o LEFT JOIN f ON f.own = o.own),
+t AS (SELECT r, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT coalesce(gone, FALSE)), '') AS text FROM j GROUP BY r)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, t.text FROM d LEFT JOIN t ON t.r = d.r
+"""

@@ -21,4 +21,13 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op2_url_filters": urls.OP2_SQL, "op3_benchmark_decontamination": decontaminate.OP3_SQL, "op5_chat_preference": chat.OP5_SQL, "op7_quality_rules": quality.OP7_SQL, "op9_ngram_jaccard": ngram_join.OP9_SQL}
+    return {
+        "op2_url_filters": urls.OP2_SQL,
+        "op3_benchmark_decontamination": decontaminate.OP3_SQL,
+        "op4_suffix_dedup": suffix.OP4_SQL,
+        "op5_chat_preference": chat.OP5_SQL,
+        "op6_line_dedup": lines.OP6_SQL,
+        "op7_quality_rules": quality.OP7_SQL,
+        "op8_minimax_sharding": sharding.OP8_SQL,
+        "op9_ngram_jaccard": ngram_join.OP9_SQL,
+    }

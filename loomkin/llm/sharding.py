@@ -214,3 +214,37 @@ def op8_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = materialize(document_rows(table(spark, sf_dir, "documents")), "sizes")
     out = minimax_shards(rows)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def crc_table() -> list[int]:
+    """What four bits do to a CRC-32 (reflected polynomial EDB88320)."""
+    out = list(range(16))
+    for _ in range(4):
+        out = [v >> 1 ^ (0xEDB88320 if v & 1 else 0) for v in out]
+    return out
+
+
+OP8_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t, hex(encode(coalesce(text, ''))) AS h FROM documents),
+g AS (SELECT t, sum(length(h) // 2 + 1) AS w, min(doc_id) AS f FROM d GROUP BY t),
+p AS (SELECT t, w, CAST(sum(w) OVER (ORDER BY f) AS BIGINT) AS e FROM g),
+b(lo, hi, pos, k, step) AS (
+  SELECT CAST(greatest(max(w), (max(e) + 7) // 8) AS BIGINT), max(e), CAST(0 AS BIGINT), 0, 0 FROM p
+  UNION ALL
+  SELECT CASE WHEN k = 8 AND pos < (SELECT max(e) FROM p) THEN (lo + hi) // 2 + 1 ELSE lo END,
+         CASE WHEN k = 8 AND pos = (SELECT max(e) FROM p) THEN (lo + hi) // 2 ELSE hi END,
+         CASE WHEN k = 8 THEN 0 ELSE greatest(pos, coalesce((SELECT max(e) FROM p WHERE e <= b.pos + (b.lo + b.hi) // 2), 0)) END,
+         CASE WHEN k = 8 THEN 0 ELSE k + 1 END, step + 1
+  FROM b WHERE lo < hi),
+c(k, a, z) AS (
+  SELECT 0, CAST(-1 AS BIGINT), (SELECT max(e) FROM p WHERE e <= (SELECT arg_max(hi, step) FROM b))
+  UNION ALL
+  SELECT k + 1, z, coalesce((SELECT max(e) FROM p WHERE e <= c.z + (SELECT arg_max(hi, step) FROM b)), c.z) FROM c WHERE k < 7),
+s AS (
+  SELECT doc_id, CAST(length(h) // 2 + 1 AS BIGINT) AS size, c.k AS shard,
+         xor(4294967295, list_reduce(
+           list_concat([CAST(4294967295 AS BIGINT)], list_transform(range(length(h)), lambda i: CAST(instr('0123456789ABCDEF', substr(h, i + 2 - 2 * (i % 2), 1)) - 1 AS BIGINT))),
+           lambda v, y: xor(v >> 4, {crc}[(xor(v, y) & 15) + 1]))) AS text_crc32
+  FROM d JOIN p ON p.t = d.t JOIN c ON p.e > c.a AND p.e <= c.z)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s
+""".replace("{crc}", str(crc_table()))

@@ -447,3 +447,17 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return _with_spans(docs).mapInArrow(_digest, KEPT.replace("kept binary", "kept_sha256 string"))
+
+
+OP4_SQL = r"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, s, md5(substr(h, 2 * s + 1, 200)) AS m FROM (SELECT r, h, unnest(range(0, length(h) // 2 - 99)) AS s FROM d)),
+c AS (SELECT r, s FROM (SELECT r, s, r * 1000000000 + s AS p, min(r * 1000000000 + s) OVER (PARTITION BY m) AS p0 FROM w) WHERE p > p0),
+i AS (SELECT r, s, sum(new) OVER (PARTITION BY r ORDER BY s) AS g FROM (SELECT r, s, CASE WHEN s <= lag(s) OVER (PARTITION BY r ORDER BY s) + 100 THEN 0 ELSE 1 END AS new FROM c)),
+x AS (SELECT r, a, b, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS e FROM (SELECT r, min(s) AS a, max(s) + 100 AS b FROM i GROUP BY r, g)),
+k AS (
+  SELECT d.r, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * e + 1, 2 * (a - e)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept
+  FROM x JOIN d ON d.r = x.r GROUP BY d.r)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN k ON k.r = d.r
+"""
