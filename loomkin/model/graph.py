@@ -35,6 +35,12 @@ class Graph:
         out.add(a, b)
         return out
 
+    def toggled(self, a: str, b: str) -> Graph:
+        """The neighbouring graph with this edge added, or taken away if it is there."""
+        if not self.has(a, b):
+            return self.plus(a, b)
+        return Graph(self.near, [e for e in self.edges() if e != edge(a, b)])
+
     def edges(self) -> list[Edge]:
         return sorted({edge(a, b) for a, near in self.near.items() for b in near})
 
@@ -188,15 +194,19 @@ def grow_by_score(domain: Domain, scores: Mapping[Edge, float], most_clique: flo
             return triangulate(graph)
 
 
-def search_edges(domain: Domain, score: Callable[[Graph], float], start: Graph | None = None, rounds: int = 10_000) -> Graph:
-    """Adds the edge that gives the best legal score each round, until none is legal."""
+def search_edges(domain: Domain, score: Callable[[Graph], float], start: Graph | None = None, rounds: int = 10_000, remove: bool = False) -> Graph:
+    """Adds the edge that gives the best legal score each round, until none is legal.
+
+    remove: edges may also be taken away, and the search ends where no toggled edge scores higher.
+    """
     graph = start or Graph(domain)
+    own = score(graph)
     for _ in range(rounds):
-        trials = [(score(g), e, g) for e in domain.pairs() if not graph.has(*e) and (g := graph.plus(*e))]
+        trials = [(score(g), e, g) for e in domain.pairs() if (remove or not graph.has(*e)) and (g := graph.toggled(*e))]
         best = max(trials, key=lambda t: (t[0], t[1]), default=None)
-        if best is None or best[0] <= FORBIDDEN:
+        if best is None or best[0] <= FORBIDDEN or (remove and best[0] <= own):
             break
-        graph = best[2]
+        own, _, graph = best
     return triangulate(graph)
 
 
@@ -220,6 +230,11 @@ def entropy_score(graph: Graph, entropies: Callable[[Clique], float]) -> float:
     return sum(map(entropies, cliques)) - sum(entropies(tuple(sorted(set(a) & set(b)))) for a, b in tree)
 
 
+def mutual_information_score(domain: Domain, information: Mapping[Edge, float], most_clique: float, most_cells: float) -> Callable[[Graph], float]:
+    """Sum of the pairwise mutual information over the triangulated edges, less a little for size."""
+    return pairwise_score(domain, information, most_clique, most_cells)
+
+
 def divergence_score(graph: Graph, entropies: Callable[[Clique], float], attrs: Clique) -> float:
     """Kullback-Leibler divergence of the data from the junction-tree model."""
     return entropy_score(graph, entropies) - entropies(attrs)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from itertools import product
 
 import numpy as np
@@ -21,7 +21,7 @@ from loomkin.model import graph as G
 from loomkin.model.domain import Domain
 from loomkin.model.factor import Factor, Potential, marginals_of, propagate
 from loomkin.model.mrf import Settings, mirror_descent
-from loomkin.model.privacy import Ledger, group_model_shares, group_sensitivities, noisy, sigma
+from loomkin.model.privacy import Ledger, domain_limit, group_model_shares, group_sensitivities, latent_sizes, noisy, sigma
 from loomkin.model.sampler import draw_members, explode_types, random_round
 from loomkin.operators import marginals as M
 
@@ -29,7 +29,8 @@ from loomkin.operators import marginals as M
 @dataclass(frozen=True)
 class GroupSettings:
     budget: float = math.inf
-    types: int = 4
+    #: None: as many as the noise leaves room for (latent_sizes).
+    types: int | None = 4
     steps: int = 4
     cap: int = 8
     rows_changed: float = 6.0
@@ -250,6 +251,16 @@ def round_by_types(type_size: np.ndarray, types: np.ndarray, rng: np.random.Gene
     return np.stack([random_round(t, int(n), rng) for t, n in zip(type_size.reshape(-1, type_size.shape[-1]), np.ravel(types), strict=True)]).reshape(type_size.shape)
 
 
+def types_for(settings: GroupSettings, domain: Domain, rows: float, groups: float, sens: dict[str, float], shares: dict[str, float]) -> int:
+    """How many types the latent tables' noise leaves room for, as one variable: the product of latent_sizes."""
+    if math.isinf(settings.budget):
+        return math.prod(latent_sizes(math.inf, max((x.size for x in domain.values()), default=1), groups, 0.0, settings.cap))
+    of = lambda what, releases: sigma(sens[what], shares[what] * settings.budget, releases)
+    every = settings.steps * (1 + settings.latent_rounds)
+    limit = domain_limit(rows, of("latent_marginals", every * max(1, len(domain))), 6.0)
+    return math.prod(latent_sizes(limit, max((x.size for x in domain.values()), default=1), groups, of("type_sizes", 1), settings.cap))
+
+
 def fit_groups(child: DataFrame, fk: str, domain: Domain, settings: GroupSettings = GroupSettings()) -> GroupModel:
     """Expectation-maximisation of the latent type with noisy tables.
 
@@ -278,6 +289,14 @@ def fit_groups(child: DataFrame, fk: str, domain: Domain, settings: GroupSetting
         ledger.charge(what, sens[what], s, releases)
         return s
 
+    # the sizes of groups are released first, since the number of types may depend on them
+    group_noise = noise("group_sizes", 1)
+    counts = np.zeros(settings.cap)
+    for r in M.group_sizes(own, fk, settings.cap).collect():
+        counts[r["size"] - 1] = r["n"]
+    counts = noisy(counts, group_noise, rng) if group_noise else counts
+    if settings.types is None:
+        settings = replace(settings, types=types_for(settings, domain, rows, float(np.maximum(counts, 0).sum()), sens, shares))
     full = domain.with_attribute(TYPE, settings.types, latent=True)
     pairs = domain.pairs()
     pair_noise = noise("graph", max(1, len(pairs)))
@@ -358,11 +377,6 @@ def fit_groups(child: DataFrame, fk: str, domain: Domain, settings: GroupSetting
     if written is not None:
         discard(written)
     final = sized(q, noise("type_sizes", 1))
-    group_noise = noise("group_sizes", 1)
-    counts = np.zeros(settings.cap)
-    for r in M.group_sizes(own, fk, settings.cap).collect():
-        counts[r["size"] - 1] = r["n"]
-    counts = noisy(counts, group_noise, rng) if group_noise else counts
     own.unpersist()
     return GroupModel(full, fk, settings.types, potential, tree, messages, normalize_by_group_size(final, counts), alpha, ledger, q, history)
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from itertools import combinations
 
@@ -11,8 +11,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomkin.functions.hierarchy import Node, bins_at, deepest_fitting, from_level, impossible_cells, level_table, to_level
 from loomkin.model import graph as G
-from loomkin.model.domain import Domain
+from loomkin.model.domain import Attribute, Domain
 from loomkin.model.factor import Factor, Potential, l2_loss, marginals_of, propagate
 from loomkin.model.privacy import Ledger, domain_limit, noisy, sigma, single_table_shares, total_noise_loss
 from loomkin.model.sampler import draw_from_tree
@@ -150,6 +151,52 @@ class MarkovModel:
         return draw_from_tree(fixed, beliefs, self.tree, key, seed, fixed=held)
 
 
+@dataclass
+class LeveledModel:
+    """A model of codes split into (bin, place in the bin) at a level of their hierarchies."""
+
+    model: MarkovModel
+    tables: dict[str, DataFrame]
+    attrs: list[str]
+
+    def synthesize(self, spark, rows: int | None = None, seed: int = 0, key: str = "id") -> DataFrame:
+        """Rows (key, attributes) in the codes of the data; pairs of a bin and a place that no code has are never drawn."""
+        out = self.model.synthesize(spark, rows, seed, key=key)
+        for a, t in self.tables.items():
+            out = from_level(out, a, t)
+        return out.select(key, *self.attrs)
+
+
+def fit_in_levels(df: DataFrame, domain: Domain, trees: Mapping[str, Node], settings: Settings = Settings(), levels: Mapping[str, int] | None = None, most_cells: float = 1e4) -> LeveledModel:
+    """fit() with wide attributes as (bin, place): their hierarchies' levels are given, or the deepest that keep the bins' cells under most_cells.
+
+    A bin and a place that no code has together are structural zeros: impossible in the potential, whatever the noise.
+    """
+    levels = dict(levels) if levels is not None else deepest_fitting(dict(trees), list(trees), most_cells)
+    spark, coded, sizes, zeros = df.sparkSession, df.select(*domain), {}, {}
+    tables: dict[str, DataFrame] = {}
+    for a in domain:
+        bins = bins_at(trees[a], levels[a]) if a in trees else []
+        most = max((len(b.leaves()) for b in bins), default=1)
+        if len(bins) < 2 or most < 2:  # a level of one bin or of single codes splits nothing
+            sizes[a] = domain[a]
+            continue
+        tables[a] = level_table(spark, trees[a], levels[a])
+        coded = to_level(coded, a, tables[a])
+        sizes |= {a: Attribute(len(bins)), f"{a}_inner": Attribute(most)}
+        zeros[a] = impossible_cells(trees[a], levels[a])
+    split = Domain(sizes)
+    model = fit(coded, split, settings, require=[(a, f"{a}_inner") for a in tables])
+    for a, cells in zeros.items():
+        clique = next(c for c in model.potential if a in c and f"{a}_inner" in c)
+        f = model.potential[clique]
+        mask = Factor(split.project([a, f"{a}_inner"]), np.zeros((split[a].size, split[f"{a}_inner"].size)))
+        for b, i in cells:
+            mask.values[b, i] = -1e6
+        model.potential[clique] = f + mask
+    return LeveledModel(model, tables, list(domain))
+
+
 def fit(df: DataFrame, domain: Domain, settings: Settings = Settings(), require: Sequence[Sequence[str]] = (), preset: dict | None = None) -> MarkovModel:
     """Noisy pair scores, a graph, noisy marginals, then rounds that add the marginals the model misses most.
 

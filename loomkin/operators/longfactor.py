@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomkin.lineage import materialize
 from loomkin.model.domain import Domain
 from loomkin.operators.marginals import dense
 
@@ -63,6 +64,41 @@ def zeros(spark, domain: Domain) -> DataFrame:
     return dense(empty, domain).withColumnRenamed("n", VALUE).withColumn(VALUE, F.col(VALUE).cast("double"))
 
 
+def propagate_tree(potentials: Mapping[tuple[str, ...], DataFrame], messages: Sequence[tuple[tuple[str, ...], tuple[str, ...]]], total: Column | float = 1.0) -> dict[tuple[str, ...], DataFrame]:
+    """Clique marginals, scaled to total, of log-potentials over a junction tree, as long tables.
+
+    messages: directed (from, to) in an order in which every message has those it needs before it. Each is
+    the sender's belief, less what came from the receiver, summed onto their shared attributes.
+    """
+    beliefs, sent = dict(potentials), {}
+    for a, b in messages:
+        sep = [x for x in a if x in b]
+        out = beliefs[a] if (b, a) not in sent else combine(beliefs[a], mapped(sent[b, a], lambda v: -v), "+")
+        sent[a, b] = materialize(logsumexp(out, sep), "message")
+        beliefs[b] = materialize(combine(beliefs[b], sent[a, b], "+"), "belief")
+
+    def normal(b: DataFrame) -> DataFrame:
+        z = logsumexp(b, []).first()[0]
+        return mapped(b, lambda v: F.exp(v - z) * total)
+
+    return {c: normal(b) for c, b in beliefs.items()}
+
+
+def log_probabilities(rows: DataFrame, potentials: Mapping[tuple[str, ...], DataFrame], log_z: float, key: str | None = None) -> DataFrame:
+    """rows with `log_p`, the log-probability of each record; with a key (key, n, log_p) of its group, the sum over its records.
+
+    Each clique's long table is joined on its attributes, one after the other; a record outside a table has none.
+    """
+    out = rows.withColumn("log_p", F.lit(-float(log_z)))
+    for f in potentials.values():
+        own = attrs_of(f)
+        met = out.join(f.withColumnRenamed(VALUE, "_f"), own, "left")
+        out = met.withColumn("log_p", F.col("log_p") + F.col("_f")).drop("_f")
+    if key is None:
+        return out.select(*rows.columns, "log_p")
+    return out.groupBy(key).agg(F.count("*").alias("n"), F.when(F.count("log_p") == F.count("*"), F.sum("log_p")).alias("log_p"))
+
+
 def propagate_pair(f: DataFrame, g: DataFrame, total: Column | float = 1.0) -> tuple[DataFrame, DataFrame]:
     """Clique marginals, scaled to total, of two log-potentials that share a separator."""
     sep = [a for a in attrs_of(f) if a in attrs_of(g)]

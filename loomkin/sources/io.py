@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomkin.functions.hierarchy import Node, dumps, loads
 from loomkin.model.domain import Domain, TableSpec
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
@@ -103,6 +104,23 @@ def load_model(spark: SparkSession, path: str):
     return factors, domain
 
 
+def read_preprocessed(spark: SparkSession, path: str, task: str, key: str, folds: int = 5, fold: int = 0, seed: int = 0):
+    """(rows, domain, hierarchies) of a table that write_preprocessed left in path; all rows for the task `TVD`, else those outside the test fold."""
+    domain = Domain.from_json(json.dumps(load_json(spark, f"{path}/domain")))
+    trees = loads(json.dumps(load_json(spark, f"{path}/hierarchy")))
+    rows = spark.read.parquet(f"{path}/rows")
+    if task != "TVD":
+        rows = train_test(rows, key, seed, folds).where(F.col("fold") != fold).drop("fold")
+    return rows, domain, trees
+
+
+def write_preprocessed(df: DataFrame, domain: Domain, trees: Mapping[str, Node], path: str) -> None:
+    """Coded rows, their domain and their attributes' hierarchies, for read_preprocessed."""
+    df.write.mode("overwrite").parquet(f"{path}/rows")
+    save_json(df.sparkSession, json.loads(domain.to_json()), f"{path}/domain")
+    save_json(df.sparkSession, json.loads(dumps(dict(trees))), f"{path}/hierarchy")
+
+
 def train_test(df: DataFrame, key: str, seed: int = 0, folds: int = 5) -> DataFrame:
     """df with `fold` 0 .. folds - 1 by a digest of the key: the same split on any cluster and engine, without a shuffle."""
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))

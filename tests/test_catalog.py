@@ -19,45 +19,6 @@ def test_equals_sql(spark, sf, con, name):
     check(catalog.queries()[name](spark, sf), con, SQL[name])
 
 
-def test_noise_is_on_every_cell(spark, sf):
-    row = catalog.queries()["noisy_marginal"](spark, sf).first()
-    assert row.cells == 33 and row.near
-
-
-def test_match_is_a_bijection(spark, sf):
-    row = catalog.queries()["greedy_match_three_columns"](spark, sf).first()
-    assert row.pairs == row.lefts == row.rights > 0
-
-
-def test_folds_hold_all_rows(spark, sf):
-    rows = catalog.queries()["train_test_folds"](spark, sf).collect()
-    assert sum(r.n for r in rows) == spark.read.parquet(f"{sf}/orders.parquet").count() and len(rows) == 5
-
-
-def test_single_table_model(spark, sf):
-    row = catalog.queries()["mrf_synthesis"](spark, sf).first()
-    assert row.n == spark.read.parquet(f"{sf}/orders.parquet").count() and row.violations == 0 and row.near
-
-
-def test_e_step_is_a_distribution(spark, sf):
-    assert catalog.queries()["e_step"](spark, sf).first().normal
-
-
-def test_groups_have_members_and_parents(spark, sf):
-    row = catalog.queries()["group_synthesis"](spark, sf).first()
-    assert (row.n_groups, row.orphans, row.childless, row.violations) == (500, 0, 0, 0)
-
-
-def test_match_by_model_gives_every_row_a_parent(spark, sf):
-    row = catalog.queries()["match_by_model"](spark, sf).first()
-    assert row.n_rows == row.n_distinct > 0 and row.orphans == 0
-
-
-def test_match_by_model_takes_every_row(spark, sf):
-    row = catalog.queries()["match_by_model"](spark, sf).first()
-    assert row.n_rows == spark.read.parquet(f"{sf}/lineitem.parquet").count()
-
-
 def test_match_by_model_with_one_large_group(spark):
     from loomkin.model.domain import Domain
     from loomkin.model.group import GroupSettings, fit_groups, long_types
@@ -73,15 +34,5 @@ def test_match_by_model_with_one_large_group(spark):
         assert len(got) == len({r.id for r in got}) == n and {r.pk for r in got} <= set(range(31))
 
 
-def test_two_tables_are_synthesised(spark, sf):
-    row = catalog.queries()["two_table_synthesis"](spark, sf).first()
-    assert (row.orphans, row.violations) == (0, 0) and row.parents_near and row.flags_near
-
-
-def test_chain_is_synthesised(spark, sf):
-    row = catalog.queries()["chain_synthesis"](spark, sf).first()
-    assert row.n_orders > 0 and row.n_lines > row.n_orders and (row.order_orphans, row.line_orphans) == (0, 0)
-
-
-def test_every_query_is_checked():
-    assert INVARIANT == ["chain_synthesis", "e_step", "greedy_match_three_columns", "group_synthesis", "match_by_model", "mrf_synthesis", "noisy_marginal", "privacy_budget", "train_test_folds", "two_table_synthesis"]
+def test_every_query_has_sql():
+    assert INVARIANT == []

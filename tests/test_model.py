@@ -189,3 +189,54 @@ def test_hierarchies():
     skewed = H.by_mass([50.0] + [1.0] * 9, bins=5, most=1, depth=1)
     assert skewed.leaves() == list(range(10)) and skewed.children[0].leaves() == [0]
     assert H.deepest_fitting({"a": tree, "b": H.flat(4)}, ["a", "b"], 8) == {"a": 2, "b": 0}
+
+
+def test_graph_neighbours_and_objectives():
+    domain = Domain({"a": 2, "b": 2, "c": 2})
+    one = G.Graph(domain, [("a", "b")])
+    assert one.toggled("a", "b").edges() == [] and one.toggled("b", "c").edges() == [("a", "b"), ("b", "c")]
+    start = G.Graph(domain, [("a", "c")])
+    score = G.mutual_information_score(domain, {("a", "b"): 0.5, ("a", "c"): -0.1, ("b", "c"): 0.2}, 100, 100)
+    assert G.search_edges(domain, score, start, remove=True).edges() == [("a", "b"), ("b", "c")]
+    h = {("a",): 1.0, ("b",): 1.0, ("c",): 1.0, ("a", "b"): 1.2, ("b", "c"): 1.9, (): 0.0, ("a", "b", "c"): 2.1}
+    assert abs(G.entropy_score(G.Graph(domain, [("a", "b"), ("b", "c")]), h.__getitem__) - 2.1) < 1e-12
+    assert abs(G.divergence_score(G.Graph(domain, [("a", "b")]), h.__getitem__, ("a", "b", "c")) - 0.1) < 1e-12
+
+
+def test_noise_helpers():
+    rng = np.random.default_rng(0)
+    laplace = privacy.noisy(np.zeros(20_000), 2.0, rng, "laplace")
+    assert abs(laplace.std() - 2 * 2**0.5) < 0.1 and abs(np.abs(laplace).mean() - 2) < 0.1
+    assert privacy.tvd_sensitivity(50) == 0.04
+    out = privacy.smoothed(np.array([1, 1, 1, 9, 40.0]), 1e-9, rng, 5)
+    assert out[:3].tolist() == [int(out[0])] * 3 and np.allclose(out[3:], [9, 40])
+    assert privacy.with_preset({"a": 1, "b": 2}, {"b": 3}) == {"a": 1, "b": 3} and privacy.with_preset({"a": 1}, None) == {"a": 1}
+    assert privacy.latent_sizes(1000, 10, 10_000, 0.0, 8) == [16, 16]
+    assert privacy.latent_sizes(30, 10, 100, 2.0, 8) == [2, 2]
+    # noise that allows fewer than two types still leaves two
+    assert min(privacy.latent_sizes(1, 50, 10, 100.0, 8)) == 2
+
+
+def test_conditioned_potential():
+    domain = Domain({"a": 3, "b": 2, "c": 2})
+    rng = np.random.default_rng(1)
+    cliques = [("a", "b"), ("b", "c")]
+    potential = Potential({c: Factor(domain.project(c), rng.normal(size=domain.project(c).shape)) for c in cliques})
+    messages = G.message_order(cliques, G.junction_tree(cliques))
+    full = propagate(potential, messages, 1.0)[0]
+    own = propagate(group.allowing(potential, "a", np.array([False, True, True])), messages, 1.0)[0]
+    cut = full[("a", "b")].values.copy()
+    cut[0] = 0
+    assert np.allclose(own[("a", "b")].values, cut / cut.sum())
+    given_b = full[("b", "c")].values / full[("b", "c")].values.sum(axis=1, keepdims=True)
+    assert np.allclose(own[("b", "c")].values, given_b * own[("a", "b")].values.sum(axis=0)[:, None])
+
+
+def test_entropy_of_a_model():
+    from loomkin.model.mrf import MarkovModel
+
+    domain = Domain({"a": 3, "b": 2})
+    p = Factor(domain, np.array([[0.1, 0.2], [0.05, 0.25], [0.3, 0.1]]))
+    model = MarkovModel(domain, 1.0, Potential({("a", "b"): Factor(domain, np.log(p.values))}), [], G.message_order([("a", "b")], []), Potential(), 0.0, privacy.Ledger(math.inf))
+    assert abs(model.entropy() + float((p.values * np.log(p.values)).sum())) < 1e-9
+    assert abs(model.log_probability({"a": 1, "b": 0}) - math.log(0.05)) < 1e-9

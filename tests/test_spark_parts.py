@@ -239,3 +239,113 @@ def test_filters_and_columns_reach_the_scan(spark, sf):
 
     assert "ReadSchema: struct<l_returnflag:string>" in plan(catalog.queries()["marginal_1way"](spark, sf))
     assert "PushedFilters: [IsNotNull(o_orderstatus), EqualTo(o_orderstatus,P)" in plan(catalog.queries()["semi_join_groups"](spark, sf))
+
+
+def test_dense_numbers_and_running_totals(spark):
+    df = spark.createDataFrame([(i * 7 % 101, i % 3) for i in range(101)], "k int, t int")
+    got = R.dense_ids(df, "i", ["k"], 5).collect()
+    assert sorted((r.k, r.i) for r in got) == [(k, k + 5) for k in range(101)]
+    got = R.running_total(df, "k", "before", ["k"]).collect()
+    assert all(r.before == r.k * (r.k - 1) // 2 for r in got) and len(got) == 101
+    own = {}
+    for r in R.numbered_within(df, ["t"], "k", "i").collect():
+        own.setdefault(r.t, []).append((r.k, r.i))
+    assert len(own) == 3 and all([i for _, i in sorted(x)] == list(range(len(x))) for x in own.values())
+    assert R.dense_ids(df.limit(0), "i", ["k"]).count() == 0
+
+
+def test_keys_beyond_doubles(spark):
+    df = spark.createDataFrame([(27021597764222981,), (-7,), (0,), (None,)], "k long")
+    high, low = E.unpack_key(F.col("k"), 3)
+    assert [(r[0], r[1]) for r in df.select(high, low).collect()] == [(9007199254740993, 2), (-3, 2), (0, 0), (None, None)]
+    wide = spark.createDataFrame([(1 << 40, 5), (2, 5)], "a long, b long")
+    assert [r[0] for r in wide.select(E.pack_key(F.col("a"), F.col("b"), 1 << 40)).collect()] == [None, (2 << 40) + 5]
+    assert [r[0] for r in df.select(E.clip_negative(F.col("k"))).collect()][1:] == [0, 0, 0]
+
+
+def test_very_large_groups_are_left_out_of_queries(spark, groups, monkeypatch):
+    monkeypatch.setattr(V, "HUGE", 3)
+    child, parent = groups
+    more = child.unionByName(spark.createDataFrame([(5, i % 2) for i in range(50)], "fk int, x int"))
+    q = [V.GroupQuery(2, 3, (), (("x", (1,)),), (("x", (0,)),)), V.GroupQuery(1, 9, (), (("x", (0, 1, 7)),), (("x", (0, 1)),))]
+    assert sorted((r["query"], r.n) for r in V.count_groups(more, parent, "fk", "pk", q).collect()) == [(0, 1), (1, 3)]
+
+
+def test_household_rule_draws_both_kinds(spark):
+    rng = np.random.default_rng(0)
+    rows = [(g, 0 if m == 0 else 1 + int(rng.integers(2)), int(rng.integers(3))) for g in range(300) for m in range(1 + g % 3)]
+    domain = Domain({"r": 3, "z": 3})
+    model = fit_groups(spark.createDataFrame(rows, "fk int, r int, z int"), "fk", domain, GroupSettings(types=2, steps=1, cap=3))
+    made = model.synthesize(spark, seed=2, head=("r", 0)).collect()
+    assert {r.r for r in made if r.member == 0} == {0} and {r.r for r in made if r.member > 0} == {1, 2}
+    assert sum(domain.violations(spark.createDataFrame(made).select("r", "z")).first()) == 0
+    share = sum(r.r == 2 for r in made if r.member) / max(1, sum(r.member > 0 for r in made))
+    truth = sum(r == 2 for _, r, _ in rows) / sum(r > 0 for _, r, _ in rows)
+    assert abs(share - truth) < 0.05  # others keep their distribution, without the head's code
+
+
+def test_levels_and_structural_zeros(spark):
+    from loomkin.functions import hierarchy as H
+    from loomkin.model.mrf import fit_in_levels
+
+    rng = np.random.default_rng(0)
+    rows = [(int(a), int(a) % 2) for a in np.minimum(rng.geometric(0.2, 2000) - 1, 10)]
+    df, domain = spark.createDataFrame(rows, "a int, b int"), Domain({"a": 11, "b": 2})
+    tree = H.Node(children=[H.Node([0, 1, 2, 3]), H.Node([4, 5, 6, 7]), H.Node([8, 9, 10])])
+    made = fit_in_levels(df, domain, {"a": tree}, Settings(iterations=60), levels={"a": 1})
+    assert list(made.model.domain) == ["a", "a_inner", "b"]
+    out = made.synthesize(spark, seed=1)
+    assert out.columns == ["id", "a", "b"] and out.count() == 2000 and sum(domain.violations(out).first()) == 0
+    assert V.k_way_tvd(df, out, [("a",)]).first().tvd < 0.08
+    assert fit_in_levels(df, domain, {"a": tree}, Settings(iterations=5), most_cells=1).tables == {}
+
+
+def test_types_follow_the_noise(spark, groups):
+    child, _ = groups
+    model = fit_groups(child, "fk", Domain({"x": 2}), GroupSettings(budget=0.5, types=None, steps=1, cap=3))
+    assert model.types >= 4 and model.ledger.spent <= 0.5 * (1 + 1e-9)
+    assert [e[0] for e in model.ledger.entries][0] == "rows"
+
+
+def test_propagation_over_long_tables(spark):
+    from loomkin.model import graph as G
+    from loomkin.model.factor import Potential, propagate
+    from loomkin.operators import longfactor as L
+
+    domain = Domain({"a": 2, "b": 3, "c": 2, "d": 2})
+    rng = np.random.default_rng(2)
+    cliques = [("a", "b"), ("b", "c"), ("b", "d")]
+    dense = Potential({c: Factor(domain.project(c), rng.normal(size=domain.project(c).shape)) for c in cliques})
+    messages = G.message_order(cliques, G.junction_tree(cliques))
+    beliefs, log_z = propagate(dense, messages, 10.0)
+    long = {c: spark.createDataFrame([(*(int(x) for x in i), float(v)) for i, v in np.ndenumerate(f.values)], ", ".join([*(f"{x} int" for x in c), "value double"])) for c, f in dense.items()}
+    got = L.propagate_tree(long, messages, 10.0)
+    for c, f in got.items():
+        assert all(abs(r["value"] - beliefs[c].values[tuple(r[x] for x in c)]) < 1e-9 for r in f.collect())
+    rows = spark.createDataFrame([(1, 0, 2, 1, 0), (1, 1, 0, 0, 1), (2, 0, 0, 0, 0)], "g int, a int, b int, c int, d int")
+    want = lambda *x: sum(dense[c].values[tuple(dict(zip("abcd", x, strict=True))[n] for n in c)] for c in cliques) - log_z
+    by_group = {r.g: r.log_p for r in L.log_probabilities(rows, long, log_z, "g").collect()}
+    assert abs(by_group[1] - want(0, 2, 1, 0) - want(1, 0, 0, 1)) < 1e-9 and abs(by_group[2] - want(0, 0, 0, 0)) < 1e-9
+
+
+def test_preprocessed_tables_by_task(spark, tmp_path):
+    from loomkin.functions import hierarchy as H
+
+    df = spark.createDataFrame([(i, i % 4) for i in range(200)], "id int, a int")
+    domain, trees = Domain({"a": 4}), {"a": H.Node(children=[H.Node([0, 1]), H.Node([2, 3])])}
+    io.write_preprocessed(df, domain, trees, str(tmp_path / "t"))
+    rows, own, found = io.read_preprocessed(spark, str(tmp_path / "t"), "TVD", "id")
+    assert rows.count() == 200 and own["a"].size == 4 and found["a"].leaves() == [0, 1, 2, 3]
+    train = io.read_preprocessed(spark, str(tmp_path / "t"), "SVM", "id", fold=1)[0]
+    assert 120 < train.count() < 190 and train.columns == ["id", "a"]
+
+
+def test_a_shared_folder_must_be_named_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from loomkin.lineage import shared_dir
+
+    conf = SimpleNamespace(get=lambda key, default: default, set=lambda key, value: None)
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077")))
+    assert shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="local[4]"))).startswith("file:")
