@@ -41,7 +41,7 @@ EDITS, MIN_BYTES = 2, 20
 FLIPS = 4
 #: Bytes of text whose keys are made at once, and pairs of a list compared at once.
 TEXT_AT_ONCE, PAIRS_AT_ONCE = 2 << 20, 1 << 20
-CACHE_PAIRS, CACHE_LINES = 1 << 18, 1 << 20
+CACHE_PAIRS, CACHE_LINES, LINES_AT_ONCE = 1 << 18, 1 << 19, 1 << 13
 #: Comparisons in one list above which its members are split by finer keys.
 LARGE = 1 << 22
 _BASE = 0x5851F42D4C957F2D
@@ -53,14 +53,14 @@ def lines_of(text: bytes | None, least: int = 1) -> list[tuple[int, bytes]]:
     return [(i, s) for i, x in enumerate((text or b"").split(b"\n")) if len(s := x.strip()) >= least]
 
 
-def line_id(line: bytes) -> tuple[int, int]:
-    """Two halves of a line's 128-bit digest. The first is its id, of which the lowest bit is left free; the second tells lines of one id apart."""
-    h = xxhash.xxh3_128_intdigest(line)
-    return h >> 64 & 0xFFFFFFFFFFFFFFFE, h & 0xFFFFFFFFFFFFFFFF
+#: 128-bit digest of a line.
+line_id = xxhash.xxh3_128_digest
 
 
-def _signed(values: list[int]) -> pa.Array:
-    return pa.array(np.array(values, np.uint64).view(np.int64))
+def ids_of(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The halves of line digests. The first is the line's id, of which the lowest bit is left free; the second tells lines of one id apart."""
+    halves = np.frombuffer(b"".join(digests), ">u8").astype(np.uint64).reshape(-1, 2)
+    return (halves[:, 0] & np.uint64(0xFFFFFFFFFFFFFFFE)).view(np.int64), halves[:, 1].copy().view(np.int64)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -206,19 +206,19 @@ def _occurrences(batches):
                 ids.append(line_id(line))
                 docs.append(doc)
                 numbers.append(i)
-        yield pa.RecordBatch.from_arrays([_signed([x[0] for x in ids]), _signed([x[1] for x in ids]), pa.array(docs, pa.int64()), pa.array(numbers, pa.int64())], names=["line", "other", "doc", "number"])
+        yield pa.RecordBatch.from_arrays([*map(pa.array, ids_of(ids)), pa.array(docs, pa.int64()), pa.array(numbers, pa.int64())], names=["line", "other", "doc", "number"])
 
 
 def _emit_keys(batches):
     """Rows (key, line | role, signature) of the lines of a task, mostly once each."""
-    seen: set[tuple[int, int]] = set()
+    seen: set[bytes] = set()
     lines: list[bytes] = []
-    ids: list[int] = []
+    ids: list[bytes] = []
     held = 0
 
     def made():
         keys, index, sigs = keys_of(lines)
-        own = np.array(ids, np.uint64).view(np.int64)
+        own = ids_of(ids)[0]
         which = index >> 1
         out = [keys.view(np.int64), own[which] | (index & 1), sigs.view(np.int64)[which]]
         for a in range(0, len(keys), 1 << 16):
@@ -230,7 +230,7 @@ def _emit_keys(batches):
                 if (h := line_id(line)) not in seen:
                     seen.add(h)
                     lines.append(line)
-                    ids.append(h[0])
+                    ids.append(h)
                     held += len(line)
             if len(seen) > CACHE_LINES:
                 seen.clear()
@@ -387,17 +387,16 @@ def _filter_blocks(bits: int):
     return run
 
 
-def _either(pdf):
-    out = pdf.iloc[:1].copy()
-    out["part"] = [np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in pdf["part"]]).tobytes()]
-    return out
+def _either(blocks: pa.Table) -> pa.Table:
+    part = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in blocks["part"].to_pylist()])
+    return pa.table({"at": blocks["at"][:1], "part": pa.array([part.tobytes()], pa.binary())})
 
 
 def id_filter(ids: DataFrame) -> np.ndarray:
     """Bits that are set for the ids (line): of bounded size, so that with very many ids it lets more lines through."""
     bits = min(MOST_BITS, max(1 << 12, 1 << (BITS_EACH * ids.count()).bit_length()))
     packed = np.zeros(bits // 8, np.uint8)
-    blocks = ids.mapInArrow(_filter_blocks(bits), "at long, part binary").groupBy("at").applyInPandas(_either, "at long, part binary")
+    blocks = ids.mapInArrow(_filter_blocks(bits), "at long, part binary").groupBy("at").applyInArrow(_either, "at long, part binary")
     for r in blocks.collect():
         packed[r["at"] : r["at"] + len(r["part"])] = np.frombuffer(r["part"], np.uint8)
     return packed
@@ -409,23 +408,32 @@ def _wanted(shared):
     def run(batches):
         packed = shared.value
         last = len(packed) * 8 - 1
-        seen: set[tuple[int, int]] = set()
-        for batch in batches:
-            own = {}
-            for _, text in _rows(batch):
-                for _, line in lines_of(text, MIN_BYTES):
-                    if (h := line_id(line)) not in seen:
-                        own[h] = line
-            ids = np.array([h[0] for h in own], np.uint64).view(np.int64)
+        seen: set[bytes] = set()
+
+        def passing(digests: list[bytes], lines: list[bytes]):
+            ids, others = ids_of(digests)
             ok = np.ones(len(ids), bool)
             for shift in SHIFTS:
                 at = ids >> shift & last
                 ok &= (packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
-            found = [h for h, k in zip(own, ok.tolist(), strict=True) if k]
+            k = np.flatnonzero(ok)
             if len(seen) > CACHE_LINES:
                 seen.clear()
-            seen.update(found)
-            yield pa.RecordBatch.from_arrays([_signed([h[0] for h in found]), _signed([h[1] for h in found]), pa.array([own[h] for h in found], pa.binary())], names=["line", "other", "text"])
+            seen.update(digests[i] for i in k)
+            return pa.RecordBatch.from_arrays([pa.array(ids[k]), pa.array(others[k]), pa.array([lines[i] for i in k], pa.binary())], names=["line", "other", "text"])
+
+        digests, lines = [], []
+        for batch in batches:
+            for _, text in _rows(batch):
+                for _, line in lines_of(text, MIN_BYTES):
+                    if (h := line_id(line)) not in seen:
+                        digests.append(h)
+                        lines.append(line)
+                if len(digests) >= LINES_AT_ONCE:
+                    yield passing(digests, lines)
+                    digests, lines = [], []
+        if digests:
+            yield passing(digests, lines)
 
     return run
 
