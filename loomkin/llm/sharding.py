@@ -23,7 +23,7 @@ from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,46 +34,37 @@ SHARDS = 8
 SUMS_AT_ONCE, RANGES = 1 << 16, 4096
 
 
+#: monotonically_increasing_id() has the partition above these bits and the row's place in it below.
+PLACE_BITS = 33
+
+
 def _in_ranges(df: DataFrame, *order) -> DataFrame:
-    """df in sorted ranges of `order`, with the range's number in `part`; equal rows may lie in several ranges."""
+    """df in sorted ranges of `order`, with each row's range and place in it as one number `at`; equal rows may lie in several ranges."""
     n = min(RANGES, max(2, shuffle_parts(df.sparkSession)))
     tied = df.withColumn("_s_tie", F.monotonically_increasing_id())
     keys = [*order, F.col("_s_tie")]
-    return tied.repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop("_s_tie").withColumn("part", F.spark_partition_id())
-
-
-def _with(df: DataFrame, name: str, count) -> DataFrame:
-    """df with a long column `name` from count(), which makes a function of batches for each task."""
-
-    def run(batches):
-        own = count()
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own(batch), pa.int64())], names=[*batch.schema.names, name])
-
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.LongType())]))
+    return tied.repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop("_s_tie").withColumn("at", F.monotonically_increasing_id())
 
 
-def _running(column: str):
-    """Running sum of a column; the count of rows so far (from 0) for an empty name."""
+def _part() -> Column:
+    return F.shiftright("at", PLACE_BITS).cast("int")
 
-    def count():
-        total = 0
 
-        def own(batch):
-            nonlocal total
-            n = batch.num_rows
-            sums = np.cumsum(batch.column(column).to_numpy(zero_copy_only=False)) if column else np.arange(n)
-            sums = sums + total
-            total = int(sums[-1]) + (not column) if n else total
-            return sums
+def _place() -> Column:
+    return F.col("at").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
 
-        return own
 
-    return count
+def _running_weights(batches):
+    """Adds `own`, the running sum of the weights (the second column) of a task."""
+    total = 0
+    for batch in batches:
+        sums = total + np.cumsum(batch.column(1).to_numpy(zero_copy_only=False))
+        total = int(sums[-1]) if len(sums) else total
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums, pa.int64())], names=[*batch.schema.names, "own"])
 
 
 def _offsets(df: DataFrame, rows: list, schema: str) -> DataFrame:
-    """A driver table of at most RANGES rows (times shards), for broadcast."""
+    """A driver table of at most RANGES rows, for broadcast."""
     return F.broadcast(df.sparkSession.createDataFrame(rows, schema))
 
 
@@ -169,39 +160,27 @@ def _sums_at(wanted: dict[int, list[tuple[int, int, int]]]):
 def minimax_shards(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
     """rows (doc_id, key, size, ...) with `shard` and the gapless `slot` in it."""
     groups = rows.groupBy("key").agg(F.sum("size").alias("weight"), F.min("doc_id").alias("first"))
-    ranged = _in_ranges(groups, F.col("first").asc_nulls_last(), F.col("key")).select("key", "weight", "part")
-    prefix = materialize(_with(_with(ranged, "own", _running("weight")), "index", _running("")), "prefix")
+    ranged = _in_ranges(groups, F.col("first").asc_nulls_last(), F.col("key")).select("key", "weight", "at")
+    prefix = materialize(ranged.mapInArrow(_running_weights, T.StructType([*ranged.schema.fields, T.StructField("own", T.LongType())])), "prefix")
+    prefix = prefix.withColumn("part", _part())
     totals = prefix.groupBy("part").agg(F.count("*").alias("n"), F.sum("weight").alias("s"), F.max("weight").alias("w")).orderBy("part").collect()
     sums = Sums([(r["part"], r["n"], r["s"]) for r in totals])
-    cuts = minimax_cuts(prefix.select("part", "own", "index"), sums, shards, max((r["w"] for r in totals), default=0)) if totals else [0] * shards
+    cuts = minimax_cuts(prefix.select("part", "own", _place().alias("index")), sums, shards, max((r["w"] for r in totals), default=0)) if totals else [0] * shards
     before = _offsets(prefix, [(p, sums.before[p][1]) for p, _, _ in sums.parts] or [(0, 0)], "part int, before long")
     ends = F.col("own") + F.col("before")
     shard = sum(((ends > c).cast("int") for c in cuts[:-1]), F.lit(0))
     placed = rows.join(prefix.join(before, "part").select("key", shard.alias("shard")), "key")
 
-    def in_shard():
-        used = np.zeros(shards, np.int64)
-
-        def own(batch):
-            which = batch.column(batch.schema.get_field_index("shard")).to_numpy(zero_copy_only=False)
-            out = np.empty(len(which), np.int64)
-            for s in np.unique(which).tolist():
-                at = np.flatnonzero(which == s)
-                out[at] = used[s] + np.arange(len(at))
-                used[s] += len(at)
-            return out
-
-        return own
-
-    sorted_ = _in_ranges(placed, F.col("doc_id").asc_nulls_last(), F.col("key")).drop("key")
-    slots = materialize(_with(sorted_, "own", in_shard), "placed")
-    counts = slots.groupBy("part", "shard").agg(F.count("*").alias("n")).collect()
-    used, offsets = [0] * shards, []
-    for part, s, n in sorted((r["part"], r["shard"], r["n"]) for r in counts):
-        offsets.append((part, s, used[s]))
-        used[s] += n
-    out = slots.join(_offsets(slots, offsets or [(0, 0, 0)], "part int, shard int, before long"), ["part", "shard"])
-    return out.withColumn("slot", (F.col("own") + F.col("before")).cast("long")).drop("part", "own", "before")
+    # in order of shard and doc_id over all ranges, a row's slot is its number less that of its shard's first row
+    slots = materialize(_in_ranges(placed, F.col("shard"), F.col("doc_id").asc_nulls_last(), F.col("key")).drop("key"), "placed").withColumn("part", _part())
+    starts, first, at = {}, [0] * (shards + 1), 0
+    for part, s, n in sorted((r["part"], r["shard"], r["n"]) for r in slots.groupBy("part", "shard").agg(F.count("*").alias("n")).collect()):
+        starts.setdefault(part, at)
+        first[s + 1] += n
+        at += n
+    firsts = F.array(*(F.lit(sum(first[: s + 1])).cast("long") for s in range(shards)))
+    out = slots.join(_offsets(slots, list(starts.items()) or [(0, 0)], "part int, before long"), "part")
+    return out.withColumn("slot", F.col("before") + _place() - F.get(firsts, F.col("shard"))).drop("part", "at", "before")
 
 
 def document_rows(docs: DataFrame) -> DataFrame:
