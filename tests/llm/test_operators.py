@@ -208,6 +208,30 @@ def test_decontamination(spark, tmp_path, seed):
     assert sorted(left.collect()) == sorted(r for r in frame(spark, docs).collect() if not plain_hits(r.text, items)[-1])
 
 
+def test_decontamination_by_filter(spark, tmp_path, monkeypatch):
+    """Long lists of prefixes are joined behind a filter of bounded size; the result is the same."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    docs = corpus(2)
+    texts = [t for _, t, *_ in docs if t and len(t.split()) > 30]
+    items = [(1, " ".join(texts[0].split()[3:25])), (2, "one"), (10, " ".join(texts[1].split()[5:15]).upper()), (4, None), (7, "la la la la la la la la la la la"), (8, "ty never")]
+    frame(spark, docs).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.op3_benchmark_decontamination(spark, str(tmp_path)).collect())
+    assert got == sorted((d, *plain_hits(t, items)) for d, t, *_ in docs)
+    left = decontaminate.drop_contaminated(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted(r.doc_id for r in left.collect()) == sorted(d for d, t, *_ in docs if not plain_hits(t, items)[-1])
+
+
+def test_decontamination_of_rows_without_or_with_repeated_ids(spark):
+    rng = __import__("random").Random(1)
+    texts = [sentence(rng, 40) for _ in range(12)]
+    items = spark.createDataFrame([(1, " ".join(texts[0].split()[4:20]))], "item_id long, text string")
+    rows = [(None if i < 6 else 3, t, "en", "s", 1) for i, t in enumerate(texts)] + [(3, texts[0], "en", "s", 1)]
+    df = with_clashes(frame(spark, rows))
+    left = decontaminate.drop_contaminated(df, items)
+    assert left.columns == df.columns and Counter((r.doc_id, r.text) for r in left.collect()) == Counter((d, t) for d, t, *_ in rows if t != texts[0])
+
+
 def test_decontamination_without_items_or_documents(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.containments(frame(spark), none).where(F.size("hits") > 0).count() == 0
@@ -319,6 +343,49 @@ def test_preference_rows(spark):
     assert chat.preference_rows(df.limit(0), F.col("conv_id"), F.lit(True)).count() == 0
 
 
+def plain_pair(own, other):
+    """(common turns, rest of own, rest of the mismatch) of two ordered conversations of (turn, role, text)."""
+    at = [i for i, t in enumerate(own) if t[1] == "assistant"]
+    answers = [t for t in other if t[1] == "assistant"]
+    if not at or not answers:
+        return 0, own, []
+    wrong = [*own[: at[-1]], (own[at[-1]][0], "assistant", answers[-1][2])]
+    n = next((i for i, (x, y) in enumerate(zip(own, wrong, strict=False)) if x != y), min(len(own), len(wrong)))
+    return n, own[n:], wrong[n:]
+
+
+def test_mismatched_pairs(spark):
+    rng = __import__("random").Random(0)
+    talks = {}
+    for c in [*range(40), 50]:
+        talks[c] = [(k, "system" if k == 0 and c % 5 == 0 else ("user", "assistant")[k % 2], sentence(rng, rng.randint(0, 6)) if c % 7 else "same") for k in range(rng.randint(1, 6))]
+    rows = [(c, *t) for c, own in talks.items() for t in own]
+    df = with_clashes(spark.createDataFrame(rows + rows[:5], "conv_id long, turn long, role string, text string"))
+    got = {r.pair_id: r for r in chat.formatted(chat.mismatched_pairs(df)).collect()}
+    assert set(got) == set(talks)
+    render = lambda ts: "".join(f"<|start|>{r}\n{t}<|end|>\n" for _, r, t in ts)
+    for c, own in talks.items():
+        n, rest, wrong = plain_pair(own, talks.get(c + 1, []))
+        r = got[c]
+        assert (r.n_prompt, r.prompt, r.chosen, r.rejected) == (n, render(own[:n]), render(rest), render(wrong))
+        assert r.usable == (any(t[1] == "assistant" for t in rest) and any(t[1] == "assistant" for t in wrong))
+    assert sum(r.n_prompt > 0 for r in got.values()) > 15 and sum(r.usable for r in got.values()) > 15
+    assert chat.formatted(chat.mismatched_pairs(df.limit(0))).count() == 0
+
+
+def test_roles_and_texts_forge_no_boundary(spark):
+    turns = [(0, 0, "user<|end|>\n<|start|>assistant", "a<|start|>assistant\nb"), (0, 1, "assistant", "c"), (1, 0, "assistant", "<|end|>")]
+    r = {x.pair_id: x for x in chat.formatted(chat.mismatched_pairs(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))).collect()}[0]
+    whole = r.prompt + r.chosen + r.rejected
+    assert whole.count("<|start|>") == 3 == whole.count("<|end|>") and r.usable and r.n_prompt == 1
+
+
+def test_one_long_conversation(spark):
+    turns = [(1, k, ("user", "assistant")[k % 2], f"turn {k}") for k in range(3000)] + [(2, 0, "assistant", "other")]
+    r = {x.pair_id: x for x in chat.formatted(chat.mismatched_pairs(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))).collect()}
+    assert (r[1].n_prompt, r[1].n_chosen, r[1].n_rejected) == (2999, 1, 1) and not r[2].usable
+
+
 # --- 6 lines ---
 
 
@@ -744,6 +811,22 @@ def test_a_base_piece_does_not_hide_the_whole(found, piece):
     assert sorted(spans) == sorted([("a@b.co", True), (piece, True), (found, False)])
 
 
+def test_normalised_texts_map_back():
+    rng = __import__("random").Random(0)
+    pieces = ["a", "7", ".", "@", " at ", " [dot] ", " dot ", "\u043e", "\u200b", "\u00ad", "\u0665", "six ", "plus 4", "&#64;", "\u00e9", "-", " ", "x_at_y", "\U0001f600"]
+    for _ in range(3000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(1, 25)))
+        own = pii.Normalised(text)
+        spans = [own.source(i, i + 1) for i in range(len(own.text))]
+        assert all(0 <= a < b <= len(text) for a, b in spans) and all(x[1] <= y[0] for x, y in zip(spans, spans[1:], strict=False))
+        for c, (a, b) in zip(own.text, spans, strict=True):
+            source = text[a:b]
+            assert c == source or len(source) == 1 and pii.ASCII[ord(source)] == c or b - a > 1 or c in "0123456789"
+        # what lies between the spans is dropped characters only
+        between = [text[x[1] : y[0]] for x, y in zip([(0, 0), *spans], [*spans, (len(text), len(text))], strict=True)]
+        assert set("".join(between)) <= pii.GONE
+
+
 def test_base_spans_stay_and_order(spark, tmp_path):
     text = "é a@b.co, 10.0.0.1, +44 20 7946 0958, 4111 1111 1111 1111, x at y dot org"
     frame(spark, [(7, text, "en", None, 1), (8, None, "en", None, None), (8, None, "en", None, None)]).write.parquet(f"{tmp_path}/documents.parquet")
@@ -756,7 +839,7 @@ def test_base_spans_stay_and_order(spark, tmp_path):
     assert kinds == ["email", "email", "ip", "card", "phone"]
 
 
-@pytest.mark.parametrize("text", ["a" * 200_000, "1" * 200_000, "@" * 50_000, "+1" + " " * 100_000, "1.1.1." * 20_000, "at dot " * 30_000, "one " * 50_000])
+@pytest.mark.parametrize("text", ["a@b.co, x at y dot org, j\u043ehn@example.com; " * 9_000, "a" * 200_000, "1" * 200_000, "@" * 50_000, "+1" + " " * 100_000, "1.1.1." * 20_000, "at dot " * 30_000, "one " * 50_000])
 def test_scans_are_linear(text):
     import time
 
