@@ -81,20 +81,31 @@ def e_step(spark, sf):
     return sums.agg(F.count("*").alias("n_groups"), (F.max(F.abs(F.col("s") - 1)) < 1e-9).alias("normal"))
 
 
-@query("SELECT count(DISTINCT l_orderkey) AS n_groups, TRUE AS normal FROM lineitem")
+#: Factors that make the 16 types' potentials, by attribute: code v and type y have ((v + 1) * (y + 2) * factor % 11) / 11.
+FACTORS = {"rf": 3, "ls": 5, "disc": 7}
+_THETA = " + ".join(f"((({a} + 1) * (y + 2) * {k}) % 11) / 11.0::DOUBLE" for a, k in FACTORS.items())
+_LOG_Z = " + ".join(f"ln((SELECT sum(exp((((v + 1) * (y + 2) * {k}) % 11) / 11.0::DOUBLE)) FROM (SELECT unnest(range({SMALL[a].size})) AS v)))" for a, k in FACTORS.items())
+
+
+@query(
+    f"WITH {CHILD}, t AS (SELECT unnest(range(16)) AS y), z AS (SELECT y, {_LOG_Z} AS z FROM t), "
+    f"s AS (SELECT fk, y, 10 * sum({_THETA} - z) AS s FROM c CROSS JOIN z GROUP BY fk, y), "
+    "e AS (SELECT fk, y, exp(s - max(s) OVER (PARTITION BY fk)) AS e FROM s), q AS (SELECT fk, y, e / sum(e) OVER (PARTITION BY fk) AS q FROM e) "
+    "SELECT CAST(y AS INT) AS y, count(*) AS n_groups, round(sum(q), 4) AS mass, count(*) FILTER (WHERE q > 0.9) AS sure FROM q GROUP BY y"
+)
 def e_step_16_types(spark, sf):
-    """One E-step over all groups with 16 types, from seeded potentials."""
+    """One E-step over all groups with 16 types, from fixed potentials: each type's mass, and the groups that are surely of it."""
     from loomkin.model import graph as G
     from loomkin.model.factor import Factor, Potential
     from loomkin.model.group import TYPE, expectation
 
-    full, rng = SMALL.with_attribute(TYPE, 16, latent=True), np.random.default_rng(0)
-    cliques = [tuple(sorted((a, TYPE))) for a in SMALL]
-    potential = Potential({c: Factor(full.project(c), rng.normal(size=full.project(c).shape)) for c in cliques})
-    tree = G.junction_tree(cliques)
-    q = expectation(child(spark, sf), "fk", potential, G.message_order(cliques, tree), full, 16, np.ones((16, 8)), 8)
-    total = q.select("fk", F.aggregate("q", F.lit(0.0), lambda a, x: a + x).alias("s"))
-    return total.agg(F.count("*").alias("n_groups"), (F.max(F.abs(F.col("s") - 1)) < 1e-9).alias("normal"))
+    full = SMALL.with_attribute(TYPE, 16, latent=True)
+    theta = {a: ((np.arange(SMALL[a].size)[:, None] + 1) * (np.arange(16) + 2) * FACTORS[a] % 11) / 11 for a in SMALL}
+    potential = Potential({(a, TYPE): Factor(full.project((a, TYPE)), theta[a]) for a in SMALL})
+    cliques = list(potential)
+    q = expectation(child(spark, sf), "fk", potential, G.message_order(cliques, G.junction_tree(cliques)), full, 16, np.ones((16, 8)), 8)
+    each = q.select("fk", F.posexplode("q").alias("y", "p"))
+    return each.groupBy("y").agg(F.count("*").alias("n_groups"), F.round(F.sum("p"), 4).alias("mass"), F.sum((F.col("p") > 0.9).cast("long")).alias("sure"))
 
 
 @query("SELECT count(DISTINCT l_orderkey) AS n_groups, CAST(0 AS BIGINT) AS orphans, CAST(0 AS BIGINT) AS childless, CAST(0 AS BIGINT) AS violations, TRUE AS sizes_near FROM lineitem")
