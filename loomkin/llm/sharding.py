@@ -195,12 +195,13 @@ def op8_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-def crc_table() -> list[int]:
-    """What four bits do to a CRC-32 (reflected polynomial EDB88320)."""
-    out = list(range(16))
+def crc_step() -> str:
+    """CRC-32 (reflected polynomial EDB88320) of one more byte y in SQL: four bits, then the other four."""
+    table = list(range(16))
     for _ in range(4):
-        out = [v >> 1 ^ (0xEDB88320 if v & 1 else 0) for v in out]
-    return out
+        table = [v >> 1 ^ (0xEDB88320 if v & 1 else 0) for v in table]
+    half = lambda v, y: f"xor({v} >> 4, {table}[(xor({v}, {y}) & 15) + 1])"
+    return half(half("v", "y"), "(y >> 4)")
 
 
 OP8_SQL = r"""
@@ -222,8 +223,8 @@ c(k, a, z) AS (
 s AS (
   SELECT doc_id, CAST(length(h) // 2 + 1 AS BIGINT) AS size, c.k AS shard,
          xor(4294967295, list_reduce(
-           list_concat([CAST(4294967295 AS BIGINT)], list_transform(range(length(h)), lambda i: CAST(instr('0123456789ABCDEF', substr(h, i + 2 - 2 * (i % 2), 1)) - 1 AS BIGINT))),
-           lambda v, y: xor(v >> 4, {crc}[(xor(v, y) & 15) + 1]))) AS text_crc32
+           list_concat([CAST(4294967295 AS BIGINT)], list_transform(regexp_extract_all(h, '..'), lambda x: CAST(16 * instr('0123456789ABCDEF', x[1]) + instr('0123456789ABCDEF', x[2]) - 17 AS BIGINT))),
+           lambda v, y: {step})) AS text_crc32
   FROM d JOIN p ON p.t = d.t JOIN c ON p.e > c.a AND p.e <= c.z)
 SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s
-""".replace("{crc}", str(crc_table()))
+""".replace("{step}", crc_step())
