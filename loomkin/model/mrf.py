@@ -32,6 +32,8 @@ class Settings:
     most_cells: float = 1e7
     rounds: int | None = None
     candidates_queried: int = 400
+    #: Whether candidates are drawn with replacement (then some are drawn twice, and fewer are queried).
+    replacement: bool = False
     iterations: int = 300
     stop_ratio: float = 1.3
     check_every: int = 20
@@ -151,6 +153,20 @@ class MarkovModel:
         return draw_from_tree(fixed, beliefs, self.tree, key, seed, fixed=held)
 
 
+def drawn_candidates(options: Sequence[tuple[tuple[str, ...], float]], count: int, replacement: bool, rng: np.random.Generator) -> list[tuple[str, ...]]:
+    """Up to count different attribute sets, drawn by weight."""
+    weights = np.array([w for _, w in options])
+    n = count if replacement else min(count, len(options))
+    return sorted({options[i][0] for i in rng.choice(len(options), n, p=weights / weights.sum(), replace=replacement)})
+
+
+def decayed(options: Sequence[tuple[tuple[str, ...], float]], gaps: Mapping[tuple[str, ...], float]) -> list[tuple[tuple[str, ...], float]]:
+    """The options, with half the weight for those of the lower half of the gaps asked for."""
+    ranked = sorted(gaps, key=lambda s: (-gaps[s], s))
+    low = set(ranked[len(ranked) // 2 :])
+    return [(s, w / 2 if s in low else w) for s, w in options]
+
+
 @dataclass
 class LeveledModel:
     """A model of codes split into (bin, place in the bin) at a level of their hierarchies."""
@@ -253,9 +269,7 @@ def fit(df: DataFrame, domain: Domain, settings: Settings = Settings(), require:
     for k in range(rounds):
         if not options or added >= extra:
             break
-        weights = np.array([w for _, w in options])
-        pick = rng.choice(len(options), min(settings.candidates_queried, len(options)), p=weights / weights.sum(), replace=False)
-        asked = sorted(options[i][0] for i in pick)
+        asked = drawn_candidates(options, settings.candidates_queried, settings.replacement, rng)
         gap_noise = 0.0 if infinite else sigma(settings.sensitivity, shares["selection"] * settings.budget / rounds, len(asked))
         if not infinite:
             ledger.charge(f"distances, round {k}", settings.sensitivity, gap_noise, len(asked))
@@ -266,8 +280,7 @@ def fit(df: DataFrame, domain: Domain, settings: Settings = Settings(), require:
         best = sorted(asked, key=lambda s: (-gaps[s], s))[: min(take, extra - added)]
         release(best)
         added += len(best)
-        low = set(sorted(asked, key=lambda s: (-gaps[s], s))[len(asked) // 2 :])
-        options = [(s, w / 2 if s in low else w) for s, w in options if s not in measured]
+        options = [(s, w) for s, w in decayed(options, gaps) if s not in measured]
         potential, loss = refit(potential)
     held.unpersist()
     return MarkovModel(domain, total, potential, tree, messages, measured, noise, ledger, loss)

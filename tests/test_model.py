@@ -240,3 +240,15 @@ def test_entropy_of_a_model():
     model = MarkovModel(domain, 1.0, Potential({("a", "b"): Factor(domain, np.log(p.values))}), [], G.message_order([("a", "b")], []), Potential(), 0.0, privacy.Ledger(math.inf))
     assert abs(model.entropy() + float((p.values * np.log(p.values)).sum())) < 1e-9
     assert abs(model.log_probability({"a": 1, "b": 0}) - math.log(0.05)) < 1e-9
+
+
+def test_candidates_by_weight():
+    from loomkin.model.mrf import decayed, drawn_candidates
+
+    options = [(("a",), 1.0), (("b",), 0.0), (("c",), 3.0), (("d",), 1.0)]
+    rng = np.random.default_rng(0)
+    assert drawn_candidates(options, 3, False, rng) == [("a",), ("c",), ("d",)]
+    seen = [drawn_candidates(options, 1, True, rng)[0] for _ in range(2000)]
+    assert ("b",) not in seen and abs(seen.count(("c",)) / 2000 - 0.6) < 0.05
+    assert len(drawn_candidates(options, 50, True, rng)) == 3
+    assert decayed(options, {("a",): 5.0, ("c",): 1.0, ("d",): 2.0}) == [(("a",), 1.0), (("b",), 0.0), (("c",), 1.5), (("d",), 0.5)]

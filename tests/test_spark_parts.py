@@ -349,3 +349,19 @@ def test_a_shared_folder_must_be_named_on_a_cluster(spark):
     with pytest.raises(ValueError, match="checkpoint"):
         shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077")))
     assert shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="local[4]"))).startswith("file:")
+
+
+def test_windowed_counts_over_a_stream(spark, sf):
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    time = next(n for n, t in events.dtypes if t.startswith("timestamp"))
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf}/event[s].parquet")
+    incremental.to_memory(incremental.windowed_marginal(stream, ["event_type"], time, "1 day", "1 hour"), "windowed")
+    want = events.groupBy(F.window(time, "1 day").alias("window"), "event_type").agg(F.count("*").alias("n"))
+    assert sorted(spark.table("windowed").collect()) == sorted(want.collect())
+
+
+def test_columns_side_by_side_and_random_order(spark):
+    a, b = spark.createDataFrame([(k, k * 2) for k in range(50)], "k int, x int"), spark.createDataFrame([(k, k * 3) for k in range(49, -1, -1)], "k int, y int")
+    assert sorted(tuple(r) for r in R.zip_columns(a, b, "k").collect()) == [(k, 2 * k, 3 * k) for k in range(50)]
+    one, again, other = ([r.k for r in R.shuffled(d, ["k"], seed).collect()] for d, seed in ((a, 1), (a.repartition(7), 1), (a, 2)))
+    assert one == again != other and sorted(one) == sorted(other) == list(range(50)) != one
