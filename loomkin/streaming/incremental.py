@@ -15,8 +15,8 @@ def running_marginal(stream: DataFrame, attrs: Sequence[str]) -> DataFrame:
 
 
 def windowed_marginal(stream: DataFrame, attrs: Sequence[str], time: str, width: str, late: str) -> DataFrame:
-    """Counts by tumbling window; a watermark lets finished windows leave the state."""
-    return stream.withWatermark(time, late).groupBy(F.window(time, width).alias("window"), *attrs).agg(F.count("*").alias("n"))
+    """Counts by tumbling window; a watermark lets finished windows leave the state. A time without a zone is one of the session's."""
+    return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, width).alias("window"), *attrs).agg(F.count("*").alias("n"))
 
 
 def to_memory(df: DataFrame, name: str, mode: str = "complete") -> StreamingQuery:

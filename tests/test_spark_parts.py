@@ -356,7 +356,7 @@ def test_windowed_counts_over_a_stream(spark, sf):
     time = next(n for n, t in events.dtypes if t.startswith("timestamp"))
     stream = spark.readStream.schema(events.schema).parquet(f"{sf}/event[s].parquet")
     incremental.to_memory(incremental.windowed_marginal(stream, ["event_type"], time, "1 day", "1 hour"), "windowed")
-    want = events.groupBy(F.window(time, "1 day").alias("window"), "event_type").agg(F.count("*").alias("n"))
+    want = events.withColumn(time, F.col(time).cast("timestamp")).groupBy(F.window(time, "1 day").alias("window"), "event_type").agg(F.count("*").alias("n"))
     assert sorted(spark.table("windowed").collect()) == sorted(want.collect())
 
 
