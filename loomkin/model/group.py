@@ -155,6 +155,10 @@ class GroupModel:
     q: DataFrame
     history: list = field(default_factory=list)
 
+    def report(self) -> dict:
+        """What a run did, for save_json: structure, types, releases and the loss of each step."""
+        return {"types": self.types, "alpha": self.alpha.tolist(), "type_size": self.type_size.tolist(), "cliques": sorted(self.potential), "tree": [list(e) for e in self.tree], "loss": self.history, "releases": self.ledger.entries, "spent": self.ledger.spent}
+
     def observed(self) -> list[str]:
         return [a for a in self.domain if a != TYPE]
 

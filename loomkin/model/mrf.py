@@ -129,6 +129,10 @@ class MarkovModel:
     loss: float = math.inf
     log: list = field(default_factory=list)
 
+    def report(self) -> dict:
+        """What a run did, for save_json: structure, measured marginals, releases and loss."""
+        return {"rows": self.total, "cliques": sorted(self.potential), "tree": [list(e) for e in self.tree], "measured": sorted(self.measured), "noise": self.noise, "loss": self.loss, "releases": self.ledger.entries, "spent": self.ledger.spent}
+
     def beliefs(self) -> Potential:
         return propagate(self.potential, self.messages, self.total)[0]
 

@@ -23,6 +23,7 @@ from loomkin.model.mrf import MarkovModel, Settings, fit
 from loomkin.operators import marginals as M
 from loomkin.operators import matching as J
 from loomkin.operators import relational as R
+from loomkin.sources.io import save_json
 
 
 @dataclass(frozen=True)
@@ -42,6 +43,8 @@ class Plan:
     seed: int = 0
     shares: dict = field(default_factory=lambda: {"singles": 0.2, "groups": 0.4, "parents": 0.3, "childless": 0.1})
     head: str | None = None
+    #: Where the models' reports are written as JSON, if anywhere.
+    reports: str | None = None
     fitting: Settings = Settings(iterations=100)
 
     def of(self, share: str) -> float:
@@ -120,6 +123,9 @@ def two_tables(child: DataFrame, parent: DataFrame, plan: Plan) -> Synthesis:
         spent += m.ledger.spent
     if not tables_p:
         raise ValueError("both tables are empty")
+    if plan.reports:
+        for name, model in models.items():
+            save_json(spark, model.report(), f"{plan.reports}/{name}")
     made_c = R.union_tables(*tables_c) if tables_c else own.limit(0).select(F.col(fk).alias("fk"), F.lit(0).alias("member"), *c_dom)
     made_c = E.merge_digits(made_c, plan.child_domain)
     return Synthesis(made_c.select("fk", "member", *plan.child_attrs), R.union_tables(*tables_p).select("pk", *plan.parent_attrs), spent, models)

@@ -365,3 +365,16 @@ def test_columns_side_by_side_and_random_order(spark):
     assert sorted(tuple(r) for r in R.zip_columns(a, b, "k").collect()) == [(k, 2 * k, 3 * k) for k in range(50)]
     one, again, other = ([r.k for r in R.shuffled(d, ["k"], seed).collect()] for d, seed in ((a, 1), (a.repartition(7), 1), (a, 2)))
     assert one == again != other and sorted(one) == sorted(other) == list(range(50)) != one
+
+
+def test_synthesis_reports_what_it_did(spark, tmp_path):
+    from loomkin.plans.synthesis import Plan, two_tables
+
+    parents = spark.createDataFrame([(k, k % 3) for k in range(60)], "pk int, z int")
+    child = spark.createDataFrame([(k, (k + m) % 2) for k in range(50) for m in range(k % 3)], "fk int, x int")
+    plan = Plan(("x",), ("z",), Domain({"x": 2}), Domain({"z": 3}), budget=50.0, cap=3, types=2, steps=1, reports=str(tmp_path / "reports"), fitting=Settings(iterations=10))
+    made = two_tables(child, parents, plan)
+    assert set(made.models) == {"singles", "groups", "parents", "childless"} and made.spent <= 50 * (1 + 1e-9)
+    for name, model in made.models.items():
+        found = io.load_json(spark, str(tmp_path / "reports" / name))
+        assert found["spent"] == model.ledger.spent and [tuple(c) for c in found["cliques"]] == sorted(model.potential)
