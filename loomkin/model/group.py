@@ -24,6 +24,7 @@ from loomkin.model.mrf import Settings, mirror_descent
 from loomkin.model.privacy import Ledger, domain_limit, group_model_shares, group_sensitivities, latent_sizes, noisy, sigma
 from loomkin.model.sampler import draw_members, explode_types, random_round
 from loomkin.operators import marginals as M
+from loomkin.operators.relational import dense_ids
 
 
 @dataclass(frozen=True)
@@ -385,6 +386,15 @@ def fit_groups(child: DataFrame, fk: str, domain: Domain, settings: GroupSetting
     return GroupModel(full, fk, settings.types, potential, tree, messages, normalize_by_group_size(final, counts), alpha, ledger, q, history)
 
 
+def fit_mixture(df: DataFrame, domain: Domain, settings: GroupSettings = GroupSettings()) -> GroupModel:
+    """A mixture over single records: each is a group of its own, and its type the component it comes from.
+
+    synthesize() of the result makes a record (of gid) for each group asked for.
+    """
+    own = dense_ids(df.select(*domain), "record", list(domain))
+    return fit_groups(own, "record", domain, replace(settings, cap=1, rows_changed=1.0, singles_are_type0=False))
+
+
 def multiset_likelihood(model: GroupModel, attrs: Sequence[str], observed: DataFrame, sizes: np.ndarray) -> float:
     """How many groups the model lacks: sum over observed multisets of the attributes of max(seen - expected, 0).
 

@@ -378,3 +378,35 @@ def test_synthesis_reports_what_it_did(spark, tmp_path):
     for name, model in made.models.items():
         found = io.load_json(spark, str(tmp_path / "reports" / name))
         assert found["spent"] == model.ledger.spent and [tuple(c) for c in found["cliques"]] == sorted(model.potential)
+
+
+def test_mixture_of_records(spark):
+    from loomkin.model.group import fit_mixture
+
+    rng = np.random.default_rng(0)
+    kind = rng.integers(0, 2, 600)
+    flip = lambda: np.where(rng.random(600) < 0.1, 1 - kind, kind)
+    rows = spark.createDataFrame([tuple(map(int, r)) for r in zip(flip(), flip(), flip(), strict=True)], "a int, b int, c int")
+    domain = Domain({"a": 2, "b": 2, "c": 2})
+    model = fit_mixture(rows, domain, GroupSettings(types=2, steps=3, marginal_rounds=0, sharpness=1.0))
+    made = model.synthesize(spark, groups=600, seed=1)
+    assert made.count() == 600 == made.select("gid").distinct().count()
+    assert V.k_way_tvd(rows, made, [("a", "b", "c")]).first().tvd < 0.1
+
+
+def test_misclassification(spark):
+    from loomkin.operators import classify
+
+    rng = np.random.default_rng(0)
+    x = rng.integers(0, 7, (500, 2))
+    ring = (np.abs(x - 3).max(axis=1) >= 2).astype(int)  # no line divides it
+    rows = spark.createDataFrame([(i, int(a), int(b), int(y)) for i, ((a, b), y) in enumerate(zip(x, ring, strict=True))], "id int, a int, b int, y int")
+    train, test = rows.where("id < 400"), rows.where("id >= 400")
+    assert classify.misclassification(train, test, "y", ["a", "b", "y"]) < 0.1
+    shuffled = train.withColumn("y", F.lit(1))
+    base = test.where("y <> 1").count() / test.count()
+    assert classify.misclassification(shuffled, test, "y", ["a", "b", "y"]) == base
+    z = classify.kernel_features(test.select("a", "b"), ["a", "b"], np.zeros(2), np.ones(2), count=4000).collect()
+    for p, q in ((0, 1), (2, 3), (4, 9)):
+        kernel = np.exp(-0.5 * ((z[p].a - z[q].a) ** 2 + (z[p].b - z[q].b) ** 2))
+        assert abs(float(z[p].features.dot(z[q].features)) - kernel) < 0.08
