@@ -7,13 +7,13 @@ the M-step sees only tables of bounded size.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomkin.lineage import discard, materialize
@@ -129,9 +129,18 @@ def expectation(child: DataFrame, fk: str, potential: Potential, messages, domai
     if singles_are_type0:
         none = F.array_min("s") - 10
         scaled = scaled.withColumn("s", F.when(F.col("n") > 1, F.transform("s", lambda x, i: F.when(i == 0, none).otherwise(x))).otherwise(F.array(F.lit(0.0), *(F.lit(-1e6) for _ in range(types - 1)))))
-    shifted = scaled.withColumn("_m", F.array_max("s")).select(fk, F.transform("s", lambda x: F.exp(x - F.col("_m"))).alias("e"))
-    total = F.aggregate("e", F.lit(0.0), lambda a, x: a + x)
-    return shifted.withColumn("_t", total).select(fk, F.transform("e", lambda x: x / F.col("_t")).alias("q"))
+    return scaled.select(fk, _softmax(F.col("s")).alias("q"))
+
+
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value evaluated once, also where body uses it for each element of an array."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _softmax(scores: Column) -> Column:
+    """exp(x) over the sum of all, shifted by the largest."""
+    shares = lambda e: _bound(F.aggregate(e, F.lit(0.0), lambda a, x: a + x), lambda t: F.transform(e, lambda x: x / t))
+    return _bound(scores, lambda s: _bound(F.array_max(s), lambda m: _bound(F.transform(s, lambda x: F.exp(x - m)), shares)))
 
 
 def prior(masses: np.ndarray, noise: float, rng: np.random.Generator, singles_are_type0: bool) -> np.ndarray:
